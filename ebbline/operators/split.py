@@ -14,10 +14,12 @@ QUARTILES = "percentile_approx(amount, array(0.25D, 0.5D, 0.75D), 100000)"
 _BUCKET = 1 << 44
 
 
-def row_hash() -> Column:
-    """A 60-bit number from the identity of a row."""
-    key = F.concat_ws("|", F.date_format("date", "yyyy-MM-dd"), *[F.col(k) for k in SERIES])
-    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+def with_row_hash(df: DataFrame) -> DataFrame:
+    """Add ``row_hash``, a 60-bit number from the identity of a row."""
+    key = F.concat_ws("|", F.col("date").cast("string"), *[F.col(k) for k in SERIES])
+    return df.withColumn(
+        "row_hash", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+    )
 
 
 def _above(cuts: Column) -> Column:
@@ -37,7 +39,7 @@ def hash_thresholds(df: DataFrame, share: float) -> DataFrame:
     holds the wanted rank is ordered, so no stratum is ever sorted as a whole.
     """
     buckets = (
-        df.groupBy("stratum", F.floor(F.col("hash") / _BUCKET).alias("bucket"))
+        df.groupBy("stratum", F.floor(F.col("row_hash") / _BUCKET).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumns(
             {
@@ -50,27 +52,28 @@ def hash_thresholds(df: DataFrame, share: float) -> DataFrame:
         .filter("wanted <= upto AND wanted > upto - n")
         .select("stratum", "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("rank"))
     )
-    in_bucket = Window.partitionBy("stratum", "bucket").orderBy("hash")
+    in_bucket = Window.partitionBy("stratum", "bucket").orderBy("row_hash")
     return (
-        df.select("stratum", "hash", F.floor(F.col("hash") / _BUCKET).alias("bucket"))
+        df.select("stratum", "row_hash", F.floor(F.col("row_hash") / _BUCKET).alias("bucket"))
         .join(buckets, ["stratum", "bucket"])
         .withColumn("place", F.row_number().over(in_bucket))
         .filter("place = rank")
-        .select("stratum", F.col("hash").alias("threshold"))
+        .select("stratum", F.col("row_hash").alias("threshold"))
     )
 
 
 def split(df: DataFrame, share: float) -> DataFrame:
     """Add ``stratum`` and ``is_test``; ``share`` of each stratum is test data.
 
-    ``df`` is read more than once, so it should be a stored table.
+    ``df`` is read more than once, so it should be a stored table with its
+    ``row_hash``.
     """
-    hashed = stratum(df).withColumn("hash", row_hash())
-    thresholds = hash_thresholds(hashed.select("stratum", "hash"), share)
+    layered = stratum(df)
+    thresholds = hash_thresholds(layered.select("stratum", "row_hash"), share)
     return (
-        hashed.join(thresholds, "stratum", "left")
-        .withColumn("is_test", F.col("hash") <= F.col("threshold"))
-        .drop("hash", "threshold")
+        layered.join(thresholds, "stratum", "left")
+        .withColumn("is_test", F.col("row_hash") <= F.col("threshold"))
+        .drop("row_hash", "threshold")
     )
 
 
@@ -83,12 +86,11 @@ def split_within_series(df: DataFrame, share: float) -> DataFrame:
         df.withColumn("cuts", cuts.over(whole))
         .withColumn("stratum", _above(F.col("cuts")))
         .drop("cuts")
-        .withColumn("hash", row_hash())
-        .withColumn("place", F.row_number().over(layer.orderBy("hash")))
+        .withColumn("place", F.row_number().over(layer.orderBy("row_hash")))
         .withColumn(
             "is_test", F.col("place") <= F.ceil(F.count(F.lit(1)).over(layer) * F.lit(share))
         )
-        .drop("hash", "place")
+        .drop("row_hash", "place")
     )
 
 

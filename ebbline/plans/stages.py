@@ -75,6 +75,7 @@ class Decomposition:
 
         def build() -> DataFrame:
             rows = trended(self.inputs.daily_fact, self.settings, self.placed)
+            rows = split.with_row_hash(rows)
             return with_day_attributes(rows, self.calendar, self.campaigns, self.settings)
 
         return self.store.stage(f"{self.label}/main", build)
