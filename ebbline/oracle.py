@@ -242,13 +242,13 @@ def _with(upto: str, body: str) -> str:
 
 
 def _r(expression: str, places: int = 4, alias: str | None = None) -> str:
-    return f"round({expression}, {places}) + 0.0 AS {alias or expression}"
+    return f"floor(({expression}) * 1e{places} + 0.5001) / 1e{places} AS {alias or expression}"
 
 
 def _input_tables() -> dict[str, str]:
     flat = f"SELECT {ROW}, "
     return {
-        "daily_fact": _with("fact", flat + _r("raw_amount", 2) + " FROM fact"),
+        "daily_fact": _with("fact", flat + _r("raw_amount") + " FROM fact"),
         "calendar": _with("days", "SELECT * EXCLUDE (amount_sent) FROM days"),
         "campaigns": _with("campaign", "SELECT date, edm_type, amount_sent FROM campaign"),
         "regime_tag": _with(
@@ -256,11 +256,11 @@ def _input_tables() -> dict[str, str]:
             flat + "regime, CASE regime WHEN 'pre' THEN 1 WHEN 'transition' THEN 2 ELSE 3 END AS regime_no FROM tagged",
         ),
         "growing_width": _with("cleaned", flat + "width FROM cleaned"),
-        "clean_amounts": _with("cleaned", flat + _r("amount", 2) + " FROM cleaned"),
-        "centred_trend": _with("smooth", flat + _r("trend", 2) + " FROM smooth"),
+        "clean_amounts": _with("cleaned", flat + _r("amount") + " FROM cleaned"),
+        "centred_trend": _with("smooth", flat + _r("trend") + " FROM smooth"),
         "detrend": _with(
             "main_rows",
-            flat + ", ".join(_r(c, 2) for c in ("amount", "trend", "residual_trend")) + " FROM main_rows",
+            flat + ", ".join(_r(c) for c in ("amount", "trend", "residual_trend")) + " FROM main_rows",
         ),
         "price_change": _with(
             "main_rows",
@@ -269,7 +269,7 @@ def _input_tables() -> dict[str, str]:
         "monthly_average": _with(
             "f0",
             flat
-            + _r(f"avg(amount) OVER (PARTITION BY {K}, year(date), month(date))", 2, "month_average")
+            + _r(f"avg(amount) OVER (PARTITION BY {K}, year(date), month(date))", 4, "month_average")
             + " FROM f0 WHERE NOT is_test",
         ),
         "hash_split": _with("f0", flat + "stratum, is_test FROM f0"),
@@ -283,7 +283,7 @@ def _input_tables() -> dict[str, str]:
             "main_rows",
             f"""
         SELECT {K}, stratum, count(*) AS n_rows, count(*) FILTER (is_test) AS n_test,
-               round(count(*) FILTER (is_test) / count(*), 4) + 0.0 AS test_share
+               floor((count(*) FILTER (is_test) / count(*)) * 1e4 + 0.5001) / 1e4 AS test_share
         FROM (SELECT *, row_number() OVER (PARTITION BY {K}, stratum ORDER BY h)
                 <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY {K}, stratum)) AS is_test
               FROM (SELECT {K}, h, (amount > quantile_cont(amount, 0.25) OVER s)::INT
@@ -315,7 +315,7 @@ def _terms(source: str, keys: str, slope_name: str) -> str:
     """Intercept and slope rows from (n, mx, my, sxx, syy, slope, intercept)."""
     return f"""
         SELECT {keys}, coefficient_name, {_r("coefficient_value", 8)}, {_r("std_error", 8)},
-               {_r("statistic")}, round({_p_value("statistic", "df")}, 4) + 0.0 AS p_value
+               {_r("statistic")}, floor(({_p_value("statistic", "df")}) * 1e4 + 0.5001) / 1e4 AS p_value
         FROM (SELECT *, coefficient_value / nullif(std_error, 0) AS statistic
               FROM (
                 SELECT {keys}, df, 'Intercept' AS coefficient_name,
@@ -332,8 +332,8 @@ def _terms(source: str, keys: str, slope_name: str) -> str:
 def _line(y: str, x: str, suffix: str = "") -> str:
     varies = f"min({x}) < max({x})"
     return (
-        f"round(CASE WHEN {varies} THEN regr_slope({y}, {x}) END, 8) + 0.0 AS slope{suffix}, "
-        f"round(CASE WHEN {varies} THEN regr_intercept({y}, {x}) END, 6) + 0.0 AS intercept{suffix}"
+        f"floor((CASE WHEN {varies} THEN regr_slope({y}, {x}) END) * 1e8 + 0.5001) / 1e8 AS slope{suffix}, "
+        f"floor((CASE WHEN {varies} THEN regr_intercept({y}, {x}) END) * 1e6 + 0.5001) / 1e6 AS intercept{suffix}"
     )
 
 
@@ -384,10 +384,10 @@ def _factor_tables() -> dict[str, str]:
         "main_rows",
         f"""
         SELECT {K}, count(*) AS n_points,
-               round(regr_slope(amount, {day}), 6) + 0.0 AS amount_slope,
-               round(regr_intercept(amount, {day}), 2) + 0.0 AS amount_intercept,
-               round(regr_slope(residual_trend, {day}), 6) + 0.0 AS residual_trend_slope,
-               round(regr_intercept(residual_trend, {day}), 2) + 0.0 AS residual_trend_intercept
+               floor((regr_slope(amount, {day})) * 1e6 + 0.5001) / 1e6 AS amount_slope,
+               floor((regr_intercept(amount, {day})) * 1e4 + 0.5001) / 1e4 AS amount_intercept,
+               floor((regr_slope(residual_trend, {day})) * 1e6 + 0.5001) / 1e6 AS residual_trend_slope,
+               floor((regr_intercept(residual_trend, {day})) * 1e4 + 0.5001) / 1e4 AS residual_trend_intercept
         FROM main_rows GROUP BY {K}""",
     )
     return found
@@ -480,14 +480,14 @@ def _score_tables() -> dict[str, str]:
         for g, k in (("full", K), ("product", product), ("high", high))
     )
     series = f"""
-        SELECT data, date, {product}, decomposition_l1, round(sum(amount), 4) + 0.0 AS amount
+        SELECT data, date, {product}, decomposition_l1, floor((sum(amount)) * 1e4 + 0.5001) / 1e4 AS amount
         FROM {LONG} GROUP BY data, date, {product}, decomposition_l1"""
     return {
         "score_wide": wide,
         "score_in_place": wide,
         "decomposition_long": _with(
             "scored",
-            f"SELECT data, {ROW}, decomposition_name, round(amount, 4) + 0.0 AS amount, "
+            f"SELECT data, {ROW}, decomposition_name, floor((amount) * 1e4 + 0.5001) / 1e4 AS amount, "
             f"decomposition_l1, decomposition_l2, step_rank FROM {LONG}",
         ),
         "hierarchy": _with(
@@ -522,15 +522,15 @@ def _score_tables() -> dict[str, str]:
         ),
         "overall_step": _step(
             high,
-            """SELECT a.decomposition_name, a.step_rank, round(a."RMSE", 4) + 0.0 AS "RMSE_Train",
-                      round(b."RMSE", 4) + 0.0 AS "RMSE_Test"
+            """SELECT a.decomposition_name, a.step_rank, floor((a."RMSE") * 1e4 + 0.5001) / 1e4 AS "RMSE_Train",
+                      floor((b."RMSE") * 1e4 + 0.5001) / 1e4 AS "RMSE_Test"
                FROM (SELECT * FROM steps WHERE data = 'Train') a
                LEFT JOIN (SELECT * FROM steps WHERE data = 'Test') b USING (decomposition_name)""",
         ),
         "step_percent": _step(
             high,
-            """SELECT decomposition_name, step_rank, round("RMSE", 4) + 0.0 AS "RMSE",
-                      round(100 * round("RMSEChange", 2), 4) + 0.0 AS change_percent
+            """SELECT decomposition_name, step_rank, floor(("RMSE") * 1e4 + 0.5001) / 1e4 AS "RMSE",
+                      floor((100 * round("RMSEChange", 2)) * 1e4 + 0.5001) / 1e4 AS change_percent
                FROM steps WHERE data = 'Train'""",
         ),
         "product_series": _with("scored", series),
@@ -538,9 +538,9 @@ def _score_tables() -> dict[str, str]:
             "scored",
             f"""
         SELECT data, date, {product},
-               round(sum(amount) FILTER (decomposition_l1 = 'Actual Results'), 4) + 0.0 AS actual,
-               round(sum(amount) FILTER (decomposition_l1 = 'Model Results'), 4) + 0.0 AS model,
-               round(sum(amount) FILTER (decomposition_l1 = 'Residual'), 4) + 0.0 AS residual
+               floor((sum(amount) FILTER (decomposition_l1 = 'Actual Results')) * 1e4 + 0.5001) / 1e4 AS actual,
+               floor((sum(amount) FILTER (decomposition_l1 = 'Model Results')) * 1e4 + 0.5001) / 1e4 AS model,
+               floor((sum(amount) FILTER (decomposition_l1 = 'Residual')) * 1e4 + 0.5001) / 1e4 AS residual
         FROM {LONG} GROUP BY data, date, {product}""",
         ),
         "residual_histogram": _histogram(
@@ -556,7 +556,7 @@ def _histogram(rows: str, keys: str, bins: int) -> str:
     return _with(
         "scored",
         f"""
-        SELECT {keys}, bin_no, round(min(lo) + (min(hi) - min(lo)) * (bin_no - 1) / {bins}, 4) + 0.0 AS bin_from,
+        SELECT {keys}, bin_no, floor((min(lo) + (min(hi) - min(lo)) * (bin_no - 1) / {bins}) * 1e4 + 0.5001) / 1e4 AS bin_from,
                count(*) AS n_rows
         FROM (SELECT *, least(coalesce(floor((v - lo) * {bins} / nullif(hi - lo, 0)), 0) + 1, {bins})::INT AS bin_no
               FROM (SELECT *, min(v) OVER (PARTITION BY {keys}) AS lo, max(v) OVER (PARTITION BY {keys}) AS hi
@@ -573,7 +573,7 @@ def _studies() -> dict[str, str]:
     by = "product_key, stay_name"
 
     def corr(x: str, places: int, alias: str) -> str:
-        return f"round(round(corr({x}, resid_perc), {places}), 4) + 0.0 AS {alias}"
+        return f"floor((round(corr({x}, resid_perc), {places})) * 1e4 + 0.5001) / 1e4 AS {alias}"
 
     def regression(x: str) -> str:
         sums = f"""(SELECT {by}, count(*) AS n, avg({x}) AS mx, avg(resid_perc) AS my,
@@ -602,15 +602,15 @@ def _studies() -> dict[str, str]:
             f"""
         SELECT date, {by}, day_no_week,
                min(date) OVER (PARTITION BY product_key, year(date), (dayofyear(date) - 1) // 7) AS start_of_week,
-               round({clip}, 4) + 0.0 AS perc_var, round(abs({clip}), 4) + 0.0 AS abs_perc_var
+               floor(({clip}) * 1e4 + 0.5001) / 1e4 AS perc_var, floor((abs({clip})) * 1e4 + 0.5001) / 1e4 AS abs_perc_var
         FROM training""",
         ),
         "residual_sample": _with(
             "training",
             f"""
-        SELECT {by}, round(100 * round(mae, 2), 4) + 0.0 AS mae_percent,
-               round(100 * round(mbe, 2), 4) + 0.0 AS mbe_percent,
-               round(total, 4) + 0.0 AS total_purchases,
+        SELECT {by}, floor((100 * round(mae, 2)) * 1e4 + 0.5001) / 1e4 AS mae_percent,
+               floor((100 * round(mbe, 2)) * 1e4 + 0.5001) / 1e4 AS mbe_percent,
+               floor((total) * 1e4 + 0.5001) / 1e4 AS total_purchases,
                round(100 * total / nullif(sum(total) OVER (PARTITION BY product_key), 0), 2) + 0.0 AS share_percent
         FROM (SELECT {by}, CASE WHEN bool_or(resid_perc IS NULL) THEN NULL ELSE avg(abs({clip})) END AS mae,
                      CASE WHEN bool_or(resid_perc IS NULL) THEN NULL ELSE avg({clip}) END AS mbe,
@@ -622,7 +622,7 @@ def _studies() -> dict[str, str]:
             f"""
         SELECT {by}, {corr("price_change_prior", 15, "cor_prior")}, {corr("price_change_trend", 15, "cor_trend")},
                {corr("price_change_trend", 2, "against_trend")}, {corr("price_change_prior", 2, "against_prior_day")},
-               round(sum(amount), 4) + 0.0 AS total_purchases
+               floor((sum(amount)) * 1e4 + 0.5001) / 1e4 AS total_purchases
         FROM training GROUP BY {by}""",
         ),
         "price_regression_prior": regression("price_change_prior"),

@@ -74,10 +74,9 @@ FACTOR_TABLES = {
     "dow_rgr": "EDMMajorDOWRgr",
 }
 
-_MONEY = {"raw_amount": 2, "amount": 2, "trend": 2, "residual_trend": 2, "month_average": 2}
 _FINE = {"coefficient_value": 8, "std_error": 8, "slope": 8, "slope_after": 8, "intercept": 6,
          "intercept_after": 6, "amount_slope": 6, "residual_trend_slope": 6,
-         "amount_intercept": 2, "residual_trend_intercept": 2}
+         "amount_intercept": 4, "residual_trend_intercept": 4}
 
 
 def tables() -> dict[str, Table]:
@@ -150,17 +149,12 @@ def tables() -> dict[str, Table]:
     return found
 
 
-def _query(table: Table, money: bool) -> Query:
-    places = {**_FINE, **(_MONEY if money else {})}
-
+def _query(table: Table) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return present(table(stages.from_orders(spark, folder)), places)
+        return present(table(stages.from_orders(spark, folder)), _FINE)
 
     return run
 
 
-_IN_MONEY = {"daily_fact", "clean_amounts", "centred_trend", "detrend", "monthly_average"}
-
-
 def queries() -> dict[str, Query]:
-    return {name: _query(table, name in _IN_MONEY) for name, table in tables().items()}
+    return {name: _query(table) for name, table in tables().items()}
