@@ -135,15 +135,21 @@ def fit_volume(df: DataFrame, factor: VolumeFactor) -> DataFrame:
 
     dx, dy = x - F.col("_x"), y - F.col("_y")
     df = (
-        df.withColumn("_n", total(n))
-        .withColumns(
+        df.withColumns(
             {
-                "_x": ratio(total(n * x), F.col("_n")),
-                "_y": ratio(total(n * y), F.col("_n")),
+                "_n": total(n),
+                "_nx": total(n * x),
+                "_ny": total(n * y),
                 "_lo": F.min(F.when(rows, F.col("sent_min"))).over(group),
                 "_hi": F.max(F.when(rows, F.col("sent_max"))).over(group),
             }
         )
+        .withColumns(
+            {
+                "_x": ratio(F.col("_nx"), F.col("_n")),
+                "_y": ratio(F.col("_ny"), F.col("_n")),
+            }
+        )
         .withColumns(
             {
                 "_sxx": total(F.col("sent_ss") + n * dx * dx),
@@ -162,7 +168,7 @@ def fit_volume(df: DataFrame, factor: VolumeFactor) -> DataFrame:
                 F.col("_syy").alias("syy"),
             ),
         )
-        .drop("_n", "_x", "_y", "_lo", "_hi", "_sxx", "_sxy", "_syy")
+        .drop("_n", "_nx", "_ny", "_x", "_y", "_lo", "_hi", "_sxx", "_sxy", "_syy")
     )
     fit = F.col(factor.stats)
     slope = ratio(fit["sxy"], fit["sxx"])

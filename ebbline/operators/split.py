@@ -10,8 +10,8 @@ from ebbline.settings import SERIES
 # Strata are cut at the quartiles of the amount. The accuracy makes the cut exact
 # up to 100,000 rows and within 1/100,000 of the ranks beyond.
 QUARTILES = "percentile_approx(amount, array(0.25D, 0.5D, 0.75D), 100000)"
-# The 60-bit row hash is histogrammed by its leading 16 bits.
-_BUCKET = 1 << 44
+# The 60-bit row hash is histogrammed by its leading 14 bits.
+_BUCKET = 1 << 46
 
 
 def with_row_hash(df: DataFrame) -> DataFrame:

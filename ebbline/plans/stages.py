@@ -32,7 +32,8 @@ def trended(fact: DataFrame, settings: Settings, placed: bool = False) -> DataFr
     in_scope = cleaned(rows, settings).filter(
         F.col("date").between(F.lit(settings.date_from), F.lit(settings.date_to))
     )
-    return trend.price_change(trend.detrend(trend.centred_trend(in_scope)), settings)
+    narrow = in_scope.select("date", *SERIES, "regime_no", "width", "amount")
+    return trend.price_change(trend.detrend(trend.centred_trend(narrow)), settings)
 
 
 def with_day_attributes(
@@ -90,7 +91,8 @@ class Decomposition:
         """Main rows with the ratio of every factor, fitted on training rows."""
 
         def build() -> DataFrame:
-            return factors.fit_chain(self.divided.repartition(*PLACEMENT))
+            rows = self.divided.drop("regime_no", "width")
+            return factors.fit_chain(rows.repartition(*PLACEMENT))
 
         return self.store.stage(f"{self.label}/fitted", build)
 
@@ -116,7 +118,7 @@ class Decomposition:
     @property
     def scored(self) -> DataFrame:
         """Train and test rows scored with the stored model, flagged by ``data``."""
-        flagged = self.divided.withColumn("data", data_label())
+        flagged = self.fitted.withColumn("data", data_label())
         return score.score(flagged, self.campaigns, self.model, self.settings)
 
     @property
