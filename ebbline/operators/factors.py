@@ -57,16 +57,12 @@ class VolumeFactor(Factor):
 
     campaign_era: bool = True
 
-    @property
-    def stats(self) -> str:
-        return f"Fit_{self.name}"
-
     def rows(self) -> Column:
         return super().rows() & on_campaign()
 
 
 def on_campaign() -> Column:
-    return (F.col("edm_flag") == 1) & (F.col("sent_n") > 0)
+    return (F.col("edm_flag") == 1) & (F.col("sent.n") > 0)
 
 
 # Factor names and levels, in training order.
@@ -118,64 +114,45 @@ def fit_ratio(df: DataFrame, factor: Factor) -> DataFrame:
 
 
 def fit_volume(df: DataFrame, factor: VolumeFactor) -> DataFrame:
-    """Add the regression ratio on campaign volume and the sums it rests on.
+    """Add the ratio regressed on campaign volume and move ``left`` on.
 
-    Campaign volumes arrive per day as (n, mean, sum of squares about the mean,
+    ``sent`` holds the volumes of a day as (n, mean, sum of squares about the mean,
     min, max), so several campaigns on a day weigh as several observations without
     multiplying rows. A level with one volume only has no slope and explains
     nothing.
     """
     group = Window.partitionBy(*SERIES, *factor.levels)
     rows = factor.rows()
-    n, x = F.col("sent_n"), F.col("sent_mean")
+    n, x = F.col("sent.n"), F.col("sent.mean")
     y = F.coalesce(ratio(F.col("left"), F.col("trend")), F.lit(0.0))
 
     def total(value: Column) -> Column:
         return F.sum(F.when(rows, value)).over(group)
 
-    dx, dy = x - F.col("_x"), y - F.col("_y")
-    df = (
-        df.withColumns(
-            {
-                "_n": total(n),
-                "_nx": total(n * x),
-                "_ny": total(n * y),
-                "_lo": F.min(F.when(rows, F.col("sent_min"))).over(group),
-                "_hi": F.max(F.when(rows, F.col("sent_max"))).over(group),
-            }
-        )
-        .withColumns(
-            {
-                "_x": ratio(F.col("_nx"), F.col("_n")),
-                "_y": ratio(F.col("_ny"), F.col("_n")),
-            }
-        )
-        .withColumns(
-            {
-                "_sxx": total(F.col("sent_ss") + n * dx * dx),
-                "_sxy": total(n * dx * dy),
-                "_syy": total(n * dy * dy),
-            }
-        )
-        .withColumn(
-            factor.stats,
-            F.struct(
-                F.col("_n").alias("n"),
-                F.col("_x").alias("x_mean"),
-                F.col("_y").alias("y_mean"),
-                F.when(F.col("_lo") < F.col("_hi"), F.col("_sxx")).alias("sxx"),
-                F.col("_sxy").alias("sxy"),
-                F.col("_syy").alias("syy"),
-            ),
-        )
-        .drop("_n", "_nx", "_ny", "_x", "_y", "_lo", "_hi", "_sxx", "_sxy", "_syy")
-    )
-    fit = F.col(factor.stats)
-    slope = ratio(fit["sxy"], fit["sxx"])
+    sums = {
+        "n": total(n),
+        "x": total(n * x),
+        "y": total(n * y),
+        "low": F.min(F.when(rows, F.col("sent.min"))).over(group),
+        "high": F.max(F.when(rows, F.col("sent.max"))).over(group),
+    }
+    at = F.col("_at")
+    x_mean, y_mean = ratio(at["x"], at["n"]), ratio(at["y"], at["n"])
+    dx = x - x_mean
+    spread = {
+        "sxx": total(F.col("sent.ss") + n * dx * dx),
+        "sxy": total(n * dx * (y - y_mean)),
+    }
+    about = F.col("_about")
+    slope = F.when(at["low"] < at["high"], ratio(about["sxy"], about["sxx"]))
     # sum over the day's campaigns of intercept + slope * volume
-    share = n * (fit["y_mean"] + slope * (x - fit["x_mean"]))
-    return df.withColumn(factor.ratio, F.when(on_campaign(), share)).withColumn(
-        "left", _residual_after(F.col("left"), F.col(factor.ratio))
+    share = F.when(on_campaign(), n * (y_mean + slope * dx))
+    return (
+        df.withColumn("_at", F.struct(*[v.alias(k) for k, v in sums.items()]))
+        .withColumn("_about", F.struct(*[v.alias(k) for k, v in spread.items()]))
+        .withColumn(factor.ratio, share)
+        .withColumn("left", _residual_after(F.col("left"), F.col(factor.ratio)))
+        .drop("_at", "_about")
     )
 
 
@@ -185,20 +162,26 @@ def fit_chain(df: DataFrame) -> DataFrame:
     Needs ``trend``, ``residual_trend``, ``is_test``, ``campaign_era`` and the day
     attributes. Every window is keyed by the series, so one placement by product
     and stay carries the whole chain; local sorts are shared where the levels of
-    one factor refine those of the one before.
+    one factor refine those of the one before. Columns the chain does not touch
+    travel packed in one struct, which keeps the rows cheap to copy.
     """
     order = {
         "EDMMajorAvg": ("edm_type", "month_no"),
         "EDMMajorLaggedAvg": ("prior_edm_type", "edm_lagged_flag", "days_from_edm_start"),
     }
-    df = df.withColumn("left", F.col("residual_trend"))
+    levels = list(dict.fromkeys(level for f in FACTORS for level in f.levels))
+    used = [*SERIES, *levels, "trend", "is_test", "campaign_era", "edm_flag", "sent"]
+    carried = [c for c in df.columns if c not in used]
+    df = df.select(
+        *used, F.struct(*carried).alias("carried"), F.col("residual_trend").alias("left")
+    )
     for factor in RATIO_FACTORS:
         if factor.name in order:
             df = df.sortWithinPartitions(*SERIES, *order[factor.name])
         df = fit_ratio(df, factor)
     for factor in VOLUME_FACTORS:
         df = fit_volume(df, factor)
-    return df.drop("left")
+    return df.select(*used, "carried.*", *[f.ratio for f in FACTORS])
 
 
 def with_parts(df: DataFrame, upto: str = "EDMMajorDOWRgr") -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbline.functions.measures import ratio
 from ebbline.operators.factors import (
     BY_NAME,
     FACTORS,
@@ -15,22 +16,17 @@ from ebbline.operators.factors import (
     Factor,
     VolumeFactor,
     on_campaign,
+    residual_before,
+    with_parts,
 )
 from ebbline.operators.hierarchy import MODEL_PARTS
-from ebbline.operators.regression import INTERCEPT, fit_terms
+from ebbline.operators.regression import INTERCEPT, ols_by_group
 from ebbline.settings import SERIES, Settings
 from ebbline.sources.tables import write_table
 
 # Fixed value: name of the volume coefficient.
 VOLUME_TERM = "AmountTotalCampaignSent"
 TREND_RATIO = "trend_ratio"
-COEFFICIENT_COLUMNS = [
-    "coefficient_name",
-    "coefficient_value",
-    "std_error",
-    "statistic",
-    "p_value",
-]
 
 
 @dataclass(frozen=True)
@@ -56,41 +52,55 @@ def ratio_table(fitted: DataFrame, factor: Factor) -> DataFrame:
     )
 
 
-def coefficient_table(fitted: DataFrame, factor: VolumeFactor) -> DataFrame:
-    keys = [*SERIES, *factor.levels]
-    sums = (
-        fitted.filter(factor.rows())
-        .groupBy(*keys)
-        .agg(F.first(factor.stats).alias("fit"))
-        .select(*keys, "fit.*")
+def volume_points(parts: DataFrame, campaigns: DataFrame, name: str) -> DataFrame:
+    """Campaign volume against relative residual, one row per campaign and series."""
+    factor = BY_NAME[name]
+
+    def relative(column: str) -> Column:
+        return F.coalesce(ratio(F.col(column), F.col("trend")), F.lit(0.0))
+
+    rows = parts.filter(factor.rows()).select(
+        "date",
+        *SERIES,
+        *factor.levels,
+        relative(residual_before(factor)).alias("ratio_before"),
+        relative(factor.residual).alias("ratio_after"),
     )
-    columns = [F.col(c) for c in ("n", "x_mean", "y_mean", "sxx", "sxy", "syy")]
-    return fit_terms(sums, keys, VOLUME_TERM, *columns)
+    sent = campaigns.filter(F.col("amount_sent").isNotNull())
+    return rows.join(sent.select("date", "amount_sent"), "date")
 
 
-def model_table(fitted: DataFrame, name: str) -> DataFrame:
+def coefficient_table(fitted: DataFrame, campaigns: DataFrame, factor: VolumeFactor) -> DataFrame:
+    points = volume_points(with_parts(fitted, factor.name), campaigns, factor.name)
+    return ols_by_group(
+        points.withColumnRenamed("amount_sent", VOLUME_TERM),
+        [*SERIES, *factor.levels],
+        "ratio_before",
+        VOLUME_TERM,
+    )
+
+
+def model_table(fitted: DataFrame, campaigns: DataFrame, name: str) -> DataFrame:
     factor = BY_NAME[name]
     if isinstance(factor, VolumeFactor):
-        return coefficient_table(fitted, factor)
+        return coefficient_table(fitted, campaigns, factor)
     return ratio_table(fitted, factor)
 
 
-def model_of(fitted: DataFrame) -> Model:
-    return Model({f.name: model_table(fitted, f.name) for f in FACTORS})
-
-
 def campaign_days(campaigns: DataFrame) -> DataFrame:
-    """Campaigns with a volume summed up per day; one row per day."""
+    """The campaign volumes of a day as one struct; one row per day."""
     sent = F.col("amount_sent")
     return (
         campaigns.filter(sent.isNotNull())
         .groupBy("date")
         .agg(
-            F.count(sent).alias("sent_n"),
-            F.avg(sent).alias("sent_mean"),
-            (F.var_pop(sent) * F.count(sent)).alias("sent_ss"),
-            F.min(sent).alias("sent_min"),
-            F.max(sent).alias("sent_max"),
+            F.struct(
+                F.count(sent).alias("n"),
+                F.avg(sent).alias("mean"),
+                (F.var_pop(sent) * F.count(sent)).alias("ss"),
+                F.min(sent).alias("min"),
+                F.max(sent).alias("max"),
+            ).alias("sent")
         )
     )
 
@@ -141,12 +151,12 @@ def score(df: DataFrame, campaigns: DataFrame, model: Model, settings: Settings)
             .withColumn(factor.predict, explained)
             .drop(TREND_RATIO)
         )
-    if "sent_n" not in rows.columns:
+    if "sent" not in rows.columns:
         rows = rows.join(campaign_days(campaigns), "date", "left")
     for factor in VOLUME_FACTORS:
         keys = [*SERIES, *factor.levels]
         wide = _wide_coefficients(model.tables[factor.name], keys)
-        per_day = F.col("sent_n") * (F.col("_intercept") + F.col("_slope") * F.col("sent_mean"))
+        per_day = F.col("sent.n") * (F.col("_intercept") + F.col("_slope") * F.col("sent.mean"))
         share = F.coalesce(F.when(on_campaign(), per_day), F.lit(0.0))
         rows = (
             _look_up(rows, wide, keys, ["_intercept", "_slope"])

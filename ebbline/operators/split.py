@@ -36,7 +36,8 @@ def hash_thresholds(df: DataFrame, share: float) -> DataFrame:
     """Per stratum the hash of its ceil(share * n)-th row in hash order.
 
     Ranks are found from a histogram of leading hash bits; only the bucket that
-    holds the wanted rank is ordered, so no stratum is ever sorted as a whole.
+    holds the wanted rank is ordered, so no stratum is ever sorted as a whole. Both
+    broadcast sides hold one row per stratum, four at most.
     """
     buckets = (
         df.groupBy("stratum", F.floor(F.col("row_hash") / _BUCKET).alias("bucket"))
@@ -55,7 +56,7 @@ def hash_thresholds(df: DataFrame, share: float) -> DataFrame:
     in_bucket = Window.partitionBy("stratum", "bucket").orderBy("row_hash")
     return (
         df.select("stratum", "row_hash", F.floor(F.col("row_hash") / _BUCKET).alias("bucket"))
-        .join(buckets, ["stratum", "bucket"])
+        .join(F.broadcast(buckets), ["stratum", "bucket"])
         .withColumn("place", F.row_number().over(in_bucket))
         .filter("place = rank")
         .select("stratum", F.col("row_hash").alias("threshold"))
@@ -71,7 +72,7 @@ def split(df: DataFrame, share: float) -> DataFrame:
     layered = stratum(df)
     thresholds = hash_thresholds(layered.select("stratum", "row_hash"), share)
     return (
-        layered.join(thresholds, "stratum", "left")
+        layered.join(F.broadcast(thresholds), "stratum", "left")
         .withColumn("is_test", F.col("row_hash") <= F.col("threshold"))
         .drop("row_hash", "threshold")
     )

@@ -112,7 +112,7 @@ class Decomposition:
 
     def model_table(self, name: str) -> DataFrame:
         return self.store.stage(
-            f"{self.label}/model/{name}", lambda: score.model_table(self.fitted, name)
+            f"{self.label}/model/{name}", lambda: score.model_table(self.fitted, self.campaigns, name)
         )
 
     @property

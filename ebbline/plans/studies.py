@@ -9,6 +9,7 @@ from ebbline.functions.measures import clip_unit, finite, ratio, strict_mean, we
 from ebbline.operators.factors import BY_NAME, FACTORS, Factor, residual_before
 from ebbline.operators.hierarchy import with_hierarchy
 from ebbline.operators.regression import INTERCEPT, ols_by_group, panel_lines
+from ebbline.operators.score import volume_points
 from ebbline.plans.accuracy import with_stay_name
 from ebbline.settings import SERIES, Settings
 
@@ -41,24 +42,6 @@ def lagged_weekday_check(parts: DataFrame, dim_stay: DataFrame) -> DataFrame:
     )
 
 
-def volume_points(parts: DataFrame, campaigns: DataFrame, name: str) -> DataFrame:
-    """Campaign volume against relative residual, one row per campaign and series."""
-    factor = BY_NAME[name]
-
-    def relative(column: str) -> Column:
-        return F.coalesce(ratio(F.col(column), F.col("trend")), F.lit(0.0))
-
-    rows = parts.filter(factor.rows()).select(
-        "date",
-        *SERIES,
-        *factor.levels,
-        relative(residual_before(factor)).alias("ratio_before"),
-        relative(factor.residual).alias("ratio_after"),
-    )
-    sent = campaigns.filter(F.col("amount_sent").isNotNull()).select("date", "amount_sent")
-    return rows.join(sent, "date")
-
-
 def volume_lines(parts: DataFrame, campaigns: DataFrame, name: str) -> DataFrame:
     """Straight lines through the campaign points of each panel."""
     points = volume_points(parts, campaigns, name)

@@ -48,11 +48,7 @@ def trended_rows(spark, rows):
             "prior_edm_type": None,
             "edm_lagged_flag": False,
             "days_from_edm_start": None,
-            "sent_n": None,
-            "sent_mean": None,
-            "sent_ss": None,
-            "sent_min": None,
-            "sent_max": None,
+            "sent": None,
             "campaign_era": True,
         }
         base.update(row)
@@ -63,7 +59,8 @@ def trended_rows(spark, rows):
         "date date, product_key int, stay_key int, amount_type int, trend double, is_test boolean, "
         "month_no int, day_no_week int, school_holiday string, influential_date string, "
         "edm_type int, edm_flag int, prior_edm_type int, edm_lagged_flag boolean, "
-        "days_from_edm_start int, sent_n long, sent_mean double, sent_ss double, sent_min double, "
-        "sent_max double, campaign_era boolean, residual_trend double",
+        "days_from_edm_start int, "
+        "sent struct<n: long, mean: double, ss: double, min: double, max: double>, "
+        "campaign_era boolean, residual_trend double",
     )
     return df.withColumn("amount", F.col("trend") + F.col("residual_trend"))

@@ -79,16 +79,8 @@ def test_lagged_factors_touch_lagged_rows_only(spark):
     assert got[0] is None and got[1] is not None
 
 
-def campaign(x, n=1, **more):
-    return {
-        "edm_flag": 1,
-        "sent_n": n,
-        "sent_mean": float(x),
-        "sent_ss": 0.0,
-        "sent_min": float(x),
-        "sent_max": float(x),
-        **more,
-    }
+def campaign(x, **more):
+    return {"edm_flag": 1, "sent": (1, float(x), 0.0, float(x), float(x)), **more}
 
 
 def fit_one(spark, rows):
@@ -103,20 +95,32 @@ def test_volume_regression_recovers_a_line(spark):
     assert got == [pytest.approx(0.12), pytest.approx(0.14), pytest.approx(0.2), None]
 
 
+def coefficients(spark, points):
+    rows = [
+        campaign(x, residual_trend=y, day=i) for i, (x, y) in enumerate(points)
+    ]
+    fitted = factors.fit_chain(trended_rows(spark, rows))
+    # the ratio factors leave nothing to regress, so blank them out
+    blank = fitted.withColumns({f.ratio: F.lit(0.0) for f in RATIO_FACTORS})
+    sent = spark.createDataFrame(
+        [(DAY0 + timedelta(days=i), float(x)) for i, (x, _) in enumerate(points)],
+        "date date, amount_sent double",
+    )
+    table = score.coefficient_table(blank, sent, BY_NAME["EDMMajorMonthRgr"])
+    return {r.coefficient_name: r for r in table.collect()}
+
+
 def test_flat_volume_explains_nothing(spark):
-    df = fit_one(spark, [campaign(3, residual_trend=y) for y in (1, 2, 6)])
+    points = [(3, 1), (3, 2), (3, 6)]
+    df = fit_one(spark, [campaign(x, residual_trend=y) for x, y in points])
     assert [r[0] for r in df.select("Ratio_EDMMajorMonthRgr").collect()] == [None] * 3
-    table = {
-        r.coefficient_name: r
-        for r in score.coefficient_table(df, BY_NAME["EDMMajorMonthRgr"]).collect()
-    }
+    table = coefficients(spark, points)
     assert table["AmountTotalCampaignSent"].coefficient_value is None
     assert table["Intercept"].coefficient_value == pytest.approx(0.3)
 
 
 def test_two_points_fit_exactly_without_error(spark):
-    df = fit_one(spark, [campaign(1, residual_trend=1), campaign(3, residual_trend=5)])
-    for r in score.coefficient_table(df, BY_NAME["EDMMajorMonthRgr"]).collect():
+    for r in coefficients(spark, [(1, 1), (3, 5)]).values():
         assert r.coefficient_value is not None
         assert r.std_error is None and r.p_value is None
 
@@ -126,10 +130,10 @@ def test_two_campaigns_on_a_day_weigh_twice_and_add_up(spark):
         [(DAY0, 1.0), (DAY0, 5.0), (DAY0 + timedelta(days=1), 4.0), (DAY0 + timedelta(days=2), 2.0)],
         "date date, amount_sent double",
     )
-    days = {r.date: r.asDict() for r in score.campaign_days(sent).collect()}
+    days = {r.date: r.sent for r in score.campaign_days(sent).collect()}
     y = [3.0, 1.0, 2.0]
     rows = [
-        {"edm_flag": 1, "residual_trend": y[i], **{k: v for k, v in days[DAY0 + timedelta(days=i)].items() if k != "date"}}
+        {"edm_flag": 1, "residual_trend": y[i], "sent": tuple(days[DAY0 + timedelta(days=i)])}
         for i in range(3)
     ]
     got = [r[0] for r in fit_one(spark, rows).select("Ratio_EDMMajorMonthRgr").collect()]
