@@ -160,8 +160,8 @@ def fit_chain(df: DataFrame) -> DataFrame:
     """Fit all factors in training order in one pass over co-located series.
 
     Needs ``trend``, ``residual_trend``, ``is_test``, ``campaign_era`` and the day
-    attributes. Every window is keyed by the series, so one placement by product
-    and stay carries the whole chain; local sorts are shared where the levels of
+    attributes. Every window is keyed by the series, so rows placed by product and
+    stay (a bucketed stage, or one repartition) are never moved; local sorts are shared where the levels of
     one factor refine those of the one before. Columns the chain does not touch
     travel packed in one struct, which keeps the rows cheap to copy.
     """

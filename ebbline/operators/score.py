@@ -21,7 +21,7 @@ from ebbline.operators.factors import (
 )
 from ebbline.operators.hierarchy import MODEL_PARTS
 from ebbline.operators.regression import INTERCEPT, ols_by_group
-from ebbline.settings import SERIES, Settings
+from ebbline.settings import PLACEMENT, SERIES, Settings
 from ebbline.sources.tables import write_table
 
 # Fixed value: name of the volume coefficient.
@@ -128,7 +128,8 @@ def _wide_coefficients(table: DataFrame, keys: list[str]) -> DataFrame:
     def value_of(name: str) -> Column:
         return F.max(F.when(F.col("coefficient_name") == name, F.col("coefficient_value")))
 
-    return table.groupBy(*keys).agg(
+    # placed like the fact, so that the aggregate and a shuffled join share one move
+    return table.repartition(*PLACEMENT).groupBy(*keys).agg(
         value_of(INTERCEPT).alias("_intercept"), value_of(VOLUME_TERM).alias("_slope")
     )
 

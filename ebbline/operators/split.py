@@ -36,8 +36,8 @@ def hash_thresholds(df: DataFrame, share: float) -> DataFrame:
     """Per stratum the hash of its ceil(share * n)-th row in hash order.
 
     Ranks are found from a histogram of leading hash bits; only the bucket that
-    holds the wanted rank is ordered, so no stratum is ever sorted as a whole. Both
-    broadcast sides hold one row per stratum, four at most.
+    holds the wanted rank is ordered, so no stratum is ever sorted as a whole. The
+    broadcast side holds one row per stratum, four at most.
     """
     buckets = (
         df.groupBy("stratum", F.floor(F.col("row_hash") / _BUCKET).alias("bucket"))
@@ -67,15 +67,14 @@ def split(df: DataFrame, share: float) -> DataFrame:
     """Add ``stratum`` and ``is_test``; ``share`` of each stratum is test data.
 
     ``df`` is read more than once, so it should be a stored table with its
-    ``row_hash``.
+    ``row_hash``. The four thresholds enter as a scalar subquery, which leaves the
+    placement of the rows alone.
     """
     layered = stratum(df)
     thresholds = hash_thresholds(layered.select("stratum", "row_hash"), share)
-    return (
-        layered.join(F.broadcast(thresholds), "stratum", "left")
-        .withColumn("is_test", F.col("row_hash") <= F.col("threshold"))
-        .drop("row_hash", "threshold")
-    )
+    entries = F.map_from_entries(F.collect_list(F.struct("stratum", "threshold")))
+    threshold = F.try_element_at(thresholds.agg(entries).scalar(), F.col("stratum"))
+    return layered.withColumn("is_test", F.col("row_hash") <= threshold).drop("row_hash")
 
 
 def split_within_series(df: DataFrame, share: float) -> DataFrame:

@@ -79,7 +79,7 @@ class Decomposition:
             rows = split.with_row_hash(rows)
             return with_day_attributes(rows, self.calendar, self.campaigns, self.settings)
 
-        return self.store.stage(f"{self.label}/main", build)
+        return self.store.stage(f"{self.label}/main", build, placed=True)
 
     @property
     def divided(self) -> DataFrame:
@@ -91,10 +91,9 @@ class Decomposition:
         """Main rows with the ratio of every factor, fitted on training rows."""
 
         def build() -> DataFrame:
-            rows = self.divided.drop("regime_no", "width")
-            return factors.fit_chain(rows.repartition(*PLACEMENT))
+            return factors.fit_chain(self.divided.drop("regime_no", "width"))
 
-        return self.store.stage(f"{self.label}/fitted", build)
+        return self.store.stage(f"{self.label}/fitted", build, placed=True)
 
     @property
     def parts(self) -> DataFrame:

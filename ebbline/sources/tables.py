@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ebbline.settings import PLACEMENT
 from ebbline.sources import schema
 
 
@@ -50,25 +51,44 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class StageStore:
-    """Writes a stage once as Parquet and reads it back from then on.
+    """Writes a stage once and reads it back from then on.
 
     Reading back cuts the lineage, keeps column pruning, gives the optimizer true
-    table sizes and survives lost executors.
+    table sizes and survives lost executors. A stage that is ``placed`` is bucketed
+    by product and stay into as many buckets as the session shuffles into: work on
+    single series (windows, aggregates, joins) then needs no shuffle at all.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/ebbline-{uuid.uuid4().hex}"
-        self._written: set[str] = set()
+        self.name = f"ebbline_{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/{self.name}"
+        self._written: dict[str, str | None] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def stage(
+        self, name: str, build: Callable[[], DataFrame], placed: bool = False
+    ) -> DataFrame:
         if name not in self._written:
-            write_table(build(), self.path(name))
-            self._written.add(name)
-        return self.spark.read.parquet(self.path(name))
+            df = build()
+            table = None
+            if placed:
+                table = f"{self.name}_{len(self._written)}"
+                buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                (
+                    df.write.mode("overwrite")
+                    .format("parquet")
+                    .bucketBy(buckets, *PLACEMENT)
+                    .option("path", self.path(name))
+                    .saveAsTable(table)
+                )
+            else:
+                write_table(df, self.path(name))
+            self._written[name] = table
+        table = self._written[name]
+        return self.spark.table(table) if table else self.spark.read.parquet(self.path(name))
 
 
 _STORES: dict[str, StageStore] = {}
