@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ebbline.settings import SERIES
 
-# Strata are cut at the quartiles of the amount. The accuracy makes the cut exact
-# up to 100,000 rows and within 1/100,000 of the ranks beyond.
-QUARTILES = "percentile_approx(amount, array(0.25D, 0.5D, 0.75D), 100000)"
+# Strata are cut at the quartiles of the amount, found from mergeable sketches: exact
+# up to this many rows, and within 1/COARSE of the ranks beyond, where a sketch of
+# every task has to pass through the final aggregate.
+EXACT_ROWS = 100_000
+COARSE = 10_000
 # The 60-bit row hash is histogrammed by its leading 14 bits.
 _BUCKET = 1 << 46
 
@@ -28,7 +30,9 @@ def _above(cuts: Column) -> Column:
 
 
 def stratum(df: DataFrame) -> DataFrame:
-    cuts = df.select(F.expr(QUARTILES)).scalar()
+    accuracy = EXACT_ROWS if df.count() <= EXACT_ROWS else COARSE
+    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    cuts = df.select(F.percentile_approx("amount", quartiles, accuracy)).scalar()
     return df.withColumn("stratum", _above(cuts))
 
 

@@ -50,13 +50,25 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="ebbline-")
 
 
+# Spark's own default; a session that leaves it says nothing about its data.
+_UNSET_PARTITIONS = 200
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """The session's shuffle partitions; at the default, no more than the cores can use."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted > _UNSET_PARTITIONS:
+        return wanted
+    return min(wanted, 4 * spark.sparkContext.defaultParallelism)
+
+
 class StageStore:
     """Writes a stage once and reads it back from then on.
 
     Reading back cuts the lineage, keeps column pruning, gives the optimizer true
     table sizes and survives lost executors. A stage that is ``placed`` is bucketed
-    by product and stay into as many buckets as the session shuffles into: work on
-    single series (windows, aggregates, joins) then needs no shuffle at all.
+    by product and stay: work on single series (windows, aggregates, joins) then
+    needs no shuffle at all.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -76,11 +88,10 @@ class StageStore:
             table = None
             if placed:
                 table = f"{self.name}_{len(self._written)}"
-                buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
                 (
                     df.write.mode("overwrite")
                     .format("parquet")
-                    .bucketBy(buckets, *PLACEMENT)
+                    .bucketBy(bucket_count(self.spark), *PLACEMENT)
                     .option("path", self.path(name))
                     .saveAsTable(table)
                 )
