@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +109,11 @@ class Decomposition:
     @property
     def model(self) -> Model:
         """The factor tables, each stored and read back with its true size."""
-        return Model({f.name: self.model_table(f.name) for f in FACTORS})
+        # both stages exist before the tables, which are small, are written side by side
+        _ = self.fitted, self.campaigns
+        names = [f.name for f in FACTORS]
+        with ThreadPoolExecutor(4) as pool:
+            return Model(dict(zip(names, pool.map(self.model_table, names))))
 
     def model_table(self, name: str) -> DataFrame:
         return self.store.stage(
