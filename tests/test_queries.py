@@ -10,10 +10,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as contract  # noqa: E402
+from ebbline import oracle  # noqa: E402
+from ebbline.plans import registry  # noqa: E402
 from tests.compare import connect, difference  # noqa: E402
 from tests.conftest import SMALL  # noqa: E402
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
