@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import rules
+from ebbline.llm import decontaminate, pii, rules
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 RULES_SQL = r"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 listed AS (
@@ -40,12 +48,11 @@ measured AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-    len(l)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
-    length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters
+    len(l)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
   FROM listed LEFT JOIN covered USING (r)),
 judged AS (
   SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 100 * n_symbols > 10 * word_chars AS f2,
-    100 * n_dup_lines > 30 * n_lines AS f3, 100 * n_upper > 60 * n_letters AS f4, word_chars < 2 * n_words AS f5,
+    100 * n_dup_lines > 30 * n_lines AS f3, 100 * n_upper > 50 * word_chars AS f4, word_chars < 2 * n_words AS f5,
     word_chars > 20 * n_words AS f6
   FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
@@ -57,7 +64,11 @@ FROM judged
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_quality_rules": op5_quality_rules}
+    return {
+        "op3_decontamination": op3_decontamination,
+        "op5_quality_rules": op5_quality_rules,
+        "op8_pii": op8_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ebbline.llm.common import BLANKS, let, words
 
 # The characters that count as symbols.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 MEASURES = (
-    "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_letters".split()
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper".split()
 )
 
 
@@ -36,7 +36,7 @@ RULES = (
     Rule(1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "100 * n_symbols > 10 * word_chars"),
     Rule(3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
-    Rule(4, "shouting", "100 * n_upper > 60 * n_letters"),
+    Rule(4, "shouting", "100 * n_upper > 50 * word_chars"),
     Rule(5, "short_words", "word_chars < 2 * n_words"),
     Rule(6, "long_words", "word_chars > 20 * n_words"),
 )
@@ -100,25 +100,22 @@ def _repeat_words(w: Column) -> Column:
 def measurements(text: Column) -> Column:
     """A struct of MEASURES for a text; null counts as the empty text."""
     full = F.coalesce(text, F.lit(""))
-    dense = F.translate(full, BLANKS, "")
     lines = F.filter(F.split(full, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    upper = F.length(full) - F.length(F.translate(full, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    lower = F.length(full) - F.length(F.translate(full, "abcdefghijklmnopqrstuvwxyz", ""))
     whole = lambda c, name: c.cast("bigint").alias(name)
 
     def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r"))
+        dense = F.length(F.array_join(w, ""))
+        return F.struct(F.size(w).alias("n"), dense.alias("c"), _repeat_words(w).alias("r"))
 
     def gathered(c: Column, ls: Column) -> Column:
         return F.struct(
             whole(c["n"], "n_words"),
-            whole(F.length(dense), "word_chars"),
-            whole(F.length(full) - F.length(F.translate(full, SYMBOLS, "")), "n_symbols"),
+            whole(c["c"], "word_chars"),
+            whole(F.regexp_count(full, F.lit(SYMBOLS)), "n_symbols"),
             whole(F.size(ls) - F.size(F.array_distinct(ls)), "n_dup_lines"),
             whole(c["r"], "n_repeat_words"),
             whole(F.size(ls), "n_lines"),
-            whole(upper, "n_upper"),
-            whole(upper + lower, "n_letters"),
+            whole(F.regexp_count(full, F.lit("[A-Z]")), "n_upper"),
         )
 
     return let(let(words(text), of_words), lambda c: let(lines, lambda ls: gathered(c, ls)))
