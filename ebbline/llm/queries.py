@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import decontaminate, pii, rules
+from ebbline.llm import decontaminate, jaccard, pii, rules
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents"))
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
 
@@ -66,6 +70,7 @@ FROM judged
 def queries() -> dict[str, Query]:
     return {
         "op3_decontamination": op3_decontamination,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
         "op8_pii": op8_pii,
     }
