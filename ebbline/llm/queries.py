@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import decontaminate, jaccard, pii, rules
+from ebbline.llm import decontaminate, jaccard, pii, rules, segment
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,20 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = segment.Pieces.load()
+    encoded = segment.encode(table(spark, folder, "documents"), pieces)
+    return segment.decode(encoded, pieces).select(
+        "doc_id",
+        "rank",
+        F.size("ids").cast("bigint").alias("n_ids"),
+        "log_prob",
+        "inclusion",
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 RULES_SQL = r"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 listed AS (
@@ -73,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
         "op8_pii": op8_pii,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
