@@ -82,7 +82,10 @@ FROM judged
 
 
 def queries() -> dict[str, Query]:
+    from corpus_pipeline import run
+
     return {
+        "pipeline": run,
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
