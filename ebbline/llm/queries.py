@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import decontaminate, jaccard, pii, rules, segment
+from ebbline.llm import decontaminate, jaccard, pii, repeats, rules, segment
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,17 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.repeated(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -86,6 +97,7 @@ def queries() -> dict[str, Query]:
 
     return {
         "pipeline": run,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
