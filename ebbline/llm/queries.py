@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import decontaminate, jaccard, pii, repeats, rules, segment
+from ebbline.llm import chat, decontaminate, jaccard, pii, repeats, rules, segment
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     pieces = segment.Pieces.load()
     encoded = segment.encode(table(spark, folder, "documents"), pieces)
@@ -92,6 +96,27 @@ FROM judged
 """
 
 
+CHAT_SQL = """
+WITH placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS k,
+    count(*) OVER (PARTITION BY conv_id) AS n,
+    coalesce('r' || len(role) || role, 'n') || coalesce('t' || len(text) || text, 'n') AS own
+  FROM conversations),
+begun AS (
+  SELECT *, string_agg(own, '') OVER (PARTITION BY conv_id ORDER BY k) AS so_far FROM placed),
+whole AS (
+  SELECT so_far, min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_copies FROM begun WHERE k = n GROUP BY so_far, n),
+chosen AS (
+  SELECT * FROM whole w
+  WHERE NOT EXISTS (SELECT 1 FROM begun b WHERE b.k < b.n AND b.k = w.n_turns AND b.so_far = w.so_far))
+SELECT c.conv_id, c.n_turns, c.n_copies,
+  string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|im_', '< |im_') || chr(10)
+    || replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered
+FROM chosen c JOIN placed p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+GROUP BY c.conv_id, c.n_turns, c.n_copies
+"""
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run
 
@@ -101,10 +126,11 @@ def queries() -> dict[str, Query]:
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
+        "op6_chat_formatting": op6_chat_formatting,
         "op8_pii": op8_pii,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": RULES_SQL}
+    return {"op5_quality_rules": RULES_SQL, "op6_chat_formatting": CHAT_SQL}
