@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import chat, decontaminate, jaccard, pii, repeats, rules, segment
+from ebbline.llm import chat, decontaminate, jaccard, pii, repeats, rules, segment, token_shards
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,13 @@ def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(table(spark, folder, "conversations"))
 
 
+def op7_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_shards.write_shards(table(spark, folder, "documents"), token_shards.load_ranks())
+    return token_shards.read_slots(spark, path).select(
+        "slot", "shard", "place", "doc_id", "seq", "n_tokens", F.sha2("record", 256).alias("record_sha256")
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     pieces = segment.Pieces.load()
     encoded = segment.encode(table(spark, folder, "documents"), pieces)
@@ -127,6 +134,7 @@ def queries() -> dict[str, Query]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_token_shards": op7_token_shards,
         "op8_pii": op8_pii,
         "op10_sentencepiece": op10_sentencepiece,
     }
