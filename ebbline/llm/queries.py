@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import chat, decontaminate, jaccard, pii, repeats, rules, segment, token_shards
+from ebbline.llm import chat, decontaminate, jaccard, licenses, pii, repeats, rules, segment, token_shards
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op7_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     pieces = segment.Pieces.load()
     encoded = segment.encode(table(spark, folder, "documents"), pieces)
@@ -136,6 +140,7 @@ def queries() -> dict[str, Query]:
         "op6_chat_formatting": op6_chat_formatting,
         "op7_token_shards": op7_token_shards,
         "op8_pii": op8_pii,
+        "op9_license_scan": op9_license_scan,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
