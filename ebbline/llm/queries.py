@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import chat, decontaminate, jaccard, licenses, pii, repeats, rules, segment, token_shards
+from ebbline.llm import chat, classifier, decontaminate, jaccard, licenses, pii, repeats, rules, segment, token_shards
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    found = classifier.classify(table(spark, folder, "documents"))
+    count = lambda v: F.size(F.filter("votes", lambda x: x == v)).cast("bigint")
+    return found.select(
+        "doc_id", count(1).alias("n_good"), count(-1).alias("n_bad"), "posterior", "score", "kept"
+    )
+
+
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.repeated(table(spark, folder, "documents"))
     return found.select(
@@ -133,6 +141,7 @@ def queries() -> dict[str, Query]:
 
     return {
         "pipeline": run,
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_ngram_jaccard": op4_ngram_jaccard,
