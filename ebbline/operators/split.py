@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbline.operators.ranks import order_statistics
 from ebbline.settings import SERIES
 
-# Strata are cut at the quartiles of the amount, found from mergeable sketches: exact
-# up to this many rows, and within 1/COARSE of the ranks beyond, where a sketch of
-# every task has to pass through the final aggregate.
-EXACT_ROWS = 100_000
-COARSE = 10_000
-# The 60-bit row hash is histogrammed by its leading 14 bits.
-_BUCKET = 1 << 46
-
-
 def with_row_hash(df: DataFrame) -> DataFrame:
     """Add ``row_hash``, a 60-bit number from the identity of a row."""
     key = F.concat_ws("|", F.col("date").cast("string"), *[F.col(k) for k in SERIES])
@@ -30,55 +24,31 @@ def _above(cuts: Column) -> Column:
 
 
 def stratum(df: DataFrame) -> DataFrame:
-    accuracy = EXACT_ROWS if df.count() <= EXACT_ROWS else COARSE
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    cuts = df.select(F.percentile_approx("amount", quartiles, accuracy)).scalar()
+    """Cut all rows at the quartiles of the amount: the smallest amounts with a quarter, half
+    and three quarters of the rows at or below them, exact at every size."""
+    known = df.filter(F.col("amount").isNotNull()).select("amount", F.lit(0).alias("all"))
+    n = known.count()
+    ranks = [max(1, math.ceil(n * q)) for q in (0.25, 0.5, 0.75)]
+    found = order_statistics(known, "amount", "all", [(0, r) for r in ranks]) if n else {}
+    cuts = F.array(*[F.lit(found.get((0, r))).cast("double") for r in ranks])
     return df.withColumn("stratum", _above(cuts))
 
 
-def hash_thresholds(df: DataFrame, share: float) -> DataFrame:
-    """Per stratum the hash of its ceil(share * n)-th row in hash order.
-
-    Ranks are found from a histogram of leading hash bits; only the bucket that
-    holds the wanted rank is ordered, so no stratum is ever sorted as a whole. The
-    broadcast side holds one row per stratum, four at most.
-    """
-    buckets = (
-        df.groupBy("stratum", F.floor(F.col("row_hash") / _BUCKET).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns(
-            {
-                "upto": F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket")),
-                "wanted": F.ceil(
-                    F.sum("n").over(Window.partitionBy("stratum")) * F.lit(share)
-                ),
-            }
-        )
-        .filter("wanted <= upto AND wanted > upto - n")
-        .select("stratum", "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("rank"))
-    )
-    in_bucket = Window.partitionBy("stratum", "bucket").orderBy("row_hash")
-    return (
-        df.select("stratum", "row_hash", F.floor(F.col("row_hash") / _BUCKET).alias("bucket"))
-        .join(F.broadcast(buckets), ["stratum", "bucket"])
-        .withColumn("place", F.row_number().over(in_bucket))
-        .filter("place = rank")
-        .select("stratum", F.col("row_hash").alias("threshold"))
-    )
-
-
 def split(df: DataFrame, share: float) -> DataFrame:
-    """Add ``stratum`` and ``is_test``; ``share`` of each stratum is test data.
+    """Add ``stratum`` and ``is_test``; the ``ceil(share * n)`` rows of each stratum with the
+    smallest ``row_hash`` are test data.
 
-    ``df`` is read more than once, so it should be a stored table with its
-    ``row_hash``. The four thresholds enter as a scalar subquery, which leaves the
-    placement of the rows alone.
+    ``df`` is read a few times for counts, so it should be a stored table. The cuts and the four
+    thresholds enter as constants, which leaves the placement of the rows alone.
     """
     layered = stratum(df)
-    thresholds = hash_thresholds(layered.select("stratum", "row_hash"), share)
-    entries = F.map_from_entries(F.collect_list(F.struct("stratum", "threshold")))
-    threshold = F.try_element_at(thresholds.agg(entries).scalar(), F.col("stratum"))
-    return layered.withColumn("is_test", F.col("row_hash") <= threshold).drop("row_hash")
+    sizes = {r.stratum: r.n for r in layered.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = [(s, math.ceil(n * share)) for s, n in sizes.items() if s is not None and n * share > 0]
+    found = order_statistics(layered, "row_hash", "stratum", wanted)
+    is_test = F.lit(None).cast("boolean")
+    for (s, _), threshold in found.items():
+        is_test = F.when(F.col("stratum") == s, F.col("row_hash") <= threshold).otherwise(is_test)
+    return layered.withColumn("is_test", is_test).drop("row_hash")
 
 
 def split_within_series(df: DataFrame, share: float) -> DataFrame:
