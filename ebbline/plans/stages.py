@@ -12,7 +12,7 @@ from ebbline.operators.factors import FACTORS
 from ebbline.operators.score import Model
 from ebbline.settings import ORDERS, PLACEMENT, SERIES, Settings
 from ebbline.sources import orders
-from ebbline.sources.tables import Inputs, StageStore, store_for
+from ebbline.sources.tables import Inputs, StageStore, fingerprint, store_for
 
 TRAIN, TEST = "Train", "Test"
 
@@ -60,7 +60,9 @@ class Decomposition:
         self.inputs = inputs
         self.settings = settings
         self.store = store
-        self.label = label
+        frames = (inputs.daily_fact, inputs.calendar, inputs.campaigns, inputs.dim_stay)
+        # the label is for readers; what a stage holds follows from inputs and settings alone
+        self.label = f"{label}_{fingerprint(settings, placed, *frames)}"
         self.placed = placed
         self.dim_stay = inputs.dim_stay
 
@@ -86,7 +88,9 @@ class Decomposition:
     @property
     def divided(self) -> DataFrame:
         """Main rows with their stratum and test flag."""
-        return split.split(self.main, self.settings.test_share)
+        return self.store.stage(
+            f"{self.label}/divided", lambda: split.split(self.main, self.settings.test_share), placed=True
+        )
 
     @property
     def fitted(self) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -36,18 +37,26 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for stage tables: the cluster's checkpoint folder.
-
-    A temporary folder of this machine is taken only by a local session that
-    names none.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="ebbline-")
+    """The folder for stage tables that all executors share: the one that
+    ``spark.checkpoint.dir`` names, else the warehouse of the session."""
+    return (
+        spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    ).rstrip("/")
+
+
+def fingerprint(*parts: DataFrame | object) -> str:
+    """A name for inputs and settings: the analysed plans of the frames with the files they
+    read, and the text of everything else."""
+    digest = hashlib.sha256()
+    for part in parts:
+        if isinstance(part, DataFrame):
+            digest.update(repr((part.semanticHash(), part.columns)).encode())
+            for file in sorted(part.inputFiles()):
+                digest.update(file.encode() + b"\n")
+        else:
+            digest.update(repr(part).encode())
+        digest.update(b"\0")
+    return digest.hexdigest()[:24]
 
 
 # Spark's own default; a session that leaves it says nothing about its data.
@@ -68,38 +77,40 @@ class StageStore:
     Reading back cuts the lineage, keeps column pruning, gives the optimizer true
     table sizes and survives lost executors. A stage that is ``placed`` is bucketed
     by product and stay: work on single series (windows, aggregates, joins) then
-    needs no shuffle at all.
+    needs no shuffle at all. Stages are tables of a database of their own, which
+    ``close`` drops with their files.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.name = f"ebbline_{uuid.uuid4().hex}"
-        self.folder = f"{shared_folder(spark)}/{self.name}"
-        self._written: dict[str, str | None] = {}
-
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+        self._tables: dict[str, str] = {}
+        self._locks: dict[str, threading.Lock] = {}
+        self._guard = threading.Lock()
+        folder = f"{shared_folder(spark)}/{self.name}"
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{folder}'")
 
     def stage(
         self, name: str, build: Callable[[], DataFrame], placed: bool = False
     ) -> DataFrame:
-        if name not in self._written:
-            df = build()
-            table = None
-            if placed:
-                table = f"{self.name}_{len(self._written)}"
-                (
-                    df.write.mode("overwrite")
-                    .format("parquet")
-                    .bucketBy(bucket_count(self.spark), *PLACEMENT)
-                    .option("path", self.path(name))
-                    .saveAsTable(table)
-                )
-            else:
-                write_table(df, self.path(name))
-            self._written[name] = table
-        table = self._written[name]
-        return self.spark.table(table) if table else self.spark.read.parquet(self.path(name))
+        with self._guard:
+            lock = self._locks.setdefault(name, threading.Lock())
+        with lock:
+            if name not in self._tables:
+                table = f"{self.name}.t_{hashlib.sha256(name.encode()).hexdigest()[:24]}"
+                writer = build().write.mode("overwrite").format("parquet")
+                if placed:
+                    writer = writer.bucketBy(bucket_count(self.spark), *PLACEMENT)
+                writer.saveAsTable(table)
+                self._tables[name] = table
+        return self.spark.table(self._tables[name])
+
+    def close(self) -> None:
+        """Drop all stages and their files; stages asked for later are built again."""
+        with self._guard:
+            self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
+            self._tables.clear()
+            _STORES.pop(self.spark.sparkContext.applicationId, None)
 
 
 _STORES: dict[str, StageStore] = {}

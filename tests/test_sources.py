@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
+from tests import helpers
+from tests.helpers import DAY0
 
 from ebbline.plans.stages import Decomposition
-from ebbline.sources import schema
+from ebbline.sources import schema, tables
 from ebbline.sources.tables import StageStore, read_inputs, shared_folder, write_table
 
 
@@ -32,21 +36,40 @@ def test_every_day_of_every_series_is_present(orders):
     assert fact.count() == 12 * orders.calendar.count()
 
 
-def test_stages_go_to_the_checkpoint_folder(spark, tmp_path):
-    conf = spark.sparkContext._conf
-    old = conf.get("spark.checkpoint.dir")
-    jconf = spark.sparkContext._jsc.sc().conf()
-    try:
-        jconf.set("spark.checkpoint.dir", str(tmp_path))
-        conf.set("spark.checkpoint.dir", str(tmp_path))
-        assert shared_folder(spark) == str(tmp_path)
-        store = StageStore(spark)
-        df = store.stage("x", lambda: spark.range(3))
-        assert df.count() == 3 and store.path("x").startswith(str(tmp_path))
-    finally:
-        jconf.remove("spark.checkpoint.dir")
-        if old is None:
-            conf._conf.pop("spark.checkpoint.dir", None) if conf._conf is not None else None
+def test_stages_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    assert shared_folder(spark) == named.rstrip("/")
+    monkeypatch.setattr(tables, "shared_folder", lambda _: f"file:{tmp_path}")
+    store = StageStore(spark)
+    assert store.stage("x", lambda: spark.range(3)).count() == 3
+    assert list(tmp_path.rglob("*.parquet"))
+    store.close()
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
+def small_inputs(spark, folder, amounts):
+    fact = spark.createDataFrame(
+        [(DAY0 + timedelta(days=i), 1, 1, 103, float(a)) for i, a in enumerate(amounts) if a], schema.FACT
+    )
+    fact.coalesce(1).write.mode("append").parquet(f"{folder}/daily_fact")
+    for name, want in schema.TABLES.items():
+        if name != "daily_fact":
+            spark.createDataFrame([], want).write.mode("overwrite").parquet(f"{folder}/{name}")
+    return read_inputs(spark, str(folder))
+
+
+def test_stages_follow_inputs_and_settings_not_labels(spark, tmp_path):
+    store = StageStore(spark)
+    one = small_inputs(spark, tmp_path / "a_b", [1, 2, 3])
+    other = small_inputs(spark, tmp_path / "a" / "b", [7, 8, 9])
+    total = lambda inputs, how: Decomposition(inputs, how, store, "same").main.agg(F.sum("amount")).first()[0]
+    plain = helpers.settings()
+    assert total(one, plain) == 6 and total(other, plain) == 24
+    labels = {Decomposition(one, how, store, "same").label for how in (plain, helpers.settings(cap=2))}
+    assert len(labels) == 2
+    more = small_inputs(spark, tmp_path / "a_b", [0, 0, 0, 50])
+    assert total(more, plain) != 6
+    store.close()
 
 
 def test_a_stage_is_built_once(spark):
