@@ -73,12 +73,16 @@ def ols_by_group(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     )
 
 
-def panel_lines(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
-    """Slope and intercept of a straight line per panel."""
+def line(y: str, x: str, suffix: str = "") -> list[Column]:
+    """Aggregates: slope and intercept of a straight line through the points of a group."""
     xc, yc = F.col(x), F.col(y)
     varies = F.min(F.when(yc.isNotNull(), xc)) < F.max(F.when(yc.isNotNull(), xc))
-    return df.groupBy(*keys).agg(
-        F.regr_count(yc, xc).alias("n_points"),
-        F.when(varies, F.regr_slope(yc, xc)).alias("slope"),
-        F.when(varies, F.regr_intercept(yc, xc)).alias("intercept"),
-    )
+    return [
+        F.when(varies, F.regr_slope(yc, xc)).alias(f"slope{suffix}"),
+        F.when(varies, F.regr_intercept(yc, xc)).alias(f"intercept{suffix}"),
+    ]
+
+
+def panel_lines(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
+    """Slope and intercept of a straight line per panel."""
+    return df.groupBy(*keys).agg(F.regr_count(F.col(y), F.col(x)).alias("n_points"), *line(y, x))

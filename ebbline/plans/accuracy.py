@@ -101,14 +101,9 @@ def accuracy_rounded(scored: DataFrame, dim_stay: DataFrame) -> DataFrame:
 
 
 def overall_accuracy(scored: DataFrame) -> DataFrame:
-    """Test and training accuracy side by side, as one tagged union."""
+    """Test and training accuracy side by side."""
     columns = ["MAE", "MBE", "RMSE", "MAEPerc", "MBEPerc", "RMSEPerc"]
-
-    def part(name: str) -> DataFrame:
-        rows = scored.filter(F.col("data") == name).drop("data").withColumn("data", F.lit(name))
-        return accuracy(rows, HIGH).select("data", *columns)
-
-    return part(TEST).unionByName(part(TRAIN))
+    return accuracy(scored, HIGH).select("data", *columns)
 
 
 def error_steps(scored: DataFrame, grain: list[str]) -> DataFrame:
@@ -160,15 +155,13 @@ def error_step_percent(scored: DataFrame) -> DataFrame:
 
 def overall_steps(scored: DataFrame) -> DataFrame:
     """Training and test RMSE per part of the volume measure, side by side."""
-    steps = error_steps(scored, HIGH)
-
-    def side(name: str, column: str) -> DataFrame:
-        return steps.filter(F.col("data") == name).select(
-            "decomposition_name", "step_rank", F.col("RMSE").alias(column)
-        )
-
-    return side(TRAIN, "RMSE_Train").join(
-        side(TEST, "RMSE_Test").drop("step_rank"), "decomposition_name", "left"
+    side = lambda name: F.max(F.when(F.col("data") == name, F.col("RMSE"))).alias(f"RMSE_{name}")
+    return (
+        error_steps(scored, HIGH)
+        .groupBy("decomposition_name", "step_rank")
+        .agg(side(TRAIN), side(TEST), F.bool_or(F.col("data") == TRAIN).alias("trained"))
+        .filter("trained")
+        .drop("trained")
     )
 
 

@@ -109,10 +109,8 @@ def tables() -> dict[str, Table]:
         "score_wide": lambda d: d.scored,
         "score_in_place": lambda d: d.scored_in_place,
         "decomposition_long": lambda d: hierarchy.decompose_long(d.scored_in_place),
-        "hierarchy": lambda d: studies.hierarchy_table(hierarchy.decompose_long(d.scored_in_place)),
-        "factor_listing": lambda d: studies.factor_listing(
-            hierarchy.decompose_long(d.scored_in_place)
-        ),
+        "hierarchy": lambda d: studies.hierarchy_table(d.scored_in_place),
+        "factor_listing": lambda d: studies.factor_listing(d.scored_in_place),
         "acc_full": lambda d: acc.accuracy_by_stay_name(d.scored_in_place, d.dim_stay),
         "acc_product": lambda d: acc.accuracy(d.scored_in_place, acc.PRODUCT),
         "acc_high": lambda d: acc.accuracy(d.scored_in_place, acc.HIGH),

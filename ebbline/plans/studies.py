@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.measures import clip_unit, finite, ratio, strict_mean, week_of_year
 from ebbline.operators.factors import BY_NAME, FACTORS, Factor, residual_before
-from ebbline.operators.hierarchy import with_hierarchy
-from ebbline.operators.regression import INTERCEPT, ols_by_group, panel_lines
+from ebbline.operators.hierarchy import NAMES, with_hierarchy
+from ebbline.operators.regression import INTERCEPT, line, ols_by_group, panel_lines
 from ebbline.operators.score import volume_points
 from ebbline.plans.accuracy import with_stay_name
 from ebbline.settings import SERIES, Settings
@@ -46,10 +46,10 @@ def volume_lines(parts: DataFrame, campaigns: DataFrame, name: str) -> DataFrame
     """Straight lines through the campaign points of each panel."""
     points = volume_points(parts, campaigns, name)
     keys = [*SERIES, *BY_NAME[name].levels]
-    before = panel_lines(points, keys, "ratio_before", "amount_sent")
-    after = panel_lines(points, keys, "ratio_after", "amount_sent").drop("n_points")
-    return before.join(
-        after.withColumnsRenamed({"slope": "slope_after", "intercept": "intercept_after"}), keys
+    return points.groupBy(*keys).agg(
+        F.regr_count("ratio_before", "amount_sent").alias("n_points"),
+        *line("ratio_before", "amount_sent"),
+        *line("ratio_after", "amount_sent", "_after"),
     )
 
 
@@ -108,15 +108,14 @@ def residual_heat(
 ) -> DataFrame:
     """Clipped relative residual per day with the first day seen of its week.
 
-    The first days form a small table per product and week that is joined back, so
-    no week is gathered in one place.
+    A week of one product holds at most seven days per stay, so its first day comes
+    from a window.
     """
     rows = _named_rows(training, dim_stay, settings, years, without).withColumns(
         {"year_no": F.year("date"), "week_no": week_of_year(F.col("date"))}
     )
-    week = ["product_key", "year_no", "week_no"]
-    starts = rows.groupBy(*week).agg(F.min("date").alias("start_of_week"))
-    return rows.join(starts, week).select(
+    week = Window.partitionBy("product_key", "year_no", "week_no")
+    return rows.withColumn("start_of_week", F.min("date").over(week)).select(
         "date",
         "product_key",
         "stay_name",
@@ -153,9 +152,9 @@ def residual_sample(
             F.sum("amount").alias("total_purchases"),
         )
     )
-    whole = per_stay.groupBy("product_key").agg(F.sum("total_purchases").alias("_whole"))
-    share = F.round(ratio(F.lit(100) * F.col("total_purchases"), F.col("_whole")), 2)
-    return per_stay.join(whole, "product_key").withColumn("share_percent", share).drop("_whole")
+    whole = F.sum("total_purchases").over(Window.partitionBy("product_key"))
+    share = F.round(ratio(F.lit(100) * F.col("total_purchases"), whole), 2)
+    return per_stay.withColumn("share_percent", share)
 
 
 def price_correlation(training: DataFrame, dim_stay: DataFrame, settings: Settings) -> DataFrame:
@@ -230,9 +229,8 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFram
     Bins are numbered from 1; empty bins have no row; a group with one distinct
     value has the single bin 1.
     """
-    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    match = [F.col(f"l.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
-    joined = df.alias("l").join(ends.alias("e"), match, "left").select("l.*", "_lo", "_hi")
+    group = Window.partitionBy(*keys)
+    joined = df.withColumns({"_lo": F.min(value).over(group), "_hi": F.max(value).over(group)})
     place = F.floor(ratio((F.col(value) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
     bin_no = F.least(F.coalesce(place, F.lit(0)) + 1, F.lit(bins)).cast("int")
     return (
@@ -262,18 +260,22 @@ def sales_histogram(scored: DataFrame, bins: int = 30) -> DataFrame:
     return histogram(scored.select("data", *SERIES, "Amount"), ["data", *SERIES], "Amount", bins)
 
 
-def factor_listing(long: DataFrame) -> DataFrame:
+def _occurring(scored: DataFrame) -> DataFrame:
+    """The decomposition names of the long form; every row has each of them."""
+    return scored.select(F.lit(1)).limit(1).select(
+        F.explode(F.array(*[F.lit(n) for n in NAMES])).alias("decomposition_name")
+    )
+
+
+def factor_listing(scored: DataFrame) -> DataFrame:
     """The model parts that occur, with both of their groups."""
     return (
-        long.select("decomposition_l1", "decomposition_l2", "decomposition_name")
-        .distinct()
+        with_hierarchy(_occurring(scored))
+        .select("decomposition_l1", "decomposition_l2", "decomposition_name")
         .filter(F.col("decomposition_l1") == "Model Results")
     )
 
 
-def hierarchy_table(long: DataFrame) -> DataFrame:
+def hierarchy_table(scored: DataFrame) -> DataFrame:
     """Distinct decomposition names with both groups and their display rank."""
-    names = long.select("decomposition_name").distinct()
-    return with_hierarchy(names)
-
-
+    return with_hierarchy(_occurring(scored))
