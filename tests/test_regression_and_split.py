@@ -34,11 +34,21 @@ def test_p_value_edges(spark):
     assert pvalues(spark, [(40.0, 300), (40.0, 100_000)]) == pytest.approx([0, 0], abs=1e-12)
 
 
-def test_series_and_quadrature_meet(spark):
-    at, beyond = pvalues(spark, [(1.3, 400), (1.3, 401)])
-    assert at == pytest.approx(beyond, abs=5e-6)
-    # for many degrees of freedom the normal tail is the limit
-    assert pvalues(spark, [(1.5, 10**9)]) == pytest.approx([math.erfc(1.5 / math.sqrt(2))], abs=1e-8)
+def test_p_values_in_closed_form(spark):
+    """Exact for one, two and four degrees of freedom, normal for very many."""
+    ts = [0.3, 1.3, 4.0, 40.0, 1000.0]
+    one = [1 - 2 / math.pi * math.atan(t) for t in ts]
+    two = [1 - t / math.sqrt(2 + t * t) for t in ts]
+    four = [1 - (t / math.sqrt(4 + t * t)) * (1 + 2 / (4 + t * t)) for t in ts]
+    got = pvalues(spark, [(t, df) for df in (1, 2, 4) for t in ts])
+    assert got == pytest.approx([*one, *two, *four], rel=1e-7, abs=1e-12)
+    many = pvalues(spark, [(t, 10**9) for t in (0.5, 1.5, 6.0, 9.0)])
+    assert many == pytest.approx([math.erfc(t / math.sqrt(2)) for t in (0.5, 1.5, 6.0, 9.0)], rel=1e-6)
+
+
+def test_p_values_fall_with_the_degrees_of_freedom(spark):
+    ps = pvalues(spark, [(8.0, df) for df in (3, 30, 399, 400, 401, 500, 10_000)])
+    assert ps == sorted(ps, reverse=True) and ps[2] == pytest.approx(ps[4], rel=0.05)
 
 
 def test_ols_terms_by_hand(spark):
