@@ -136,6 +136,84 @@ GROUP BY c.conv_id, c.n_turns, c.n_copies
 """
 
 
+REPEATS_SQL = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (
+  SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM texts)),
+later AS (
+  SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+marked AS (
+  SELECT *, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true)::INT AS fresh FROM later),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+runs AS (
+  SELECT doc_id, min(s) AS low, max(s) + 100 AS high,
+    coalesce(lag(max(s) + 100) OVER (PARTITION BY doc_id ORDER BY min(s)), 0) AS before
+  FROM numbered GROUP BY doc_id, run),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(high - low) AS gone, max(high) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept
+  FROM runs JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+near AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS root FROM documents
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) l ON l.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+FROM reach r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
+"""
+
+
+def _licenses_sql() -> str:
+    """Containment with one whole window of three words in place, which is what bands retrieve."""
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES.items())
+    step, drift = 2 * licenses.DRIFT, licenses.DRIFT
+    return rf"""
+WITH known(name, text) AS (VALUES {rows}),
+corpus AS (
+  SELECT doc_id, NULL AS name, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents
+  UNION ALL SELECT NULL, name, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') FROM known),
+pairs AS (
+  SELECT doc_id, name, pos, w[pos + 1] || ' ' || w[pos + 2] AS p
+  FROM (SELECT *, unnest(range(0, len(w) - 1)) AS pos FROM corpus)),
+own AS (
+  SELECT name, p, min(pos) AS place, count(*) OVER (PARTITION BY name) AS n FROM pairs WHERE name IS NOT NULL GROUP BY name, p),
+hits AS (
+  SELECT d.doc_id, o.name, o.n, o.place, d.pos, d.pos - o.place AS lag
+  FROM pairs d JOIN own o USING (p) WHERE d.doc_id IS NOT NULL),
+cells AS (
+  SELECT *, unnest([floor(lag / {step}.0) * 2, floor((lag + {drift}) / {step}.0) * 2 + 1]) AS cell,
+    EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = x.doc_id AND h.name = x.name AND h.lag = x.lag AND h.pos = x.pos + 1) AS whole
+  FROM hits x),
+found AS (
+  SELECT doc_id, name, n, count(DISTINCT place) AS n_found, min(pos) AS first_word, max(pos) + 2 AS past_word
+  FROM cells GROUP BY doc_id, name, n, cell HAVING bool_or(whole) AND 100 * count(DISTINCT place) >= 80 * n)
+SELECT doc_id, name AS template, n_found, n AS n_shingles, first_word, past_word FROM found
+QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY n_found DESC, first_word, past_word) = 1
+"""
+
+
 def queries() -> dict[str, Query]:
     from corpus_pipeline import run
 
@@ -155,4 +233,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": RULES_SQL, "op6_chat_formatting": CHAT_SQL}
+    return {
+        "op2_suffix_dedup": REPEATS_SQL,
+        "op4_ngram_jaccard": JACCARD_SQL,
+        "op5_quality_rules": RULES_SQL,
+        "op6_chat_formatting": CHAT_SQL,
+        "op9_license_scan": _licenses_sql(),
+    }
