@@ -596,18 +596,18 @@ def _studies() -> dict[str, str]:
             f"{_line(y, x)} FROM ({rows}) GROUP BY {by}"
         )
 
-    return {
-        "residual_heat": _with(
-            "training",
-            f"""
+    one_year = "year(date) = 1996 AND (stay_name IS NULL OR stay_name NOT IN ('long'))"
+    named = "stay_name IN ('short')"
+
+    def heat(where: str) -> str:
+        return f"""
         SELECT date, {by}, day_no_week,
                min(date) OVER (PARTITION BY product_key, year(date), (dayofyear(date) - 1) // 7) AS start_of_week,
                floor(({clip}) * 1e4 + 0.5001) / 1e4 AS perc_var, floor((abs({clip})) * 1e4 + 0.5001) / 1e4 AS abs_perc_var
-        FROM training""",
-        ),
-        "residual_sample": _with(
-            "training",
-            f"""
+        FROM training WHERE {where}"""
+
+    def sample(where: str) -> str:
+        return f"""
         SELECT {by}, floor((100 * round(mae, 2)) * 1e4 + 0.5001) / 1e4 AS mae_percent,
                floor((100 * round(mbe, 2)) * 1e4 + 0.5001) / 1e4 AS mbe_percent,
                floor((total) * 1e4 + 0.5001) / 1e4 AS total_purchases,
@@ -615,8 +615,20 @@ def _studies() -> dict[str, str]:
         FROM (SELECT {by}, CASE WHEN bool_or(resid_perc IS NULL) THEN NULL ELSE avg(abs({clip})) END AS mae,
                      CASE WHEN bool_or(resid_perc IS NULL) THEN NULL ELSE avg({clip}) END AS mbe,
                      sum(amount) AS total
-              FROM training GROUP BY {by})""",
-        ),
+              FROM training WHERE {where} GROUP BY {by})"""
+
+    def price_lines(where: str) -> str:
+        rows = f"SELECT * FROM ({points} WHERE {where}) WHERE abs(resid_percent) <= 100"
+        return lines(rows, "resid_percent", "price_change_percent")
+
+    def prior_lines(where: str) -> str:
+        return lines(f"SELECT * FROM training WHERE {where}", "resid_perc", "price_change_prior")
+
+    return {
+        "residual_heat": _with("training", heat("true")),
+        "residual_heat_year": _with("training", heat(one_year)),
+        "residual_sample": _with("training", sample("true")),
+        "residual_sample_year": _with("training", sample(one_year)),
         "price_corr": _with(
             "training",
             f"""
@@ -628,17 +640,11 @@ def _studies() -> dict[str, str]:
         "price_regression_prior": regression("price_change_prior"),
         "price_regression_trend": regression("price_change_trend"),
         "price_points": _with("training", points),
-        "price_lines": _with(
-            "training",
-            lines(
-                f"SELECT * FROM ({points}) WHERE abs(resid_percent) <= 100",
-                "resid_percent",
-                "price_change_percent",
-            ),
-        ),
-        "price_prior_lines": _with(
-            "training", lines("SELECT * FROM training", "resid_perc", "price_change_prior")
-        ),
+        "price_points_named": _with("training", f"{points} WHERE {named}"),
+        "price_lines": _with("training", price_lines("true")),
+        "price_lines_named": _with("training", price_lines(named)),
+        "price_prior_lines": _with("training", prior_lines("true")),
+        "price_prior_lines_named": _with("training", prior_lines(named)),
     }
 
 

@@ -20,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 Table = Callable[[Decomposition], DataFrame]
 
 ROW = ["date", *SERIES]
+# The year of the filtered report tables.
+ONE_YEAR = (1996, 1996)
 
 
 def present(df: DataFrame, places: dict[str, int], default: int = 4) -> DataFrame:
@@ -134,6 +136,11 @@ def tables() -> dict[str, Table]:
         "price_points": _training(studies.price_points),
         "price_lines": _training(studies.price_lines),
         "price_prior_lines": _training(studies.price_prior_lines),
+        "residual_heat_year": _training(studies.residual_heat, ONE_YEAR, ("long",)),
+        "residual_sample_year": _training(studies.residual_sample, ONE_YEAR, ("long",)),
+        "price_points_named": _training(studies.price_points, ("short",)),
+        "price_lines_named": _training(studies.price_lines, ("short",)),
+        "price_prior_lines_named": _training(studies.price_prior_lines, ("short",)),
         "residual_histogram": lambda d: studies.residual_histogram(d.scored_in_place),
         "sales_histogram": lambda d: studies.sales_histogram(d.scored_in_place),
     }
