@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the blanks that part words, \x20 and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -30,10 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back: short lineage, and lost
-    executors lose nothing. Each call takes a folder of its own."""
+    executors lose nothing. Each call takes a folder of its own. Shuffle files of the stage go
+    once it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
