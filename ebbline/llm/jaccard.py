@@ -2,7 +2,7 @@
 
 Texts with equal shingle sets become one. The others are searched through the first few
 shingles of each set, frequent ones last: two sets that link share at least SHARED of these.
-Sets are partitioned into groups by their smallest shared token. The matrix holds the tokens
+Sets are partitioned into groups by the one of these that most sets have. The matrix holds the tokens
 of each group's union; the overlap of a set with a group's union bounds its overlap with any
 member, so only groups that reach the bound are opened, and only there are sets compared.
 """
@@ -111,16 +111,18 @@ def _opened(sets: DataFrame, like: Likeness) -> DataFrame:
     tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
     several = (
         tokens.groupBy("token")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("sets"))
         .filter("low < high")
-        .select("token")
+        .select("token", "sets")
     )
     kept = stored(tokens.join(several, "token"), "tokens")
     groups = (
-        kept.groupBy("id").agg(F.min("token").alias("group"), F.count(F.lit(1)).alias("c"))
-        .filter(F.col("c") >= like.shared).drop("c")
-    )
-    placed = stored(kept.join(groups, "id"), "placed")
+        kept.groupBy("id")
+        .agg(F.max(F.struct("sets", "token"))["token"].alias("group"), F.count(F.lit(1)).alias("c"))
+        .filter(F.col("c") >= like.shared)
+        .drop("c")
+    )
+    placed = stored(kept.drop("sets").join(groups, "id"), "placed")
     matrix = placed.groupBy("token", F.col("group").alias("other")).agg(
         F.min("n").alias("low"), F.max("n").alias("high")
     )
