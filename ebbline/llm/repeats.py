@@ -110,36 +110,49 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _digits(texts: DataFrame, form: Depth) -> DataFrame:
-    """(digit, t1, place): one row per run."""
+    """(digit, place): one row per run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digits, keys, places = [], [], []
+            digits, places = [], []
             for t1, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 h, at, _, _ = runs(data.as_buffer(), form)
                 digits.append(h)
-                keys.append(np.full(len(h), t1, np.int64))
                 places.append(mixed(at.astype(np.uint64) + np.uint64(t1 % (1 << 64))).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (digits, keys, places)], ["digit", "t1", "place"]
+                [pa.array(np.concatenate(x)) for x in (digits, places)], ["digit", "place"]
             )
 
     return texts.filter(F.length("data") >= form.depth).select("t1", "data").mapInArrow(
-        run, "digit bigint, t1 bigint, place bigint"
+        run, "digit bigint, place bigint"
+    )
+
+
+def _digits_by_text(texts: DataFrame, form: Depth) -> DataFrame:
+    """(digit, t1): one row per text and digit in it, however often a text repeats itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digits = [np.unique(runs(data.as_buffer(), form)[0]) for data in batch.column(1)]
+            keys = np.repeat(batch.column(0).to_numpy(), [len(d) for d in digits])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digits)), pa.array(keys)], ["digit", "t1"])
+
+    return texts.filter(F.length("data") >= form.depth).select("t1", "data").mapInArrow(
+        run, "digit bigint, t1 bigint"
     )
 
 
 def _shared_digits(texts: DataFrame, form: Depth) -> DataFrame:
     """Per text (t1) the first digits that it shares with other places: lists ``plain``, ``hot``."""
-    found = _digits(texts, form)
     several = (
-        found.groupBy("digit")
+        _digits(texts, form)
+        .groupBy("digit")
         .agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count(F.lit(1)).alias("n"))
         .filter("low < high")
         .select("digit", (F.col("n") > form.hot).alias("hot"))
     )
     return (
-        found.select("digit", "t1")
+        _digits_by_text(texts, form)
         .join(several, "digit")
         .groupBy("t1")
         .agg(
