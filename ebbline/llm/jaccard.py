@@ -1,7 +1,7 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Texts with equal shingle sets become one. The others are searched through the first few
-shingles of each set, frequent ones last: two sets that link share at least SHARED of these.
+shingles of each set, frequent ones last: two sets that link share a known number of these.
 Sets are partitioned into groups by the one of these that most sets have. The matrix holds the tokens
 of each group's union; the overlap of a set with a group's union bounds its overlap with any
 member, so only groups that reach the bound are opened, and only there are sets compared.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm.common import by_slices, stored
@@ -43,14 +43,22 @@ class Likeness:
     block: int = 4096
 
     @property
-    def shared(self) -> int:
-        """Tokens that two different sets that link have in common within their prefixes: any
-        number up to their smallest possible overlap is right."""
+    def base(self) -> int:
+        """No more than two different sets that link can fail to have in common."""
         return max(1, min(3, self.part // (self.whole - self.part)))
 
+    def shared(self, size: int) -> int:
+        """How many tokens the prefixes of two sets of this size that link have in common: any
+        number up to their smallest overlap is right if prefixes are as much longer."""
+        return max(self.base, size // 20)
+
     def prefix(self, size: int) -> int:
         least = -(-self.part * size // self.whole)
-        return min(size, size - least + self.shared)
+        return min(size, size - least + self.shared(size))
+
+    def needed(self, size: Column) -> Column:
+        """``shared`` for the smallest set that one of ``size`` links with."""
+        return F.greatest(F.lit(self.base), F.floor(F.ceil(size * self.part / self.whole) / 20))
 
     def links(self, common, left, right):
         return self.whole * common >= self.part * (left + right - common)
@@ -118,9 +126,12 @@ def _opened(sets: DataFrame, like: Likeness) -> DataFrame:
     kept = stored(tokens.join(several, "token"), "tokens")
     groups = (
         kept.groupBy("id")
-        .agg(F.max(F.struct("sets", "token"))["token"].alias("group"), F.count(F.lit(1)).alias("c"))
-        .filter(F.col("c") >= like.shared)
-        .drop("c")
+        .agg(
+            F.max(F.struct("sets", "token"))["token"].alias("group"),
+            (F.count(F.lit(1)) >= F.min(like.needed(F.col("n")))).alias("enough"),
+        )
+        .filter("enough")
+        .drop("enough")
     )
     placed = stored(kept.drop("sets").join(groups, "id"), "placed")
     matrix = placed.groupBy("token", F.col("group").alias("other")).agg(
@@ -133,8 +144,8 @@ def _opened(sets: DataFrame, like: Likeness) -> DataFrame:
         placed.join(matrix, "token")
         .filter((F.col("group") < F.col("other")) & fits)
         .groupBy("id", "other")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .filter(F.col("c") >= like.shared)
+        .agg((F.count(F.lit(1)) >= F.min(like.needed(F.col("n")))).alias("enough"))
+        .filter("enough")
     )
     every = placed.select("id", F.lit(True).alias("own"), "group").distinct().union(
         visits.select("id", F.lit(False), "other")

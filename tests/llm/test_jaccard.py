@@ -46,7 +46,7 @@ def brute(texts, like):
 def near_copies(rng, n_groups, copies):
     texts, vocabulary = [], [f"w{i}" for i in range(400)]
     for _ in range(n_groups):
-        base = [rng.choice(vocabulary) for _ in range(rng.choice([2, 3, 5, 9, 40, 120]))]
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([2, 3, 5, 9, 40, 120, 300]))]
         for _ in range(rng.randrange(1, copies)):
             copy = list(base)
             for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
