@@ -11,11 +11,13 @@ on the row key alone.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +64,49 @@ class Pieces:
         return Pieces(tuple(texts), weights, tuple(found[b] for b in range(256)), -sharpness * math.log(2.0 + n))
 
 
+def _units(texts: list[str]) -> re.Pattern:
+    """A pattern that cuts texts where no piece can reach over: before characters that pieces
+    have at most at their start, and from other characters to marks that never follow them."""
+    follow: dict[str, set[str]] = {}
+    for t in texts:
+        for a, b in zip(t, t[1:]):
+            follow.setdefault(b, set()).add(a)
+    ascii_marks = {chr(c) for c in range(128) if not chr(c).isalpha()}
+    marks, before = set(ascii_marks), None
+    while marks != before:
+        before = set(marks)
+        marks = {c for c in before if follow.get(c, set()) <= before}
+    starts = {c for c in marks if c not in follow}
+    some = lambda chars: "".join(f"\\x{ord(c):02x}" for c in sorted(chars))
+    inner = f"[{some(marks - starts)}]*" if marks - starts else ""
+    return re.compile(f"[{some(starts)}]{inner}[^{some(marks)}]*|{inner}[^{some(marks)}]+|{inner[:-1]}+" if inner else f"[{some(starts)}][^{some(marks)}]*|[^{some(marks)}]+")
+
+
+def _look_up(keys: np.ndarray, bucket: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes are among the sorted keys, in order, and where. ``bucket`` tells where
+    the keys with given first 16 bits begin."""
+    first = (h >> np.uint64(48)).astype(np.int64)
+    low, high = bucket[first], bucket[first + 1]
+    todo = np.flatnonzero(low < high)
+    found = np.full(len(h), -1, np.int64)
+    low, high, h = low[todo], high[todo], h[todo]
+    while len(todo):
+        hit = keys[low] == h
+        found[todo[hit]] = low[hit]
+        low = low + 1
+        on = np.flatnonzero(~hit & (low < high))
+        todo, low, high, h = todo[on], low[on], high[on], h[on]
+    hit = np.flatnonzero(found >= 0)
+    return hit, found[hit]
+
+
 class Lattices:
     """Finds the edges of many words at once: pieces by length, as sorted hashes of prefixes."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.bytes = np.array(pieces.byte_ids)
+        self.units = _units([pieces.texts[i] for i in pieces.weights])
         ids = np.array(sorted(pieces.weights), np.int64)
         texts = [pieces.texts[i] for i in ids]
         weights = np.array([pieces.weights[i] for i in ids.tolist()])
@@ -78,50 +118,46 @@ class Lattices:
             ids, weights, sizes, h = ids[inside], weights[inside], sizes[inside], h[inside]
             texts = [t for t in texts if len(t) > n]
             codes = np.array([ord(t[n]) for t in texts], np.uint64)
-            h = mixed(h * _STEP + codes + _ADD)
+            h = (h ^ mixed(codes + _ADD)) * _STEP
             keys, place = np.unique(h, return_inverse=True)
             piece, weight = np.full(len(keys), -1), np.zeros(len(keys))
             full = sizes == n + 1
             piece[place[full]], weight[place[full]] = ids[full], weights[full]
-            self.levels.append((keys, piece, weight))
+            bucket = np.searchsorted(keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.int32)
+            self.levels.append((keys, bucket, piece, weight))
 
     def build(self, words: list[str]) -> Lattice:
-        """The lattices of words; each word counts with the blank before it."""
-        whole = "".join([f" {w}" for w in words])
-        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        """The lattices of words, which are stretches that no piece reaches over."""
+        whole = "".join(words)
+        plain = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        codes = mixed(plain.astype(np.uint64) + _ADD)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        end = np.repeat(ends, sizes)
-        at = np.arange(len(codes))
-        h = np.zeros(len(codes), np.uint64)
-        starts, lengths, ids, weights = [], [], [], []
-        for n, (keys, piece, weight) in enumerate(self.levels):
-            h = mixed(h * _STEP + codes[at + n] + _ADD)
-            found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[found] == h
-            at, h, found = at[hit], h[hit], found[hit]
+        left = np.repeat(ends, sizes) - np.arange(len(codes))
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        count = np.zeros(len(codes), np.int64)
+        parts = []
+
+        def add(nodes, length, ids, weights):
+            parts.append((nodes, count[nodes], np.full(len(nodes), length), ids, weights))
+            count[nodes] += 1
+
+        for n, (keys, bucket, piece, weight) in enumerate(self.levels):
+            h = (h ^ codes[at + n]) * _STEP
+            hit, found = _look_up(keys, bucket, h)
+            at, h = at[hit], h[hit]
             full = piece[found] >= 0
-            starts.append(at[full])
-            lengths.append(np.full(int(full.sum()), n + 1))
-            ids.append(piece[found[full]])
-            weights.append(weight[found[full]])
-            more = at + n + 1 < end[at]
+            add(at[full], n + 1, piece[found[full]], weight[found[full]])
+            if not n and len(rest := np.flatnonzero(count == 0)):
+                c = plain[rest].astype(np.int64)
+                n_bytes = 1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)
+                single = np.where(c < 0x80, self.bytes[np.minimum(c, 0x7F)], -1 - c)
+                add(rest, 1, single, n_bytes * self.pieces.byte_weight)
+            more = np.flatnonzero(left[at] > n + 1)
             at, h = at[more], h[more]
             if not len(at):
                 break
-        single = np.zeros(len(codes), bool)
-        single[starts[0]] = True
-        rest = np.flatnonzero(~single)
-        if len(rest):
-            c = codes[rest]
-            n_bytes = 1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)
-            starts.append(rest)
-            lengths.append(np.ones(len(rest), int))
-            ids.append(-1 - c.astype(np.int64))
-            weights.append(n_bytes * self.pieces.byte_weight)
-        return Lattice(
-            np.concatenate([[0], ends[:-1]]), end, *map(np.concatenate, (starts, lengths, ids, weights))
-        )
+        return Lattice(ends - sizes, left, count, *map(np.concatenate, zip(*parts)))
 
 
 class Lattice:
@@ -130,39 +166,50 @@ class Lattice:
     A node is a character; nodes of a word run up to its end.
     """
 
-    def __init__(self, first_node, end, starts, lengths, ids, weights):
-        order = np.argsort(starts, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        self.first_node, self.ids = first_node, ids[order]
-        weights = weights[order]
-        self.next = starts + lengths
-        self.done = self.next == end[starts]
-        n = len(end)
-        self.edges = np.searchsorted(starts, np.arange(n + 1))
-        count = np.diff(self.edges)
-        bound = np.zeros(n + 1)
-        left = end - np.arange(n)
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(left[by_left])) + 1, [n]])
-        value = np.empty(len(starts))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            nodes = by_left[a:b]
-            size = count[nodes]
-            low = np.concatenate([[0], np.cumsum(size)[:-1]])
-            e = np.repeat(self.edges[nodes] - low, size) + np.arange(size.sum())
-            v = weights[e] + np.where(self.done[e], 0.0, bound[self.next[e]])
-            top = np.maximum.reduceat(v, low)
-            bound[nodes] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size)), low))
-            value[e] = v
-        self.log_p = np.minimum(value - bound[starts], 0.0)
-        p = np.exp(self.log_p)
-        run = np.cumsum(p)
-        self.cumulative = run - np.repeat(run[self.edges[:-1]] - p[self.edges[:-1]], count)
-        self.cumulative[self.edges[1:] - 1] = np.inf
-        self.p = p
+    def __init__(self, first_node, left, count, nodes, place, lengths, ids, weights):
+        """Edges lie in order of how far their nodes are from the ends of words, so bounds are
+        summed over slices; those of one node lie together, the longest first."""
+        self.first_node = first_node
+        far = left.astype(np.int16) if left.max() < 1 << 15 else left
+        by_left = np.argsort(far, kind="stable")
+        self.first = np.empty(len(left), np.int64)
+        self.first[by_left] = np.cumsum(count[by_left]) - count[by_left]
+        self.count = count
+        order = np.empty(len(nodes), np.int64)
+        order[self.first[nodes] + count[nodes] - 1 - place] = np.arange(len(nodes))
+        nodes, lengths, weights = nodes[order], lengths[order], weights[order]
+        self.node, self.ids = nodes, ids[order]
+        self.next = nodes + lengths
+        self.done = lengths == left[nodes]
+        bound = np.zeros(len(left) + 1)
+        low = self.first[by_left]
+        turns = np.flatnonzero(np.diff(left[by_left])) + 1
+        cuts = np.concatenate([[0], turns, [len(left)]]).tolist()
+        edge_cuts = np.concatenate([low[cuts[:-1]], [len(nodes)]]).tolist()
+        self.p, self.log_p = np.empty(len(nodes)), np.empty(len(nodes))
+        self.cumulative = np.empty(len(nodes))
+        after = np.where(self.done, len(left), self.next)
+        sizes = count[by_left]
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            x, y = edge_cuts[i], edge_cuts[i + 1]
+            own, size = low[a:b] - x, sizes[a:b]
+            v = weights[x:y] + bound[after[x:y]]
+            top = np.maximum.reduceat(v, own)
+            v -= np.repeat(top, size)
+            e = np.exp(v)
+            sums = np.add.reduceat(e, own)
+            logs = np.log(sums)
+            bound[by_left[a:b]] = top + logs
+            e /= np.repeat(sums, size)
+            v -= np.repeat(logs, size)
+            self.p[x:y], self.log_p[x:y] = e, np.minimum(v, 0.0)
+            run = np.cumsum(e)
+            run -= np.repeat(run[own] - e[own], size)
+            run[own + size - 1] = np.inf
+            self.cumulative[x:y] = run
 
     def pick(self, nodes: np.ndarray, uniform: np.ndarray) -> np.ndarray:
-        e = self.edges[nodes]
+        e = self.first[nodes]
         late = np.flatnonzero(uniform >= self.cumulative[e])
         while len(late):
             e[late] += 1
@@ -203,25 +250,28 @@ class Path:
     def __init__(self, lattice, edges, words, value, noise, turn=0, barred=()):
         self.edges, self.words, self.value, self.turn, self.barred = edges, words, value, turn, barred
         log_p = lattice.log_p[edges]
-        self.before = np.cumsum(log_p) - log_p
-        self.log_p = float(log_p.sum())
+        run = np.cumsum(log_p)
+        self.log_p = float(run[-1]) if len(run) else 0.0
+        # Noise before it is bounded by the value of the sample; bounding keeps its order.
         left = -np.expm1(log_p[turn:])
         if barred and len(left):
             left[0] -= lattice.p[list(barred)].sum()
         left[left < 1e-12] = 0.0
         with np.errstate(divide="ignore"):
-            at = self.before[turn:] + np.log(left) - np.log(-np.log(noise))
-            self.open = np.concatenate([np.full(turn, -np.inf), -np.logaddexp(-value, -at)])
-        self.open[turn:][left == 0.0] = -np.inf
+            self.free = (run - log_p)[turn:] + np.log(left / -np.log(noise))
         self._best()
 
     def _best(self) -> None:
-        self.at = int(np.argmax(self.open)) if len(self.open) else 0
-        self.best = float(self.open[self.at]) if len(self.open) else -math.inf
+        self.at, self.best = self.turn, -math.inf
+        if len(self.free):
+            i = int(np.argmax(self.free))
+            self.at, free = self.turn + i, float(self.free[i])
+            if free > -math.inf:
+                self.best = -float(np.logaddexp(-self.value, -free))
 
     def leave(self) -> int:
         at = self.at
-        self.open[at] = -np.inf
+        self.free[at - self.turn] = -np.inf
         self._best()
         return at
 
@@ -238,9 +288,10 @@ def samples(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> l
     The inclusion score is the probability that the segmentation is among the drawn ones, given
     the perturbed value of the first one left out; 1 where none is left out.
     """
-    parts = [f" {t}".split(" ")[1:] if t else [] for t in texts]
-    known: dict[str, int] = {}
-    seen = np.array([known.setdefault(w, len(known)) for p in parts for w in p], np.int64)
+    parts = [lattices.units.findall(f" {t}") if t else [] for t in texts]
+    flat = [w for p in parts for w in p]
+    known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    seen = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.cumsum(sizes) - sizes
     found: list[list[Path]] = [[] for _ in texts]
@@ -272,8 +323,8 @@ def samples(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> l
             value, at = parent.best, parent.leave()
             barred = (int(parent.edges[at]), *(parent.barred if at == parent.turn else ()))
             e0 = parent.edges[at]
-            node = int(np.searchsorted(lattice.edges, e0, side="right")) - 1
-            choice = np.arange(lattice.edges[node], lattice.edges[node + 1])
+            node = lattice.node[e0]
+            choice = np.arange(lattice.first[node], lattice.first[node] + lattice.count[node])
             p = np.where(np.isin(choice, barred), 0.0, lattice.p[choice])
             run = np.cumsum(p)
             r = float(uniforms(keys[d : d + 1], j, np.array([-2]), 0)[0]) * run[-1]
@@ -325,24 +376,37 @@ def _ids(pieces: Pieces, ids: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
+    """Texts of ids: pieces are taken from a table and lie one after the other."""
+
     def __init__(self, pieces: Pieces):
         byte = {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
-        self.data = [byte.get(i, t.encode()) for i, t in enumerate(pieces.texts)]
+        self.data = pa.array([byte.get(i, t.encode()) for i, t in enumerate(pieces.texts)], pa.binary())
 
     def __call__(self, ids: list[int]) -> str:
-        text = b"".join([self.data[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.many(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def many(self, lists: pa.ListArray) -> list[str | None]:
+        found = self.data.take(lists.flatten())
+        bounds = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+        data = memoryview(found.buffers()[2] or b"")
+        sizes = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
+        ends = np.cumsum(sizes)
+        texts = []
+        for known, low, high in zip(lists.is_valid().to_pylist(), (ends - sizes).tolist(), ends.tolist()):
+            text = str(data[bounds[low] : bounds[high]], "utf-8", "replace")
+            texts.append((text[1:] if text[:1] == " " else text) if known else None)
+        return texts
 
 
-def _cut(batch: pa.RecordBatch, texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    low, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > low and size + len(t or "") > most:
-            yield low, i
-            low, size = i, 0
-        size += len(t or "")
-    if low < batch.num_rows:
-        yield low, batch.num_rows
+def _cut(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes."""
+    ends = np.cumsum(np.array(pc.binary_length(texts).fill_null(0)))
+    low = 0
+    while low < len(texts):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield low, high
+        low = high
 
 
 def encode(
@@ -351,14 +415,14 @@ def encode(
     k: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
-    batch_chars: int = 500_000,
+    batch_bytes: int = 400_000,
 ) -> DataFrame:
     """Up to k rows per input row: doc_id, rank (from 1), ids, log_prob, inclusion.
 
     Texts with fewer than k segmentations give all they have. Null and empty texts have one,
     without ids. Equal ids draw equal noise, so repeated rows repeat their result; null ids are
     a key like any other. Other columns are not carried; an empty table gives an empty one.
-    Texts are worked on about ``batch_chars`` characters at a time, longer ones alone.
+    Texts are worked on about ``batch_bytes`` bytes at a time, longer ones alone.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(Lattices(pieces))
@@ -367,10 +431,10 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = shared.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for low, high in _cut(batch, texts, batch_chars):
-                part = ids.slice(low, high - low)
-                drawn = samples(lattices, row_keys(part.to_pylist()), [t or "" for t in texts[low:high]], k)
+            for low, high in _cut(batch.column(1), batch_bytes):
+                part = batch.column(0).slice(low, high - low)
+                texts = [t or "" for t in batch.column(1).slice(low, high - low).to_pylist()]
+                drawn = samples(lattices, row_keys(part.to_pylist()), texts, k)
                 rows = np.repeat(np.arange(high - low), [len(d) for d in drawn])
                 flat = [s for d in drawn for s in d]
                 offsets = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
@@ -400,8 +464,7 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: s
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                ids = part.column(part.schema.get_field_index(ids_col))
-                made = [None if i is None else text(i) for i in ids.to_pylist()]
+                made = text.many(part.column(part.schema.get_field_index(ids_col)))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(made, pa.string())], [*part.schema.names, text_col]
                 )
