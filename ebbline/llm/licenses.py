@@ -11,13 +11,15 @@ words and a tenth edited, below 1 in 500,000. Everything is DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbline.llm.common import let
 
 WINDOW, BANDS, ROWS = 3, 2, 2
-# Matches may gain or lose up to so many words on the way.
+# A template may be spread over a stretch of so many times its words.
+SPREAD = 2
+# The check SQL counts in cells of so many words either way; the scan does not.
 DRIFT = 8
 # The most words that all templates may have together: their tables are broadcast.
 MOST_WORDS = 100_000
@@ -105,15 +107,15 @@ def _placed(df: DataFrame, own: str) -> DataFrame:
 
 
 def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """(name, n_pairs, key, band, at) of all templates; bounded by MOST_WORDS."""
+    """(name, n_pairs, length, key, band, place) of all templates; bounded by MOST_WORDS."""
     if sum(len(t.split()) for t in texts.values()) > MOST_WORDS:
         raise ValueError("the templates are too large to broadcast")
     rows = spark.createDataFrame(list(texts.items()), "name string, text string")
     made = rows.select("name", _features(F.col("text")).alias("f"))
-    sizes = made.select(F.col("name").alias("of"), F.size(F.array_distinct(F.slice("f.keys", 1, F.col("f.n_pairs")))).alias("n_pairs"))
+    sizes = made.select(F.col("name").alias("of"), F.col("f.n_pairs").alias("length"), F.size(F.array_distinct(F.slice("f.keys", 1, F.col("f.n_pairs")))).alias("n_pairs"))
     return (
         _placed(made, "name").join(F.broadcast(sizes), F.col("name") == F.col("of"))
-        .groupBy("name", "n_pairs", "key", "band").agg(F.min("at").alias("place"))
+        .groupBy("name", "n_pairs", "length", "key", "band").agg(F.min("at").alias("place"))
     )
 
 
@@ -127,42 +129,57 @@ def scan(
     """One row per document and template found: doc_id, template, n_found and n_shingles
     (distinct shingles of the template, in the document and in all), first_word and past_word.
 
-    A template is found if at least ``part`` of 100 of its distinct shingles stand near one
-    diagonal of the document, give or take DRIFT words. Of several places the fullest and then
-    the first counts. Templates within a fuller match of another one are found as well. Null,
-    empty and short texts have none; rows that repeat an id count as one document; null ids are
-    an id like any other; other columns are not carried.
+    A template is found if one stretch of the document, up to SPREAD times as long as the
+    template, holds at least ``part`` of 100 of its distinct shingles, and the document one whole
+    window. Of several stretches the fullest, then the shortest and then the first counts.
+    Templates within a fuller match of another one are found as well. Null, empty and short texts
+    have none; rows that repeat an id count as one document; null ids are an id like any other;
+    other columns are not carried.
     """
     known = templates(docs.sparkSession, TEMPLATES if texts is None else texts)
     made = docs.select(F.col(id_col).alias("doc_id"), _features(F.col(text_col)).alias("f"))
-    hits = (
+    group = ["doc_id", "name", "n_pairs", "length"]
+    enough = lambda n: 100 * n >= part * F.col("n_pairs")
+    pair = F.when(~F.col("band"), F.struct("place", "at"))
+    found = (
         _placed(made, "doc_id")
         .join(F.broadcast(known), ["key", "band"])
-        .select("doc_id", "name", "n_pairs", "band", "at", "place", (F.col("at") - F.col("place")).alias("lag"))
+        .groupBy(*group)
+        .agg(F.bool_or("band").alias("retrieved"), F.collect_set(pair).alias("hits"))
+        .filter(F.col("retrieved") & enough(F.size(F.array_distinct("hits.place"))))
     )
-    step = 2 * DRIFT
-    near = F.explode(F.array(F.floor(F.col("lag") / step) * 2, F.floor((F.col("lag") + DRIFT) / step) * 2 + 1))
-    found = (
-        hits.withColumn("near", near)
-        .groupBy("doc_id", "name", "n_pairs", "near")
-        .agg(
-            F.bool_or("band").alias("retrieved"),
-            F.size(F.collect_set(F.when(~F.col("band"), F.col("place")))).alias("n_found"),
-            F.min(F.when(~F.col("band"), F.col("at"))).alias("first_word"),
-            F.max(F.when(~F.col("band"), F.col("at") + 2)).alias("past_word"),
+    same = Window.partitionBy(*group, "place").orderBy("at")
+    # A pair is the first of its shingle for all stretches that start after the one before and
+    # reach it; sums over these intervals count the distinct shingles of each stretch.
+    begin = F.greatest(F.lag("at").over(same) + 1, F.col("at") - SPREAD * F.col("length"))
+    step = lambda *values: F.struct(
+        *[v.cast("int").alias(n) for n, v in zip(("pos", "n", "reach", "start"), values)]
+    )
+    at, none = F.col("at"), F.lit(None)
+    steps = F.inline(
+        F.array(
+            step(F.col("begin"), F.lit(1), at, none), step(at, F.lit(0), none, at), step(at + 1, F.lit(-1), none, none)
         )
-        .filter(F.col("retrieved") & (100 * F.col("n_found") >= part * F.col("n_pairs")))
     )
-    best = F.max(F.struct("n_found", (-F.col("first_word")).alias("a"), (-F.col("past_word")).alias("b")))
+    passed = Window.partitionBy(*group).orderBy("pos")
+    stretches = (
+        found.select(*group, F.inline("hits"))
+        .withColumn("begin", begin)
+        .select(*group, steps)
+        .withColumns({"n_found": F.sum("n").over(passed), "past": F.max("reach").over(passed) + 2})
+        .filter("start is not null")
+    )
+    best = F.max(F.struct("n_found", (F.col("start") - F.col("past")).alias("a"), (-F.col("start")).alias("b")))
     return (
-        found.groupBy("doc_id", "name", "n_pairs")
+        stretches.groupBy(*group)
         .agg(best.alias("m"))
+        .filter(enough(F.col("m.n_found")))
         .select(
             "doc_id",
             F.col("name").alias("template"),
             F.col("m.n_found").cast("bigint").alias("n_found"),
             F.col("n_pairs").cast("bigint").alias("n_shingles"),
-            (-F.col("m.a")).cast("bigint").alias("first_word"),
-            (-F.col("m.b")).cast("bigint").alias("past_word"),
+            (-F.col("m.b")).cast("bigint").alias("first_word"),
+            (-F.col("m.b") - F.col("m.a")).cast("bigint").alias("past_word"),
         )
     )

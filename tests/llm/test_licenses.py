@@ -86,3 +86,43 @@ def test_query_equals_plain_containment(spark):
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def contained(text, template):
+    """Plain containment: how many distinct pairs of the template the text has, of how many."""
+    own = set(pairs(template))
+    return len(own & set(pairs(text))), len(own)
+
+
+def fullest(text, template):
+    """(n_found, first_word, past_word): the fullest, shortest, first stretch of SPREAD times the template."""
+    own, p = set(pairs(template)), pairs(text)
+    at = [i for i, x in enumerate(p) if x in own]
+    best = []
+    for i in at:
+        seen, past = set(), i
+        for j in (j for j in at if i <= j <= i + licenses.SPREAD * len(pairs(template))):
+            past = past if p[j] in seen else j + 2
+            seen.add(p[j])
+        best.append((-len(seen), past - i, i, past))
+    n, _, first, past = min(best)
+    return -n, first, past
+
+
+def test_drifted_templates_are_found_wherever_they_stand(spark):
+    template = licenses.TEMPLATES["mit-grant"]
+    w = template.split()
+    middle = len(w) // 2
+    texts = [
+        " ".join([*["pad"] * start, *w[:middle], *["extra"] * more, *w[middle:]])
+        for more in (10, 12, 20, 60) for start in range(0, 16, 3)
+    ]
+    for mark in ("REM", "dnl"):
+        texts.append("\n".join(f"{mark} {' '.join(w[i : i + 12])}" for i in range(0, len(w), 12)))
+    texts.append("\n".join(f"{i} {' '.join(w[i : i + 12])}" for i in range(0, len(w), 12)))
+    texts.append(f"of the software and {template} to the software {template} of the")
+    got = found(spark, list(enumerate(texts)))
+    for i, text in enumerate(texts):
+        r = got[(i, "mit-grant")]
+        assert (r.n_found, r.first_word, r.past_word) == fullest(text, template)
+        assert (r.n_found, r.n_shingles) == contained(text, template)
