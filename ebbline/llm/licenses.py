@@ -11,6 +11,8 @@ words and a tenth edited, below 1 in 500,000. Everything is DataFrame functions.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +56,45 @@ TEMPLATES = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
+    # Cores of the usual wordings, without the verbs before them.
+    "mit-under": "under the MIT License",
+    "mit-terms": "terms of the MIT License",
+    "mit-spdx": "SPDX-License-Identifier: MIT",
+    "apache-2.0-name": "the Apache License 2.0",
+    "apache-2.0-version": "the Apache License, Version 2.0",
+    "apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "bsd-under": "under the BSD License",
+    "bsd-style": "a BSD-style license",
+    "bsd-2-clause-name": "BSD 2-Clause License",
+    "bsd-3-clause-name": "BSD 3-Clause License",
+    "bsd-2-clause-spdx": "SPDX-License-Identifier: BSD-2-Clause",
+    "bsd-3-clause-spdx": "SPDX-License-Identifier: BSD-3-Clause",
+    "isc-under": "under the ISC License",
+    "isc-spdx": "SPDX-License-Identifier: ISC",
+    "gpl-name": "the GNU General Public License",
+    "gpl-under": "under the GNU GPL",
+    "gpl-2.0-spdx": "SPDX-License-Identifier: GPL-2.0",
+    "gpl-3.0-spdx": "SPDX-License-Identifier: GPL-3.0",
+    "lgpl-name": "the GNU Lesser General Public License",
+    "lgpl-2.1-spdx": "SPDX-License-Identifier: LGPL-2.1",
+    "lgpl-3.0-spdx": "SPDX-License-Identifier: LGPL-3.0",
+    "agpl-name": "the GNU Affero General Public License",
+    "mpl-name": "the Mozilla Public License",
+    "mpl-2.0-spdx": "SPDX-License-Identifier: MPL-2.0",
+    "cc-by-4.0-name": "CC BY 4.0",
+    "cc-by-sa-4.0-name": "CC BY-SA 4.0",
+    "cc-by-sa-4.0-title": "Attribution-ShareAlike 4.0 International",
+    "cc-by-nc-4.0-title": "Attribution-NonCommercial 4.0 International",
+    "cc0-1.0-title": "CC0 1.0 Universal",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
+def whole_texts() -> dict[str, str]:
+    """Whole licenses by name, without lines of copyright holders and appendices."""
+    return {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def _words(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
     plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -136,7 +174,7 @@ def scan(
     have none; rows that repeat an id count as one document; null ids are an id like any other;
     other columns are not carried.
     """
-    known = templates(docs.sparkSession, TEMPLATES if texts is None else texts)
+    known = templates(docs.sparkSession, TEMPLATES | whole_texts() if texts is None else texts)
     made = docs.select(F.col(id_col).alias("doc_id"), _features(F.col(text_col)).alias("f"))
     group = ["doc_id", "name", "n_pairs", "length"]
     enough = lambda n: 100 * n >= part * F.col("n_pairs")

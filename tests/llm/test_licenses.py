@@ -126,3 +126,31 @@ def test_drifted_templates_are_found_wherever_they_stand(spark):
         r = got[(i, "mit-grant")]
         assert (r.n_found, r.first_word, r.past_word) == fullest(text, template)
         assert (r.n_found, r.n_shingles) == contained(text, template)
+
+
+def test_usual_wordings_and_whole_texts(spark):
+    rng = random.Random(8)
+    wordings = {
+        "Licensed under the MIT License": "mit-under",
+        "This file is distributed under the terms of the MIT license": "mit-terms",
+        "Licensed under the Apache License 2.0": "apache-2.0-name",
+        "it is available under the BSD 3-Clause License": "bsd-3-clause-name",
+        "under the terms of the GNU Lesser General Public License": "lgpl-name",
+        "# SPDX-License-Identifier: MPL-2.0": "mpl-2.0-spdx",
+    }
+    rows = [(f"some words {text} and more", name) for text, name in wordings.items()]
+    for name, text in licenses.whole_texts().items():
+        w = text.split()
+        for i in rng.sample(range(len(w)), len(w) // 25):
+            w[i] = f"{w[i]} more"
+        rows += [(text, name), (" ".join(w), name)]
+    got = found(spark, [(i, text) for i, (text, _) in enumerate(rows)])
+    every = licenses.TEMPLATES | licenses.whole_texts()
+    for i, (text, name) in enumerate(rows):
+        assert (i, name) in got
+    for (i, name), r in got.items():
+        if len(every[name]) < 2000:
+            assert (r.n_found, r.first_word, r.past_word) == fullest(rows[i][0], every[name])
+        else:
+            assert (r.n_found, r.n_shingles) == contained(rows[i][0], every[name])
+    assert (4, "gpl-name") not in got and (3, "bsd-2-clause-name") not in got
