@@ -27,6 +27,8 @@ CUES = (
     "api key", "api_key", "apikey", "token", "secret", "password",
 )
 
+# A-Z alone become small, so offsets stay.
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -48,8 +50,7 @@ def _anchors() -> ahocorasick.Automaton:
     found.add_word("@", ("@", 1))
     found.add_word("://", ("://", 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -114,7 +115,7 @@ def spans(text: str | None) -> list[Span]:
     def low(kind: str) -> int:
         return found[kind][-1][1] if found[kind] else 0
 
-    for last, (anchor, size) in _anchors().iter(text):
+    for last, (anchor, size) in _anchors().iter(text.lower() if text.isascii() else text.translate(_LOWER)):
         at = last - size + 1
         if anchor == "@":
             add("email", _email(text, at, low("email")))

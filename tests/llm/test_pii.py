@@ -107,3 +107,11 @@ def test_query_equals_brute_force(spark):
     for r in rows:
         want = ",".join(f"{k}:{s}:{e}" for k, s, e in brute(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("cue", ["API key", "Tax ID", "Customer ID", "Social Security number", "aPi_KeY", "Iban", "ACCT"])
+def test_cues_in_any_letter_case(cue):
+    text = f"é İ the {cue}: ab12345678 end"
+    assert [(k, text[s:e]) for k, s, e in pii.spans(text)] == [("account", "ab12345678")]
+    assert pii.redacted(text) == f"é İ the {cue}: <ACCOUNT> end"
+    assert pii.spans(f"un{cue}: ab12345678") == []
