@@ -26,6 +26,8 @@ CUES = (
     "iban", "account", "acct", "passport", "ssn", "social security number", "tax id", "customer id",
     "api key", "api_key", "apikey", "token", "secret", "password",
 )
+# The cues whose values need no digits.
+CREDENTIALS = frozenset(("api key", "api_key", "apikey", "token", "secret", "password"))
 
 # A-Z alone become small, so offsets stay.
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -36,9 +38,11 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _REST = re.compile(r"[^\s\"'<>`{}|\\^]++")
-_AUTHORITY = re.compile(r"(?:[^/?#@]*+@)?((?:[A-Za-z0-9-]++\.)+[A-Za-z0-9-]++|localhost)(?::[0-9]{1,5})?(?=[/?#]|$)")
-_LINK = re.compile(r"[ \t]*(?:(?:number|no\.?|nr\.?|is|#)[ \t]*)?[:=#]?[ \t]*[\"']?", re.IGNORECASE)
+_AUTHORITY = re.compile(r"(?:[^\s\"'<>`{}|\\^/?#@]*+@)?((?:[\w-]++\.)+[\w-]++|localhost)(?::[0-9]{1,5})?")
+_LINK = re.compile(r"[ \t]*[\"']?[ \t]*(?:(?:number|no\.?|nr\.?|is|#)[ \t]*)?([:=#]?)[>=]?[ \t]*([\"']?)", re.IGNORECASE)
 _VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*+")
+_SECRET = re.compile(r"[^\s\"'<>`,;]++")
+_QUOTED = {q: re.compile(rf"[^{q}\r\n]++(?={q})") for q in "\"'"}
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 
 Span = tuple[str, int, int]
@@ -50,7 +54,7 @@ def _anchors() -> ahocorasick.Automaton:
     found.add_word("@", ("@", 1))
     found.add_word("://", ("://", 3))
     for cue in CUES:
-        found.add_word(cue, ("cue", len(cue)))
+        found.add_word(cue, ("credential" if cue in CREDENTIALS else "cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -77,11 +81,11 @@ def _address(text: str, at: int, low: int) -> tuple[int, int] | None:
         start -= 1
     while start < at and not text[start].isalpha():
         start += 1
-    rest = _REST.match(text, at + 3) if start < at else None
-    if not rest:
+    host = _AUTHORITY.match(text, at + 3) if start < at else None
+    if not host:
         return None
-    end = at + 3 + len(rest[0].rstrip(".,;:!?)]"))
-    return (start, end) if _AUTHORITY.match(text[at + 3 : end]) else None
+    rest = _REST.match(text, host.end()) if text[host.end() : host.end() + 1] in ("/", "?", "#") else None
+    return start, host.end() + len(rest[0].rstrip(".,;:!?)]")) if rest else host.end()
 
 
 def _iban(value: str) -> bool:
@@ -89,16 +93,23 @@ def _iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-def _account(text: str, after: int) -> tuple[int, int] | None:
-    """An identifier after a cue: a valid IBAN, or 6 to 64 letters and digits, 4 digits at least."""
-    at = _LINK.match(text, after).end()
+def _account(text: str, after: int, credential: bool) -> tuple[int, int] | None:
+    """An identifier after a cue: a valid IBAN, or 6 letters and digits or more, 4 digits at
+    least. A credential after a colon or an equals sign is what is quoted, else all up to a blank,
+    and needs no digits."""
+    link = _LINK.match(text, after)
+    at = link.end()
     iban = _IBAN.match(text, at)
     if iban:
         for size in range(iban.end(), at + 14, -1):
             if text[size - 1] != " " and _iban(text[at:size]):
                 return at, size
+    if credential and link[1] in (":", "="):
+        value = (_QUOTED[link[2]].match(text, at) if link[2] else None) or _SECRET.match(text, at)
+        end = at + len(value[0] if link[2] else value[0].rstrip(".:!?)]")) if value else at
+        return (at, end) if end - at >= 6 else None
     value = _VALUE.match(text, at)
-    if not value or at == after or not 6 <= value.end() - at <= 64:
+    if not value or at == after or value.end() - at < 6:
         return None
     return (at, value.end()) if sum(c.isdigit() for c in value[0]) >= 4 else None
 
@@ -122,7 +133,7 @@ def spans(text: str | None) -> list[Span]:
         elif anchor == "://":
             add("address", _address(text, at, low("address")))
         elif at >= low("account") and (at == 0 or not text[at - 1].isalnum()):
-            add("account", _account(text, last + 1))
+            add("account", _account(text, last + 1, anchor == "credential"))
     for m in _IP.finditer(text):
         parts = [p.lstrip("0") for p in m.groups()]
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):

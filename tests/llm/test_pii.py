@@ -115,3 +115,41 @@ def test_cues_in_any_letter_case(cue):
     assert [(k, text[s:e]) for k, s, e in pii.spans(text)] == [("account", "ab12345678")]
     assert pii.redacted(text) == f"é İ the {cue}: <ACCOUNT> end"
     assert pii.spans(f"un{cue}: ab12345678") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("token: github_pat_" + "a1B" * 27, "github_pat_" + "a1B" * 27),
+        ("secret=" + "0f" * 64, "0f" * 64),
+        ("api key " + "0f" * 64, "0f" * 64),
+        ("Password: Tr0ub!dor&x. Next", "Tr0ub!dor&x"),
+        ('{"password": "correct horse battery", "a": 1}', "correct horse battery"),
+        ("secret = 'open sesame'", "open sesame"),
+        ("account: 12345678", "12345678"),
+        ("account: holders", None),
+        ("the token bucket and a secret garden", None),
+    ],
+)
+def test_values_by_cue(text, want):
+    assert [text[s:e] for k, s, e in pii.spans(text) if k == "account"] == ([want] if want else [])
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("http://a.com,http://b.com", ["http://a.com", "http://b.com"]),
+        ("(http://a.com\u3002 x", ["http://a.com"]),
+        ("http://a.com/x?y=z, b", ["http://a.com/x?y=z"]),
+        ("http://m\u00fcller.de/weg", ["http://m\u00fcller.de/weg"]),
+        ("http://\u4f8b\u3048.\u30c6\u30b9\u30c8:80 x", ["http://\u4f8b\u3048.\u30c6\u30b9\u30c8:80"]),
+        ("http://nohost and x://", []),
+    ],
+)
+def test_addresses_end_at_their_host(text, want):
+    assert [text[s:e] for k, s, e in pii.spans(text) if k == "address"] == want
+
+
+def test_long_credentials_take_linear_time():
+    for text in ("password=" * 40_000, 'password="' * 40_000, "token:'x" * 40_000, "http://a.b," * 30_000):
+        pii.spans(text)
