@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations without replacement, and their decoding.
 
 A text is a lattice: every stretch that is a piece of the vocabulary is an edge, and pieces
-never reach over the start of a word, so lattices of words are chained. Weights of edges give
+never reach over the start of a word and the blanks before it, so lattices of words are chained. Weights of edges give
 every segmentation a probability. Gumbel noise on whole segmentations ranks them; the search
 always opens the unexplored part of the lattice whose perturbed bound is the highest, so the
 first k leaves are the top k: k distinct segmentations drawn without replacement. Noise depends
@@ -36,8 +36,8 @@ class Pieces:
     """A vocabulary: texts of pieces by id (blanks for marks), log weights, ids of bytes.
 
     The model ranks pieces by merges. Their log weights follow Zipf's law over these ranks:
-    ``-sharpness * log(2 + rank)``; pieces without a rank come last, those with a blank past
-    their start are decoded but never drawn. A character that is no piece costs its bytes.
+    ``-sharpness * log(2 + rank)``; pieces without a rank, such as runs of blanks, come last.
+    A character that is no piece costs its bytes.
     """
 
     texts: tuple[str, ...]
@@ -57,7 +57,7 @@ class Pieces:
         weights = {
             i: -sharpness * math.log(2.0 + min(n, -model.get_score(i)))
             for i in range(n)
-            if texts[i] and not model.is_byte(i) and " " not in texts[i][1:]
+            if texts[i] and not model.is_byte(i)
         }
         if len(found) != 256:
             raise ValueError("the model needs a piece for every byte")
@@ -79,7 +79,8 @@ def _units(texts: list[str]) -> re.Pattern:
     starts = {c for c in marks if c not in follow}
     some = lambda chars: "".join(f"\\x{ord(c):02x}" for c in sorted(chars))
     inner = f"[{some(marks - starts)}]*" if marks - starts else ""
-    return re.compile(f"[{some(starts)}]{inner}[^{some(marks)}]*|{inner}[^{some(marks)}]+|{inner[:-1]}+" if inner else f"[{some(starts)}][^{some(marks)}]*|[^{some(marks)}]+")
+    glued = inner if any(follow[c] & starts for c in marks - starts) else ""
+    return re.compile(f"[{some(starts)}]{glued}[^{some(marks)}]*|{inner}[^{some(marks)}]+|{inner[:-1]}+" if inner else f"[{some(starts)}][^{some(marks)}]*|[^{some(marks)}]+")
 
 
 def _look_up(keys: np.ndarray, bucket: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -116,3 +116,17 @@ def test_query_decodes_to_every_text(spark):
     assert {r.doc_id for r in rows} == set(texts)
     assert all(r.text_sha256 == hashlib.sha256((texts[r.doc_id]).encode()).hexdigest() for r in rows)
     assert len({(r.doc_id, r.ids_sha256) for r in rows}) == len(rows)
+
+
+def test_runs_of_blanks_are_drawn(pieces, lattices):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=segment.DEFAULT_MODEL)
+    runs = {i for i in range(model.get_piece_size()) if segment.MARK in model.id_to_piece(i)[1:]}
+    assert runs and runs <= set(pieces.weights)
+    for text in (" ", "   ", "a   b", "  a    (b"):
+        want = every(pieces, text)
+        drawn = segment.samples(lattices, segment.row_keys([1]), [text], len(want) + 3)[0]
+        assert {tuple(ids.tolist()): pytest.approx(math.exp(lp), rel=1e-6) for ids, lp, _ in drawn} == want
+        assert text == " " or any(runs & set(ids) for ids in want)
+    assert "".join(lattices.units.findall("   a  b(    c")) == "   a  b(    c"
