@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import chat, classifier, decontaminate, jaccard, licenses, pii, repeats, rules, segment, token_shards
+from ebbline.llm import (
+    chat,
+    classifier,
+    decontaminate,
+    jaccard,
+    licenses,
+    negatives,
+    pii,
+    prefix_trie,
+    repeats,
+    rules,
+    segment,
+    token_shards,
+    topk,
+)
 from ebbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +96,18 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(table(spark, folder, "embeddings"))
+
+
+def op13_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"))
+
+
 RULES_SQL = r"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 listed AS (
@@ -185,6 +211,83 @@ FROM reach r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
 """
 
 
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, c: list_reduce(
+        list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda v, x: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h
+  FROM turns GROUP BY conv_id),
+known AS (SELECT i.*, least(i.h, coalesce(b.n, 0)) AS lent FROM ids i LEFT JOIN ids b ON b.conv_id = i.base),
+rebuilt AS (
+  SELECT k.conv_id, p AS pos, role, text FROM known k JOIN turns t ON t.conv_id = k.base AND p <= k.lent
+  UNION ALL
+  SELECT k.conv_id, p - k.h + k.lent, role, text FROM known k JOIN turns t ON t.conv_id = k.conv_id AND p > k.h),
+begun AS MATERIALIZED (
+  SELECT conv_id, 0 AS pos, md5('') AS path, 0 AS size FROM ids
+  UNION ALL
+  SELECT conv_id, pos, md5(string_agg(len(role) || ':' || role || len(text) || ':' || text, '') OVER (
+    PARTITION BY conv_id ORDER BY pos)), len(text) FROM rebuilt),
+members AS MATERIALIZED (
+  SELECT *, lag(path) OVER s AS above, lead(path) OVER s IS NULL AS last FROM begun
+  WINDOW s AS (PARTITION BY conv_id ORDER BY pos)),
+nodes AS MATERIALIZED (
+  SELECT path, pos, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n, any_value(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends
+  FROM members GROUP BY path, pos),
+children AS (SELECT above AS path, pos - 1 AS pos, count(*) AS n FROM nodes WHERE pos > 0 GROUP BY above, pos),
+below AS (
+  SELECT DISTINCT a.path, a.pos, b.path AS path2, b.pos AS pos2
+  FROM members a JOIN members b ON a.conv_id = b.conv_id AND a.pos <= b.pos),
+sums AS (
+  SELECT b.path, b.pos, sum((n.n - 1) * n.size) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM below b JOIN nodes n ON n.path = path2 AND n.pos = pos2 LEFT JOIN children c ON c.path = path2 AND c.pos = pos2
+  GROUP BY b.path, b.pos)
+SELECT n.conv_id, n.pos::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0) AS n_children,
+  s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s USING (path, pos) LEFT JOIN children c USING (path, pos)
+LEFT JOIN nodes p ON p.path = n.above AND p.pos = n.pos - 1
+"""
+
+_VECTORS_SQL = """
+WITH read AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+vectors AS (SELECT vec_id, label, list_transform(v, lambda x: x::BIGINT) AS v FROM read),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, q.label, c.label AS other,
+    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM {vectors} q JOIN {vectors} c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+"""
+
+TOPK_SQL = _VECTORS_SQL.format(vectors="vectors") + """
+SELECT query_id, (row_number() OVER s)::INT AS rank, vec_id, score FROM scored
+WINDOW s AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER s <= 5
+"""
+
+NEGATIVES_SQL = _VECTORS_SQL.format(
+    vectors="""(
+    SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM vectors WHERE label IS NOT NULL)"""
+) + """,
+positives AS (
+  SELECT query_id, label, vec_id, score FROM scored WHERE label = other
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.query_id AS anchor_id, p.vec_id AS positive_id, (row_number() OVER s)::INT AS rank, n.vec_id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.query_id = p.query_id AND n.other <> p.label
+  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW s AS (PARTITION BY p.query_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER s <= 3
+"""
+
+
 def _licenses_sql() -> str:
     """Containment with one whole window of three words in place, which is what bands retrieve."""
     rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES.items())
@@ -229,6 +332,9 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_license_scan": op9_license_scan,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_topk_search": op13_topk_search,
     }
 
 
@@ -239,4 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": RULES_SQL,
         "op6_chat_formatting": CHAT_SQL,
         "op9_license_scan": _licenses_sql(),
+        "op11_prefix_trie": TRIE_SQL,
+        "op12_hard_negatives": NEGATIVES_SQL,
+        "op13_topk_search": TOPK_SQL,
     }
