@@ -46,6 +46,34 @@ def test_p_values_in_closed_form(spark):
     assert many == pytest.approx([math.erfc(t / math.sqrt(2)) for t in (0.5, 1.5, 6.0, 9.0)], rel=1e-6)
 
 
+def test_far_tails_keep_their_digits(spark):
+    """Three degrees of freedom have a closed form; its tail is a series where it cancels."""
+    import numpy as np
+
+    def three(t):
+        angle = math.atan(math.sqrt(3) / t)
+        return 2 / math.pi * (angle - math.sin(angle) * math.cos(angle))
+
+    got = pvalues(spark, [(t, 3) for t in (0.2, 1.7, 9.0, 60.0)])
+    assert got == pytest.approx([three(t) for t in (0.2, 1.7, 9.0, 60.0)], rel=1e-9)
+    # leading term of the tail: p -> 2 c t^-df df^((df+1)/2) / df, down to 1e-200
+    for df, t in ((1, 1e199), (2, 1e100), (10, 1e20), (40, 1e6)):
+        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        want = math.log(2 * c) + (df + 1) / 2 * math.log(df) - math.log(df) - df * math.log(t)
+        assert math.log(pvalues(spark, [(t, df)])[0]) == pytest.approx(want, abs=1e-8)
+    # many degrees of freedom: against a fine quadrature of the density in the tail
+    for df, t in ((100, 30.0), (10**4, 30.5), (10**9, 30.5), (37, 2.0), (999, 1.73), (999, 1.74)):
+        u = t + np.linspace(0, 60 / t * (1 + t * t / df) + 8, 400_001)
+        log = -(df + 1) / 2 * np.log1p(u * u / df)
+        # the constant by the recurrence, as logarithms of gammas cancel for many degrees
+        k = df / 2 + 1000
+        ratio = math.exp(np.log1p(-0.5 / (df / 2 + np.arange(1000) + 0.5)).sum()) * math.sqrt(k - 0.25) * (1 + 1 / 64 / (k - 0.25) ** 2)
+        body = np.exp(log - log[0])
+        area = (body[0] + body[-1] + 4 * body[1::2].sum() + 2 * body[2:-1:2].sum()) * (u[1] - u[0]) / 3
+        want = math.log(2 * ratio / math.sqrt(df * math.pi) * area) + log[0]
+        assert math.log(pvalues(spark, [(t, df)])[0]) == pytest.approx(want, abs=1e-7), (df, t)
+
+
 def test_p_values_fall_with_the_degrees_of_freedom(spark):
     ps = pvalues(spark, [(8.0, df) for df in (3, 30, 399, 400, 401, 500, 10_000)])
     assert ps == sorted(ps, reverse=True) and ps[2] == pytest.approx(ps[4], rel=0.05)
