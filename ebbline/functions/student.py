@@ -45,10 +45,12 @@ def t_pvalue(statistic: Column, df: Column) -> Column:
     keep their digits.
     """
     n = df.cast("double")
-    half, square = n / 2, statistic * statistic / n
-    x, rest = 1 / (1 + square), square / (1 + square)
+    half, size = n / 2, F.abs(statistic) / F.sqrt(n)
+    square = size * size
+    x, rest = 1 / (1 + square), F.when(size > 1e8, 1.0).otherwise(square / (1 + square))
+    log = F.when(size > 1e8, 2 * F.ln(size)).otherwise(F.log1p(square))
     tail = x < (half + 1) / (half + 2.5)
     a, b = F.when(tail, half).otherwise(0.5), F.when(tail, 0.5).otherwise(half)
-    front = F.exp(-half * F.log1p(square)) * F.sqrt(rest) * _gamma_ratio(half) / math.sqrt(math.pi) / a
+    front = F.exp(-half * log) * F.sqrt(rest) * _gamma_ratio(half) / math.sqrt(math.pi) / a
     part = front * _fraction(a, b, F.when(tail, x).otherwise(rest))
     return F.when(statistic.isNotNull() & (df >= 1), F.when(tail, part).otherwise(1 - part))
