@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ebbline.functions.measures import ratio
 from ebbline.operators.factors import (
     BY_NAME,
-    FACTORS,
     RATIO_FACTORS,
     VOLUME_FACTORS,
     Factor,
@@ -20,28 +19,33 @@ from ebbline.operators.factors import (
     with_parts,
 )
 from ebbline.operators.hierarchy import MODEL_PARTS
-from ebbline.operators.regression import INTERCEPT, ols_by_group
-from ebbline.settings import PLACEMENT, SERIES, Settings
-from ebbline.sources.tables import write_table
+from ebbline.operators.packed import TREND_RATIO, VOLUME_TERM, look_up
+from ebbline.operators.regression import ols_by_group
+from ebbline.settings import SERIES, Settings
+from ebbline.sources import artefacts
 
-# Fixed value: name of the volume coefficient.
-VOLUME_TERM = "AmountTotalCampaignSent"
-TREND_RATIO = "trend_ratio"
+# The name of the packed model among the tables of a saved one.
+PACKED = "packed"
 
 
 @dataclass(frozen=True)
 class Model:
-    """One table per factor, keyed by series and factor levels."""
+    """One table per factor, keyed by series and factor levels, and the same packed by series."""
 
     tables: dict[str, DataFrame]
+    packed: DataFrame
 
-    def save(self, folder: str) -> None:
-        for name, table in self.tables.items():
-            write_table(table, f"{folder}/{name}")
+    def save(self, folder: str, settings: Settings | None = None) -> None:
+        """Write all tables, then the manifest that makes them a model."""
+        artefacts.save(folder, self.tables | {PACKED: self.packed}, repr(settings))
 
     @staticmethod
-    def load(spark: SparkSession, folder: str) -> "Model":
-        return Model({f.name: spark.read.parquet(f"{folder}/{f.name}") for f in FACTORS})
+    def load(spark: SparkSession, folder: str, settings: Settings | None = None) -> "Model":
+        """Read a saved model; ValueError for half-written, changed or foreign ones, and for a
+        model of other ``settings`` where they are given."""
+        tables = artefacts.load(spark, folder, [*BY_NAME, PACKED], settings and repr(settings))
+        packed = tables.pop(PACKED)
+        return Model(tables, packed)
 
 
 def ratio_table(fitted: DataFrame, factor: Factor) -> DataFrame:
@@ -109,62 +113,33 @@ def since_first_campaign(df: DataFrame, campaigns: DataFrame) -> DataFrame:
     return df.filter(F.col("date") >= campaigns.select(F.min("date")).scalar())
 
 
-def _look_up(df: DataFrame, table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Left join on keys that may be missing on both sides.
-
-    Carries no join hint: stored model tables have a known size, so Spark
-    broadcasts the small ones and falls back to a shuffled join on the series for
-    the others.
-    """
-    side = table.select(*[F.col(k).alias(f"_{k}") for k in keys], *values)
-    match: Column = F.lit(True)
-    for k in keys:
-        same = F.col(k) == F.col(f"_{k}") if k in SERIES else F.col(k).eqNullSafe(F.col(f"_{k}"))
-        match = same if k == keys[0] else match & same
-    return df.join(side, match, "left").drop(*[f"_{k}" for k in keys])
-
-
-def _wide_coefficients(table: DataFrame, keys: list[str]) -> DataFrame:
-    def value_of(name: str) -> Column:
-        return F.max(F.when(F.col("coefficient_name") == name, F.col("coefficient_value")))
-
-    # placed like the fact, so that the aggregate and a shuffled join share one move
-    return table.repartition(*PLACEMENT).groupBy(*keys).agg(
-        value_of(INTERCEPT).alias("_intercept"), value_of(VOLUME_TERM).alias("_slope")
-    )
-
-
 def score(df: DataFrame, campaigns: DataFrame, model: Model, settings: Settings) -> DataFrame:
     """Apply stored factors to trended rows of the volume measure.
 
     Rows before the first campaign are left out. Levels the model has not seen
-    contribute nothing.
+    contribute nothing. The one join on the series carries no hint: the packed model has a
+    known size, so Spark broadcasts a small one and joins a large one on the series.
     """
     carried = [c for c in ("data", "date", *SERIES) if c in df.columns]
     rows = since_first_campaign(df, campaigns).filter(
         F.col("amount_type") == settings.volume_measure
     )
-    for factor in RATIO_FACTORS:
-        keys = [*SERIES, *factor.levels]
-        explained = F.coalesce(F.col(TREND_RATIO) * F.col("trend"), F.lit(0.0))
-        rows = (
-            _look_up(rows, model.tables[factor.name], keys, [TREND_RATIO])
-            .withColumn(factor.predict, explained)
-            .drop(TREND_RATIO)
-        )
     if "sent" not in rows.columns:
         rows = rows.join(campaign_days(campaigns), "date", "left")
+    parts: dict[str, Column] = {"Predict_TrendLong": F.col("trend")}
+    for factor in RATIO_FACTORS:
+        (share,) = look_up(factor)
+        parts[factor.predict] = F.coalesce(share * F.col("trend"), F.lit(0.0))
     for factor in VOLUME_FACTORS:
-        keys = [*SERIES, *factor.levels]
-        wide = _wide_coefficients(model.tables[factor.name], keys)
-        per_day = F.col("sent.n") * (F.col("_intercept") + F.col("_slope") * F.col("sent.mean"))
+        intercept, slope = look_up(factor)
+        per_day = F.col("sent.n") * (intercept + slope * F.col("sent.mean"))
         share = F.coalesce(F.when(on_campaign(), per_day), F.lit(0.0))
-        rows = (
-            _look_up(rows, wide, keys, ["_intercept", "_slope"])
-            .withColumn(factor.predict, share * F.col("trend"))
-            .drop("_intercept", "_slope")
-        )
-    return with_residual(rows.withColumn("Predict_TrendLong", F.col("trend")), carried)
+        parts[factor.predict] = share * F.col("trend")
+    rows = rows.drop(*[c for c in model.packed.columns if c not in SERIES])
+    joined = rows.join(model.packed, SERIES, "left")
+    return with_residual(
+        joined.select(*carried, "amount", *[c.alias(name) for name, c in parts.items()]), carried
+    )
 
 
 def with_residual(df: DataFrame, carried: list[str]) -> DataFrame:

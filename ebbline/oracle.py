@@ -565,6 +565,132 @@ def _histogram(rows: str, keys: str, bins: int) -> str:
     )
 
 
+# --- a loaded model on another fact -----------------------------------------------
+
+# Units of the same lines, cleaned and detrended anew, and joined to the twelve fitted tables.
+NEW_FACT = [
+    (
+        "u_fact",
+        """
+        SELECT f.date, f.product_key, f.stay_key, f.amount_type,
+               CASE WHEN f.amount_type = 100 THEN u.price ELSE u.n END AS raw_amount
+        FROM fact f
+        LEFT JOIN (SELECT l_shipdate::DATE AS date,
+                          CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS product_key,
+                          CASE l_linestatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS stay_key,
+                          sum(l_quantity) AS n, sum(l_extendedprice::DECIMAL(12,2))::DOUBLE / nullif(sum(l_quantity), 0) AS price
+                   FROM lineitem GROUP BY ALL) u
+          ON u.date = f.date AND u.product_key = f.product_key AND u.stay_key = f.stay_key""",
+    ),
+    (
+        "u_clean",
+        """
+        SELECT *, least(364, date_diff('day', min(date) OVER (
+                 PARTITION BY product_key, stay_key, amount_type, regime), date) + 1) AS width,
+               CASE WHEN amount_type = 100 THEN coalesce(last_value(nullif(raw_amount, 0) IGNORE NULLS) OVER (
+                   PARTITION BY product_key, stay_key, amount_type ORDER BY date
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
+                 ELSE coalesce(raw_amount, 0) END AS amount
+        FROM (SELECT *, CASE WHEN date <= DATE '1998-06-30' THEN 1 WHEN date <= DATE '1998-07-14' THEN 2 ELSE 3 END AS regime
+              FROM u_fact)""",
+    ),
+    (
+        "u_rows",
+        """
+        SELECT u.*, d.* EXCLUDE (date)
+        FROM (SELECT date, product_key, stay_key, amount_type, amount,
+                     avg(amount) OVER (PARTITION BY product_key, stay_key, amount_type, regime ORDER BY date
+                       ROWS BETWEEN ((width - 1) // 2) PRECEDING AND (width // 2) FOLLOWING) AS trend
+              FROM u_clean WHERE date BETWEEN DATE '1995-03-01' AND DATE '2001-10-31') u
+        LEFT JOIN days d ON d.date = u.date
+        WHERE u.amount_type = 103 AND u.date >= (SELECT min(date) FROM campaign)""",
+    ),
+    (
+        "scored",
+        """
+        SELECT 'New' AS data, date, product_key, stay_key, amount_type, amount AS "Amount", trend AS Predict_TrendLong,
+               Predict_SeasonalMonth, Predict_SeasonalDOW, Predict_SeasonalSchoolHoliday,
+               Predict_SeasonalInfluentialDate, Predict_EDMMajorAvg, Predict_EDMMajorMonth, Predict_EDMMajorDOW,
+               Predict_EDMMajorMonthRgr, Predict_EDMMajorDOWRgr, Predict_EDMMajorLaggedAvg,
+               Predict_EDMMajorLaggedDays, Predict_EDMMajorLaggedDaysDOW,
+               amount - trend - Predict_SeasonalMonth - Predict_SeasonalDOW - Predict_SeasonalSchoolHoliday
+                 - Predict_SeasonalInfluentialDate - Predict_EDMMajorAvg - Predict_EDMMajorMonth
+                 - Predict_EDMMajorDOW - Predict_EDMMajorMonthRgr - Predict_EDMMajorDOWRgr
+                 - Predict_EDMMajorLaggedAvg - Predict_EDMMajorLaggedDays
+                 - Predict_EDMMajorLaggedDaysDOW AS Residual
+        FROM (
+          SELECT u.*,
+                 coalesce(a.trend_ratio * u.trend, 0) AS Predict_SeasonalMonth,
+                 coalesce(b.trend_ratio * u.trend, 0) AS Predict_SeasonalDOW,
+                 coalesce(c.trend_ratio * u.trend, 0) AS Predict_SeasonalSchoolHoliday,
+                 coalesce(d.trend_ratio * u.trend, 0) AS Predict_SeasonalInfluentialDate,
+                 coalesce(e.trend_ratio * u.trend, 0) AS Predict_EDMMajorAvg,
+                 coalesce(f.trend_ratio * u.trend, 0) AS Predict_EDMMajorMonth,
+                 coalesce(g.trend_ratio * u.trend, 0) AS Predict_EDMMajorDOW,
+                 coalesce(h.trend_ratio * u.trend, 0) AS Predict_EDMMajorLaggedAvg,
+                 coalesce(i.trend_ratio * u.trend, 0) AS Predict_EDMMajorLaggedDays,
+                 coalesce(j.trend_ratio * u.trend, 0) AS Predict_EDMMajorLaggedDaysDOW,
+                 CASE WHEN u.edm_flag = 1 AND u.amount_sent IS NOT NULL
+                   THEN coalesce((k.intercept + k.slope * u.amount_sent) * u.trend, 0) ELSE 0 END AS Predict_EDMMajorMonthRgr,
+                 CASE WHEN u.edm_flag = 1 AND u.amount_sent IS NOT NULL
+                   THEN coalesce((l.intercept + l.slope * u.amount_sent) * u.trend, 0) ELSE 0 END AS Predict_EDMMajorDOWRgr
+          FROM u_rows u
+          LEFT JOIN g1 a ON a.product_key = u.product_key AND a.stay_key = u.stay_key AND a.amount_type = u.amount_type
+            AND a.month_no IS NOT DISTINCT FROM u.month_no
+          LEFT JOIN g2 b ON b.product_key = u.product_key AND b.stay_key = u.stay_key AND b.amount_type = u.amount_type
+            AND b.day_no_week IS NOT DISTINCT FROM u.day_no_week
+          LEFT JOIN g3 c ON c.product_key = u.product_key AND c.stay_key = u.stay_key AND c.amount_type = u.amount_type
+            AND c.school_holiday IS NOT DISTINCT FROM u.school_holiday
+          LEFT JOIN g4 d ON d.product_key = u.product_key AND d.stay_key = u.stay_key AND d.amount_type = u.amount_type
+            AND d.influential_date IS NOT DISTINCT FROM u.influential_date
+          LEFT JOIN g5 e ON e.product_key = u.product_key AND e.stay_key = u.stay_key AND e.amount_type = u.amount_type
+            AND e.edm_type IS NOT DISTINCT FROM u.edm_type
+          LEFT JOIN g6 f ON f.product_key = u.product_key AND f.stay_key = u.stay_key AND f.amount_type = u.amount_type
+            AND f.edm_type IS NOT DISTINCT FROM u.edm_type AND f.month_no IS NOT DISTINCT FROM u.month_no
+          LEFT JOIN g7 g ON g.product_key = u.product_key AND g.stay_key = u.stay_key AND g.amount_type = u.amount_type
+            AND g.edm_type IS NOT DISTINCT FROM u.edm_type AND g.day_no_week IS NOT DISTINCT FROM u.day_no_week
+          LEFT JOIN g8 h ON h.product_key = u.product_key AND h.stay_key = u.stay_key AND h.amount_type = u.amount_type
+            AND h.prior_edm_type IS NOT DISTINCT FROM u.prior_edm_type AND h.edm_lagged_flag IS NOT DISTINCT FROM u.edm_lagged_flag
+          LEFT JOIN g9 i ON i.product_key = u.product_key AND i.stay_key = u.stay_key AND i.amount_type = u.amount_type
+            AND i.prior_edm_type IS NOT DISTINCT FROM u.prior_edm_type AND i.edm_lagged_flag IS NOT DISTINCT FROM u.edm_lagged_flag
+            AND i.days_from_edm_start IS NOT DISTINCT FROM u.days_from_edm_start
+          LEFT JOIN g10 j ON j.product_key = u.product_key AND j.stay_key = u.stay_key AND j.amount_type = u.amount_type
+            AND j.edm_lagged_flag IS NOT DISTINCT FROM u.edm_lagged_flag AND j.day_no_week IS NOT DISTINCT FROM u.day_no_week
+            AND j.days_from_edm_start IS NOT DISTINCT FROM u.days_from_edm_start
+          LEFT JOIN g11 k ON k.product_key = u.product_key AND k.stay_key = u.stay_key AND k.amount_type = u.amount_type
+            AND k.month_no = u.month_no
+          LEFT JOIN g12 l ON l.product_key = u.product_key AND l.stay_key = u.stay_key AND l.amount_type = u.amount_type
+            AND l.day_no_week = u.day_no_week)""",
+    ),
+    SCORED[1],
+]
+
+
+def _loaded_tables() -> dict[str, str]:
+    steps = BASE + _chain() + NEW_FACT
+    head = "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps)
+    shown = f'{_r(chr(34) + "RMSE" + chr(34))}, {_r(chr(34) + "RMSEChange" + chr(34))}'
+
+    def both(grain: str, named: bool) -> tuple[str, str]:
+        keys = "product_key, stay_name, amount_type" if named else grain
+        accuracy = f"{head},\n{_per_day(grain)}{_accuracy(grain, keys)}"
+        stay = " LEFT JOIN stays USING (stay_key)" if named else ""
+        steps_sql = f"{head},\n{_steps(grain)} SELECT data, {keys}, decomposition_name, step_rank, {shown} FROM steps{stay}"
+        return accuracy, steps_sql
+
+    grains = {"full": both(K, True), "product": both("product_key, amount_type", False), "high": both("amount_type", False)}
+    union = lambda i: " UNION ALL BY NAME ".join(f"SELECT *, '{g}' AS grain FROM ({sql[i]})" for g, sql in grains.items())
+    return {
+        "score_loaded": f"{head} SELECT data, {ROW}, " + ", ".join(_r(f'"{n}"') for n in ORDERED) + " FROM scored",
+        "loaded_long": f"{head} SELECT data, {ROW}, decomposition_name, floor((amount) * 1e4 + 0.5001) / 1e4 AS amount, "
+        f"decomposition_l1, decomposition_l2, step_rank FROM {LONG}",
+        "loaded_series": f"{head} SELECT data, date, product_key, amount_type, decomposition_l1, "
+        f"floor((sum(amount)) * 1e4 + 0.5001) / 1e4 AS amount FROM {LONG} GROUP BY data, date, product_key, amount_type, decomposition_l1",
+        "loaded_acc": union(0),
+        "loaded_steps": union(1),
+    }
+
+
 # --- residual studies ------------------------------------------------------------
 
 
@@ -649,4 +775,4 @@ def _studies() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_input_tables(), **_factor_tables(), **_score_tables(), **_studies()}
+    return {**_input_tables(), **_factor_tables(), **_score_tables(), **_loaded_tables(), **_studies()}

@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 from ebbline.functions.measures import tidy
 from ebbline.operators import clean, hierarchy, split, trend
 from ebbline.operators.factors import BY_NAME, VolumeFactor
+from ebbline.operators.score import Model
 from ebbline.plans import accuracy as acc
-from ebbline.plans import stages, studies
+from ebbline.plans import results, stages, studies
 from ebbline.plans.stages import Decomposition
+from ebbline.plans.results import Results
 from ebbline.settings import SERIES
+from ebbline.sources import orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 Table = Callable[[Decomposition], DataFrame]
@@ -154,6 +157,40 @@ def tables() -> dict[str, Table]:
     return found
 
 
+def _loaded(spark: SparkSession, folder: str) -> Results:
+    """A model fitted on line counts, saved, loaded and applied to the units of the same lines."""
+    fitted = stages.from_orders(spark, folder)
+    path = f"{fitted.store.folder}/models/{fitted.label}"
+    # saved once per application: saving again would change files that lazy results still read
+    if fitted.store.once(path):
+        fitted.model.save(path, fitted.settings)
+    new = orders.inputs(spark, folder, volume=orders.UNITS)
+    model = Model.load(spark, path, fitted.settings)
+    return results.apply_model(new, model, fitted.settings, fitted.store, "loaded", placed=True)
+
+
+def _by_grain(*frames: DataFrame) -> DataFrame:
+    """The reports of series, product and measure in one table."""
+    tagged = [f.withColumn("grain", F.lit(g)) for f, g in zip(frames, ("full", "product", "high"))]
+    whole = tagged[0]
+    for one in tagged[1:]:
+        whole = whole.unionByName(one, allowMissingColumns=True)
+    return whole
+
+
+LOADED: dict[str, Callable[[Results], DataFrame]] = {
+    "score_loaded": lambda r: r.scored,
+    "loaded_long": lambda r: r.long,
+    "loaded_series": lambda r: r.series,
+    "loaded_acc": lambda r: _by_grain(r.accuracy_full, r.accuracy_product, r.accuracy_high),
+    "loaded_steps": lambda r: _by_grain(r.steps_full, r.steps_product, r.steps_high),
+}
+
+
+def _loaded_query(pick: Callable[[Results], DataFrame]) -> Query:
+    return lambda spark, folder: present(pick(_loaded(spark, folder)), _FINE)
+
+
 def _query(table: Table) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return present(table(stages.from_orders(spark, folder)), _FINE)
@@ -162,4 +199,6 @@ def _query(table: Table) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _query(table) for name, table in tables().items()}
+    return {name: _query(table) for name, table in tables().items()} | {
+        name: _loaded_query(pick) for name, pick in LOADED.items()
+    }

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.operators import clean, factors, score, split, trend
+from ebbline.operators import clean, factors, packed, score, split, trend
 from ebbline.operators.factors import FACTORS
 from ebbline.operators.score import Model
 from ebbline.settings import ORDERS, PLACEMENT, SERIES, Settings
@@ -117,7 +117,10 @@ class Decomposition:
         _ = self.fitted, self.campaigns
         names = [f.name for f in FACTORS]
         with ThreadPoolExecutor(4) as pool:
-            return Model(dict(zip(names, pool.map(self.model_table, names))))
+            tables = dict(zip(names, pool.map(self.model_table, names)))
+        return Model(
+            tables, self.store.stage(f"{self.label}/model/packed", lambda: packed.pack(tables), placed=True)
+        )
 
     def model_table(self, name: str) -> DataFrame:
         return self.store.stage(
@@ -145,9 +148,10 @@ def data_label():
     return F.when(F.col("is_test"), TEST).otherwise(TRAIN)
 
 
-def from_orders(spark: SparkSession, folder: str, product_split: int = 1) -> Decomposition:
+def from_orders(
+    spark: SparkSession, folder: str, product_split: int = 1, volume: str = orders.LINES
+) -> Decomposition:
     """The decomposition of the order tables in ``folder``."""
-    label = f"{folder.strip('/').replace('/', '_')}_{product_split}"
-    return Decomposition(
-        orders.inputs(spark, folder, product_split), ORDERS, store_for(spark), label, placed=True
-    )
+    label = f"{folder.strip('/').replace('/', '_')}_{product_split}_{volume}"
+    inputs = orders.inputs(spark, folder, product_split, volume)
+    return Decomposition(inputs, ORDERS, store_for(spark), label, placed=True)

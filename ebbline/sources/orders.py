@@ -17,6 +17,8 @@ from ebbline.sources.tables import Inputs
 # Fixed values of the order tables.
 PRODUCT_OF_FLAG = {"A": 1, "N": 2, "R": 3}
 STAY_OF_STATUS = {"F": 1, "O": 2}
+# What a day's volume counts: its lines, or the units on them.
+LINES, UNITS = "lines", "units"
 STAYS = "VALUES (1, 'short', 1), (2, 'long', 2) AS t(stay_key, stay_name, stay_rank)"
 
 
@@ -35,14 +37,17 @@ def ship_days(lineitem: DataFrame) -> tuple[Column, Column]:
     )
 
 
-def daily_fact(lineitem: DataFrame, product_split: int = 1) -> DataFrame:
+def daily_fact(lineitem: DataFrame, product_split: int = 1, volume: str = LINES) -> DataFrame:
     """One row per day, product, stay and measure, with every day of the span.
 
     The lines are summed per day before anything is placed by series, so a product
     holding a large share of the lines costs one row per day and stay. Gaps are
     filled inside a series by stretching each day up to the next one, without a
-    join to a list of days. ``product_split`` widens the product key by supplier.
+    join to a list of days. ``product_split`` widens the product key by supplier; with
+    ``volume`` units, the amounts are units sold and the mean price of one.
     """
+    counted = F.sum("quantity") if volume == UNITS else F.count(F.lit(1))
+    quantity = [F.col("l_quantity").alias("quantity")] if volume == UNITS else []
     product = _code("l_returnflag", PRODUCT_OF_FLAG)
     if product_split > 1:
         product = product + F.lit(len(PRODUCT_OF_FLAG)) * (
@@ -55,10 +60,11 @@ def daily_fact(lineitem: DataFrame, product_split: int = 1) -> DataFrame:
             product.alias("product_key"),
             _code("l_linestatus", STAY_OF_STATUS).alias("stay_key"),
             F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
+            *quantity,
         )
         .groupBy("date", *PLACEMENT)
         .agg(
-            F.count(F.lit(1)).cast("double").alias("lines"),
+            counted.cast("double").alias("sold"),
             F.sum("price").cast("double").alias("revenue"),
         )
     )
@@ -70,15 +76,15 @@ def daily_fact(lineitem: DataFrame, product_split: int = 1) -> DataFrame:
         .withColumns({"start": start, "stop": stop})
         .withColumn("day", F.explode(F.sequence("start", "stop")))
     )
-    sold = F.col("day") == F.col("date")
+    today = F.col("day") == F.col("date")
     measures = F.array(
         F.struct(
             F.lit(100).alias("amount_type"),
-            F.when(sold, F.col("revenue") / F.col("lines")).alias("raw_amount"),
+            F.when(today, F.try_divide("revenue", "sold")).alias("raw_amount"),
         ),
         F.struct(
             F.lit(103).alias("amount_type"),
-            F.when(sold, F.col("lines")).alias("raw_amount"),
+            F.when(today, F.col("sold")).alias("raw_amount"),
         ),
     )
     return stretched.select(
@@ -152,11 +158,13 @@ def dim_stay(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM {STAYS}")
 
 
-def inputs(spark: SparkSession, folder: str, product_split: int = 1) -> Inputs:
+def inputs(
+    spark: SparkSession, folder: str, product_split: int = 1, volume: str = LINES
+) -> Inputs:
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     return Inputs(
-        daily_fact=daily_fact(lineitem, product_split),
+        daily_fact=daily_fact(lineitem, product_split, volume),
         calendar=calendar(lineitem),
         campaigns=campaigns(lineitem, orders),
         dim_stay=dim_stay(spark),

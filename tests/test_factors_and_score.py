@@ -6,8 +6,9 @@ import pytest
 from tests.helpers import DAY0, settings, trended_rows
 from pyspark.sql import functions as F
 
-from ebbline.operators import factors, hierarchy, score
+from ebbline.operators import factors, hierarchy, packed, score
 from ebbline.operators.factors import BY_NAME, FACTORS, RATIO_FACTORS
+from ebbline.operators.packed import VOLUME_TERM
 from ebbline.settings import SERIES
 
 
@@ -174,11 +175,42 @@ def test_model_survives_saving(spark, orders, tmp_path):
     orders.model.save(str(tmp_path))
     loaded = score.Model.load(spark, str(tmp_path))
     assert set(loaded.tables) == {f.name for f in FACTORS}
+    assert loaded.packed.schema == orders.model.packed.schema
     rows = orders.fitted.filter("product_key = 1")
     args = (orders.campaigns, loaded, orders.settings)
     assert score.score(rows, *args).count() == score.score(rows, orders.campaigns, orders.model, orders.settings).count()
 
 
+def test_packed_maps_hold_every_row_of_the_tables(orders):
+    packed_rows = {tuple(r[k] for k in SERIES): r for r in orders.model.packed.collect()}
+    for factor in FACTORS:
+        rows = orders.model.tables[factor.name].collect()
+        assert rows
+        seen = 0
+        for r in rows:
+            texts = ["missing" if r[c] is None else str(r[c]).lower() if isinstance(r[c], bool) else str(r[c]) for c in factor.levels]
+            key = "|".join(t if t == "missing" else f"{len(t)}:{t}" for t in texts)
+            one = packed_rows[tuple(r[k] for k in SERIES)]
+            name = factor.ratio if "trend_ratio" in r else ("Slope_" if r.coefficient_name == VOLUME_TERM else "Intercept_") + factor.name
+            assert one[name][key] == (r.trend_ratio if "trend_ratio" in r else r.coefficient_value)
+            seen += 1
+        maps = [factor.ratio] if factor in RATIO_FACTORS else [f"Slope_{factor.name}", f"Intercept_{factor.name}"]
+        assert seen == sum(len(one[m]) for one in packed_rows.values() for m in maps)
+
+
+def test_missing_levels_are_levels_of_their_own(spark, orders):
+    """A missing prior campaign neither matches a level nor the other way round."""
+    table = orders.model.tables["EDMMajorLaggedAvg"]
+    odd = table.withColumn("prior_edm_type", F.lit(None).cast("int")).filter("not edm_lagged_flag").dropDuplicates(SERIES)
+    tables = {**orders.model.tables, "EDMMajorLaggedAvg": odd}
+    model = score.Model(tables, packed.pack(tables))
+    early = orders.fitted.withColumn("prior_edm_type", F.lit(None).cast("int")).withColumn("edm_lagged_flag", F.lit(False))
+    got = score.score(early, orders.campaigns, model, orders.settings)
+    want = {tuple(r[k] for k in SERIES): r.trend_ratio for r in odd.collect()}
+    for r in got.filter("Predict_TrendLong <> 0").limit(200).collect():
+        assert r.Predict_EDMMajorLaggedAvg == pytest.approx(want[tuple(r[k] for k in SERIES)] * r.Predict_TrendLong)
+
+
 def test_unseen_levels_contribute_nothing(spark, orders):
     strange = orders.fitted.withColumns(
         {"school_holiday": F.lit("never seen"), "influential_date": F.lit("never seen")}

@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ebbline.operators import factors, hierarchy, score
+from ebbline.operators import factors, hierarchy, packed, score
 from ebbline.plans import accuracy as acc
 from ebbline.plans import registry, stages
 from ebbline.settings import PLACEMENT
@@ -86,26 +86,34 @@ def test_scan_reads_only_what_a_table_needs(orders):
     assert "price_change_prior" not in "".join(re.findall(r"ReadSchema: (struct<.*)", wide))
 
 
-def test_small_models_are_broadcast(orders):
-    text = plan(orders.scored)
-    assert text.count("BroadcastHashJoin") >= 12 and "SortMergeJoin" not in text
+def joins(text: str) -> list[str]:
+    return re.findall(r"\b(?:BroadcastHash|SortMerge|ShuffledHash|BroadcastNestedLoop)Join\b|CartesianProduct", text)
 
 
-def test_large_models_join_without_moving_the_fact_per_factor(spark, orders):
+def test_a_small_model_is_one_broadcast_join(orders):
+    assert joins(without_subqueries(plan(orders.scored))) == ["BroadcastHashJoin"]
+
+
+def test_a_large_model_is_one_join_in_place(spark, orders):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         df = score.score(orders.fitted, orders.campaigns, orders.model, orders.settings)
         text = without_subqueries(plan(df))
-        assert "BroadcastHashJoin" not in text
-        # one exchange per model table and no more: the fact stays where it is
-        assert len(exchanges(text)) <= 12
+        assert joins(text) == ["SortMergeJoin"]
+        assert len(exchanges(text)) <= 2
         a = df.agg(F.sum("Residual")).first()[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert a == pytest.approx(orders.scored.agg(F.sum("Residual")).first()[0], abs=1e-6)
 
 
+def test_a_model_is_packed_with_one_placement(orders):
+    tables = {f.name: orders.model_table(f.name) for f in factors.FACTORS}
+    text = plan(packed.pack(tables))
+    assert len(exchanges(text)) == 1 and not joins(text)
+
+
 def test_steps_multiply_no_rows_before_the_aggregation(orders):
     text = plan(acc.error_steps(orders.scored_in_place, acc.HIGH))
     body = text[text.rindex("Generate inline") :]
