@@ -1,68 +1,100 @@
-"""Exact order statistics without sorting: intervals are narrowed by counts."""
+"""Exact order statistics without sorting: a radix select over order-preserving bits."""
 
 from __future__ import annotations
 
+import math
+import struct
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Buckets per interval and pass. A pass brings at most so many counts per wanted rank to the
-# driver, whatever the number of rows.
-BUCKETS = 4096
+# Bits that a pass decides. A pass brings at most 2^12 counts per wanted rank to the driver,
+# whatever the number of rows, and 64 bits need six passes for any distribution.
+DIGIT = 12
+BITS = 64
+
+Wanted = tuple[object, int]
+#: The ranks to find, from the number of values of each group.
+Ranks = Callable[[dict], list[Wanted]]
+
 
-Wanted = tuple[int, int]
+def sortable(x: Column) -> Column:
+    """A finite double as a long that sorts like it; equal doubles, both zeros too, give one long.
+
+    Exponent and fraction are taken apart by powers of two, which is exact: the fraction of a
+    number of exponent e is x / 2^e - 1, and numbers below the least normal one are multiples
+    of 2^-1074.
+    """
+    size = F.abs(x)
+    near = F.floor(F.log2(F.greatest(size, F.lit(2.0**-1022)))).cast("int")
+    power = lambda e: F.pow(F.lit(2.0), e)
+    # the logarithm may be off by one next to a power of two, and 2^1024 is no double
+    low = F.when(size < power(near), near - 1).otherwise(F.least(near, F.lit(1023)))
+    exponent = F.when((low < 1023) & (size >= power(F.least(low + 1, F.lit(1023)))), low + 1).otherwise(low)
+    fraction = (size * power(-exponent) - 1) * 2.0**52
+    normal = (exponent + 1023).cast("bigint") * (1 << 52) + fraction.cast("bigint")
+    tiny = (size * 2.0**537 * 2.0**537).cast("bigint")
+    code = F.when(size < 2.0**-1022, tiny).otherwise(normal)
+    return F.when(x < 0, -code).otherwise(code)
 
 
-def _bucket(x: Column, low, high, whole: bool) -> Column:
-    """Number of a bucket of x between low and high: it grows with x, and the two ends differ."""
-    if whole:
-        return F.floor((x - F.lit(low)) / F.lit((high - low) // BUCKETS + 1))
-    place = F.try_divide(x * 0.5 - F.lit(low * 0.5), F.lit(high * 0.5 - low * 0.5)) * BUCKETS
-    inner = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(BUCKETS - 1))
-    return F.when(x == F.lit(low), 0).when(x == F.lit(high), BUCKETS - 1).otherwise(F.coalesce(inner, F.lit(0)))
+def unsortable(code: int) -> float:
+    """The double of a code."""
+    (size,) = struct.unpack("<d", struct.pack("<q", abs(code)))
+    return math.copysign(size, code) if code else 0.0
 
 
 def order_statistics(
-    df: DataFrame, value: str, group: str, wanted: list[Wanted]
+    df: DataFrame, value: str, group: str, wanted: Ranks | list[Wanted], bits: int = BITS
 ) -> dict[Wanted, float | int]:
     """For each (group, rank) the rank-th smallest value of the group, counted from 1.
 
-    Each pass counts the values of every open interval by bucket, with partial sums before the
-    shuffle, and goes on with the least and largest value of the bucket that holds the rank. An
-    interval loses at least one end per pass, in practice all but a few thousandths. Values are
-    finite numbers without nulls; integers may span up to 63 bits.
+    The first pass counts all values by their highest bits and so tells how many each group has,
+    from which ``wanted`` may choose its ranks. Every further pass counts the next bits of the
+    values that share the bits found so far, for all ranks at once, with partial sums before the
+    shuffle. A rank is found when its count holds one value only, after six passes at the latest.
+    Values are finite numbers without nulls; integers below 2^``bits`` - with a smaller number
+    than 64, none negative - need fewer passes.
     """
     whole = isinstance(df.schema[value].dataType, T.IntegralType)
-    x = F.col(value)
-    ends = {
-        r[0]: (r.low, r.high)
-        for r in df.groupBy(group).agg(F.min(x).alias("low"), F.max(x).alias("high")).collect()
-    }
-    open_: dict[Wanted, tuple] = {w: (*ends[w[0]], w[1]) for w in wanted}
+    code = F.col(value).cast("bigint") if whole else sortable(F.col(value))
+    rows = df.select(F.col(group).alias("g"), code.alias("code"))
+    back = (lambda c: c) if whole else unsortable
+    shift = bits - DIGIT
+    counts: dict[tuple, list] = {}
+    for r in _counted(rows.withColumn("prefix", F.lit(0)), shift).collect():
+        counts.setdefault((r.g, 0), []).append((r.digit, r.n, r.low, r.high))
+    sizes = {g: sum(n for _, n, _, _ in of) for (g, _), of in counts.items()}
+    open_ = {w: (w[1], 0) for w in (wanted(sizes) if callable(wanted) else wanted)}
     found: dict[Wanted, float | int] = {}
-    while True:
-        found |= {w: low for w, (low, high, _) in open_.items() if low == high}
-        open_ = {w: i for w, i in open_.items() if w not in found}
-        if not open_:
-            return found
-        intervals = sorted({(w[0], low, high) for w, (low, high, _) in open_.items()})
-        which = place = F.lit(None)
-        for i, (g, low, high) in enumerate(intervals):
-            inside = (F.col(group) == g) & x.between(F.lit(low), F.lit(high))
-            which = F.when(inside, F.lit(i)).otherwise(which)
-            place = F.when(inside, _bucket(x, low, high, whole)).otherwise(place)
-        counts: dict[int, list] = {}
-        rows = (
-            df.select(which.alias("i"), place.alias("b"), x.alias("x"))
-            .filter("i is not null")
-            .groupBy("i", "b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        )
-        for r in rows.collect():
-            counts.setdefault(r.i, []).append((r.b, r.n, r.low, r.high))
-        for w, (low, high, rank) in open_.items():
-            for _, n, least, most in sorted(counts[intervals.index((w[0], low, high))]):
+    while open_:
+        for w, (rank, prefix) in list(open_.items()):
+            for digit, n, low, high in sorted(counts[w[0], prefix]):
                 if rank <= n:
-                    open_[w] = (least, most, rank)
                     break
                 rank -= n
+            open_[w] = (rank, digit)
+            if low == high:
+                found[w] = back(low)
+                del open_[w]
+        if not open_:
+            break
+        # digits count from the highest bit on, so a digit is the prefix of the next ones
+        prefixes = sorted({(w[0], prefix) for w, (_, prefix) in open_.items()}, key=repr)
+        inside = F.lit(False)
+        for g, prefix in prefixes:
+            inside = inside | (F.col("g").eqNullSafe(F.lit(g)) & (F.col("prefix") == F.lit(prefix)))
+        below, shift = shift, max(0, shift - DIGIT)
+        some = rows.withColumn("prefix", F.shiftright("code", below)).filter(inside)
+        counts = {}
+        for r in _counted(some, shift).collect():
+            counts.setdefault((r.g, r.prefix), []).append((r.digit, r.n, r.low, r.high))
+    return found
+
+
+def _counted(rows: DataFrame, shift: int) -> DataFrame:
+    return rows.groupBy("g", "prefix", F.shiftright("code", shift).alias("digit")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("code").alias("low"), F.max("code").alias("high")
+    )

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ebbline.operators.ranks import order_statistics
 from ebbline.settings import SERIES
 
+# Bits of the number that stands for a row.
+HASH_BITS = 60
+
+
 def with_row_hash(df: DataFrame) -> DataFrame:
     """Add ``row_hash``, a 60-bit number from the identity of a row."""
     key = F.concat_ws("|", F.col("date").cast("string"), *[F.col(k) for k in SERIES])
@@ -27,9 +31,13 @@ def stratum(df: DataFrame) -> DataFrame:
     """Cut all rows at the quartiles of the amount: the smallest amounts with a quarter, half
     and three quarters of the rows at or below them, exact at every size."""
     known = df.filter(F.col("amount").isNotNull()).select("amount", F.lit(0).alias("all"))
-    n = known.count()
-    ranks = [max(1, math.ceil(n * q)) for q in (0.25, 0.5, 0.75)]
-    found = order_statistics(known, "amount", "all", [(0, r) for r in ranks]) if n else {}
+    ranks: list[int] = []
+
+    def quartiles(sizes: dict) -> list:
+        ranks.extend(max(1, math.ceil(sizes.get(0, 0) * q)) for q in (0.25, 0.5, 0.75))
+        return [(0, r) for r in ranks] if sizes else []
+
+    found = order_statistics(known, "amount", "all", quartiles)
     cuts = F.array(*[F.lit(found.get((0, r))).cast("double") for r in ranks])
     return df.withColumn("stratum", _above(cuts))
 
@@ -42,9 +50,11 @@ def split(df: DataFrame, share: float) -> DataFrame:
     thresholds enter as constants, which leaves the placement of the rows alone.
     """
     layered = stratum(df)
-    sizes = {r.stratum: r.n for r in layered.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = [(s, math.ceil(n * share)) for s, n in sizes.items() if s is not None and n * share > 0]
-    found = order_statistics(layered, "row_hash", "stratum", wanted)
+
+    def tested(sizes: dict) -> list:
+        return [(s, math.ceil(n * share)) for s, n in sizes.items() if s is not None and n * share > 0]
+
+    found = order_statistics(layered, "row_hash", "stratum", tested, HASH_BITS)
     is_test = F.lit(None).cast("boolean")
     for (s, _), threshold in found.items():
         is_test = F.when(F.col("stratum") == s, F.col("row_hash") <= threshold).otherwise(is_test)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.helpers import DAY0
 
 from ebbline.operators import split
-from ebbline.operators.ranks import order_statistics
+from ebbline.operators.ranks import order_statistics, sortable, unsortable
 
 VALUES = {
     "even": [random.Random(1).random() for _ in range(20_000)],
@@ -30,6 +30,47 @@ def test_doubles(spark, name):
     assert found == {(7, r): values[r - 1] for r in ranks}
 
 
+def test_codes_sort_like_their_doubles(spark):
+    rng = random.Random(3)
+    values = [0.0, -0.0, 5e-324, 2.0**-1022, math.nextafter(2.0**-1022, 0), 1.0, 1.7976931348623157e308, 2.0**1023]
+    values += [2.0**e for e in range(-1074, 1024, 7)] + [math.nextafter(2.0**e, 0) for e in range(-1070, 1024, 7)]
+    values += [math.nextafter(2.0**e, 9e307) for e in range(-1070, 1000, 7)] + [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-320, 308) for _ in range(2000)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", sortable(F.col("v")).alias("c"))
+    rows = df.collect()
+    assert all(unsortable(r.c) == r.v for r in rows)
+    by_code = [r.v for r in sorted(rows, key=lambda r: r.c)]
+    assert by_code == sorted(values)
+
+
+def test_values_of_all_magnitudes_need_six_passes(spark):
+    """From 1e-300 to 1e300, with the values of the wanted ranks next to each other."""
+    values = [math.copysign(10.0 ** (i % 601 - 300), i % 2 - 0.5) * (1 + i / 1e6) for i in range(4000)]
+    x = 1.0
+    for _ in range(200):
+        x = math.nextafter(x, 2.0)
+        values.append(x)
+    df = spark.createDataFrame([(v, 0) for v in values], "v double, g int").repartition(4).cache()
+    df.count()
+    ordered = sorted(values)
+    at = ordered.index(x)
+    ranks = [1, 1000, at - 150, at - 3, at + 1, len(values)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranks", "order statistics")
+    found = order_statistics(df, "v", "g", [(0, r) for r in ranks])
+    spark.sparkContext.setJobGroup("other", "")
+    assert found == {(0, r): ordered[r - 1] for r in ranks}
+    assert len(tracker.getJobIdsForGroup("ranks")) <= 2 * 6  # adaptive execution runs a job per stage
+    df.unpersist()
+
+
+def test_ranks_may_follow_from_the_counts(spark):
+    df = spark.createDataFrame([(float(i), i % 3) for i in range(100)], "v double, g int")
+    found = order_statistics(df, "v", "g", lambda sizes: [(g, n) for g, n in sizes.items()])
+    assert found == {(0, 34): 99.0, (1, 33): 97.0, (2, 33): 98.0}
+    assert order_statistics(df.limit(0), "v", "g", lambda sizes: list(sizes.items())) == {}
+
+
 def test_integers_by_group(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(1 << 60), g) for g in range(4) for _ in range(500 * g + 1)]
