@@ -295,6 +295,69 @@ def _input_tables() -> dict[str, str]:
     }
 
 
+def _fine_split() -> str:
+    """The split over products widened by supplier, counted by series and stratum."""
+    steps = dict(BASE)
+    steps["lines"] = """
+        SELECT l_shipdate::DATE AS date,
+               (CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END + 3 * (l_suppkey % 50))::INT AS product_key,
+               (CASE l_linestatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END)::INT AS stay_key,
+               l_extendedprice::DECIMAL(12,2) AS price
+        FROM lineitem"""
+    head = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps.items())
+    return f"""WITH {head}
+        SELECT {K}, stratum, count(*) AS n_rows, count(*) FILTER (is_test) AS n_test,
+               floor(min(amount) * 1e4 + 0.5001) / 1e4 AS least, floor(max(amount) * 1e4 + 0.5001) / 1e4 AS most
+        FROM f0 GROUP BY {K}, stratum"""
+
+
+def _lines_over_time() -> dict[str, str]:
+    """Lines through training amounts of three stretches, and through means per month."""
+    day = "date_diff('day', DATE '1970-01-01', date)::DOUBLE"
+    fit = (
+        f"count(*) AS n_points, floor(regr_slope(y, {day}) * 1e8 + 0.5001) / 1e8 AS slope, "
+        f"floor(regr_intercept(y, {day}) * 1e3 + 0.5001) / 1e3 AS epoch_intercept"
+    )
+    windows = (("long", "1996-02-01", "1996-08-31"), ("short", "1996-02-01", "1996-02-29"), ("cut", "1996-11-12", "1997-03-09"))
+    parts = [
+        f"SELECT {K}, '{name}' AS \"window\", {fit} FROM (SELECT *, amount AS y FROM f0) "
+        f"WHERE NOT is_test AND date BETWEEN DATE '{first}' AND DATE '{last}' GROUP BY {K}"
+        for name, first, last in windows
+    ]
+    means = (
+        f"SELECT {K}, date, avg(amount) OVER (PARTITION BY {K}, year(date), month(date)) AS y FROM f0 "
+        "WHERE NOT is_test AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'"
+    )
+    return {
+        "lines_window": _with("f0", " UNION ALL ".join(parts)),
+        "lines_monthly": _with("f0", f"SELECT {K}, {fit} FROM ({means}) GROUP BY {K}"),
+    }
+
+
+def _more_tables() -> dict[str, str]:
+    running, total = [], "trend"
+    names = [n for n, _, _ in RATIO_LEVELS] + [n for n, _ in VOLUME_LEVELS]
+    for i, name in enumerate(names, start=1):
+        total += f" + Predict_{name}"
+        running += [_r(f"r{i}", 4, f"Residual_{name}"), _r(total, 4, f"Agg_Predict_{name}")]
+    named = _factor_tables()["check_lag_days_dow_named"]
+    six = ["MAE", "MBE", "RMSE", "MAEPerc", "MBEPerc", "RMSEPerc"]
+    one = _acc(K, "product_key, stay_name", "a.data = 'Train' AND product_key = 2 AND (stay_name IS NULL OR stay_name NOT IN ('short'))")
+    return {
+        "running_parts": _with("f12", f"SELECT {ROW}, {', '.join(running)} FROM f12"),
+        "check_lag_days_dow_stays": f"SELECT * FROM ({named}) WHERE stay_name = 'long'",
+        "model_sample": _with(
+            "g1", f"SELECT {K}, month_no, {_r('trend_ratio')} FROM g1 WHERE product_key = 1 AND stay_key = 1 AND amount_type = 103"
+        ),
+        "acc_one_product": "SELECT stay_name, " + ", ".join(f'round("{c}", 2) + 0.0 AS "{c}"' for c in six) + f" FROM ({one})",
+        "stay_label_breaks": """
+        SELECT stay_name FROM (SELECT stay_name, row_number() OVER (ORDER BY stay_name) AS stay_rank
+          FROM (SELECT DISTINCT o_orderpriority AS stay_name FROM orders WHERE o_orderpriority IS NOT NULL))
+        WHERE stay_rank % 2 = 1 AND stay_name <> '5-LOW'""",
+        "hash_split_fine": _fine_split(),
+    }
+
+
 SHORT = ["month", "dow", "school_holiday", "influential", "edm_avg", "edm_month", "edm_dow",
          "lag_avg", "lag_days", "lag_days_dow"]
 
@@ -775,4 +838,5 @@ def _studies() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_input_tables(), **_factor_tables(), **_score_tables(), **_loaded_tables(), **_studies()}
+    return {**_input_tables(), **_factor_tables(), **_score_tables(), **_loaded_tables(),
+            **_studies(), **_lines_over_time(), **_more_tables()}

@@ -72,23 +72,35 @@ def accuracy_by_stay_name(scored: DataFrame, dim_stay: DataFrame) -> DataFrame:
 
 
 def accuracy_all_grains(scored: DataFrame) -> DataFrame:
-    """All three grains in one pass; ``grain`` names the level of a row."""
-    base = ["data", "date"]
-    sets = [base + FULL, base + PRODUCT, base + HIGH]
-    columns = [F.col(c) for c in base + FULL]
-    level = F.grouping("product_key") + F.grouping("stay_key")
-    daily = scored.groupingSets(
-        [[F.col(c) for c in one] for one in sets], *columns
-    ).agg(*_day_totals(scored), level.cast("int").alias("level"))
-    # the level tells a total apart from a row whose own key is missing
-    return (
-        daily.groupBy("data", "level", *FULL)
-        .agg(*_accuracy_columns())
-        .withColumn(
-            "grain", F.when(F.col("level") == 0, "full").when(F.col("level") == 1, "product").otherwise("high")
-        )
-        .drop("level")
-    )
+    """All three grains; ``grain`` names the level of a row.
+
+    The rows are summed once per day and series. Days of a product are sums of these sums, and
+    days of a measure sums of those, so no row is multiplied and each level is smaller than the
+    one below.
+    """
+    keys = ["data", "date"]
+    sums = [F.sum(c).alias(c) for c in ("actual", "model", "residual")]
+    full = scored.groupBy(*keys, *FULL).agg(*_day_totals(scored))
+    product = full.groupBy(*keys, *PRODUCT).agg(*sums)
+    high = product.groupBy(*keys, *HIGH).agg(*sums)
+    levels = []
+    for name, daily, grain in (("full", full, FULL), ("product", product, PRODUCT), ("high", high, HIGH)):
+        level = daily.groupBy("data", *grain).agg(*_accuracy_columns())
+        absent = [F.lit(None).cast("int").alias(k) for k in FULL if k not in grain]
+        levels.append(level.select("data", *grain, *absent, *ACCURACY, F.lit(name).alias("grain")))
+    whole = levels[0]
+    for level in levels[1:]:
+        whole = whole.unionByName(level)
+    return whole
+
+
+def accuracy_of_product(
+    scored: DataFrame, dim_stay: DataFrame, product: int, without: tuple[str, ...] = ()
+) -> DataFrame:
+    """The per-stay report of one product's training rows, without some stays."""
+    rows = accuracy_rounded(scored.filter(F.col("product_key") == product), dim_stay)
+    kept = rows.filter(F.col("stay_name").isNull() | ~F.col("stay_name").isin(*without)) if without else rows
+    return kept.drop("product_key")
 
 
 def accuracy_rounded(scored: DataFrame, dim_stay: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions.measures import tidy
-from ebbline.operators import clean, hierarchy, split, trend
+from ebbline.operators import clean, hierarchy, lines, split, trend
 from ebbline.operators.factors import BY_NAME, VolumeFactor
 from ebbline.operators.score import Model
 from ebbline.plans import accuracy as acc
@@ -25,6 +27,15 @@ Table = Callable[[Decomposition], DataFrame]
 ROW = ["date", *SERIES]
 # The year of the filtered report tables.
 ONE_YEAR = (1996, 1996)
+# Stretches of the straight lines over time: whole months, one month, and cut months.
+LINE_WINDOWS = {
+    "long": (date(1996, 2, 1), date(1996, 8, 31)),
+    "short": (date(1996, 2, 1), date(1996, 2, 29)),
+    "cut": (date(1996, 11, 12), date(1997, 3, 9)),
+}
+MONTHLY = (date(1996, 1, 1), date(1997, 12, 31))
+# Products are split by supplier into so many for work on many series.
+FINE = 50
 
 
 def present(df: DataFrame, places: dict[str, int], default: int = 4) -> DataFrame:
@@ -63,6 +74,26 @@ def _monthly(d: Decomposition) -> DataFrame:
     return trend.monthly_average(train).select(*ROW, "month_average")
 
 
+def _window_lines(d: Decomposition) -> DataFrame:
+    """Lines through the training amounts of seven months and of one."""
+    training = d.divided.filter(~F.col("is_test")).select(*ROW, "amount")
+    found = [
+        lines.window_lines(d.month_sums, training, SERIES, "amount", first, last).withColumn("window", F.lit(name))
+        for name, (first, last) in LINE_WINDOWS.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _split_by_series(d: Decomposition) -> DataFrame:
+    """What the split gives each series and stratum."""
+    return d.divided.groupBy(*SERIES, "stratum").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.col("is_test").cast("bigint")).alias("n_test"),
+        F.min("amount").alias("least"),
+        F.max("amount").alias("most"),
+    )
+
+
 # Short names of the factor tables.
 FACTOR_TABLES = {
     "month": "SeasonalMonth",
@@ -81,7 +112,7 @@ FACTOR_TABLES = {
 
 _FINE = {"coefficient_value": 8, "std_error": 8, "slope": 8, "slope_after": 8, "intercept": 6,
          "intercept_after": 6, "amount_slope": 6, "residual_trend_slope": 6,
-         "amount_intercept": 4, "residual_trend_intercept": 4}
+         "epoch_intercept": 3, "amount_intercept": 4, "residual_trend_intercept": 4}
 
 
 def tables() -> dict[str, Table]:
@@ -110,7 +141,13 @@ def tables() -> dict[str, Table]:
             split.split_within_series(d.main, d.settings.test_share), *SERIES
         ),
         "check_lag_days_dow_named": lambda d: studies.lagged_weekday_check(d.parts, d.dim_stay),
+        "check_lag_days_dow_stays": lambda d: studies.lagged_weekday_check(d.parts, d.dim_stay, (2,)),
         "trend_lines": lambda d: studies.trend_lines(d.main),
+        "lines_window": _window_lines,
+        "lines_monthly": lambda d: lines.monthly_mean_lines(d.month_sums, SERIES, *MONTHLY),
+        "running_parts": lambda d: studies.running_parts(d.parts),
+        "model_sample": lambda d: d.model_sample("SeasonalMonth", 1, 1, 103),
+        "acc_one_product": lambda d: acc.accuracy_of_product(d.scored_in_place, d.dim_stay, 2, ("short",)),
         "score_wide": lambda d: d.scored,
         "score_in_place": lambda d: d.scored_in_place,
         "decomposition_long": lambda d: hierarchy.decompose_long(d.scored_in_place),
@@ -164,7 +201,7 @@ def _loaded(spark: SparkSession, folder: str) -> Results:
     # saved once per application: saving again would change files that lazy results still read
     if fitted.store.once(path):
         fitted.model.save(path, fitted.settings)
-    new = orders.inputs(spark, folder, volume=orders.UNITS)
+    new = stages.from_orders(spark, folder, volume=orders.UNITS).inputs
     model = Model.load(spark, path, fitted.settings)
     return results.apply_model(new, model, fitted.settings, fitted.store, "loaded", placed=True)
 
@@ -199,6 +236,14 @@ def _query(table: Table) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _query(table) for name, table in tables().items()} | {
+    more = {
+        "hash_split_fine": lambda spark, folder: present(
+            _split_by_series(stages.from_orders(spark, folder, FINE)), _FINE
+        ),
+        "stay_label_breaks": lambda spark, folder: studies.stay_label_breaks(
+            orders.priority_stays(spark.read.parquet(f"{folder}/orders.parquet")), ("5-LOW",)
+        ),
+    }
+    return {name: _query(table) for name, table in tables().items()} | more | {
         name: _loaded_query(pick) for name, pick in LOADED.items()
     }

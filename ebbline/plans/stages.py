@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.operators import clean, factors, packed, score, split, trend
+from ebbline.operators import clean, factors, lines, packed, score, split, trend
 from ebbline.operators.factors import FACTORS
 from ebbline.operators.score import Model
 from ebbline.settings import ORDERS, PLACEMENT, SERIES, Settings
@@ -15,6 +15,12 @@ from ebbline.sources import orders
 from ebbline.sources.tables import Inputs, StageStore, fingerprint, store_for
 
 TRAIN, TEST = "Train", "Test"
+# Buckets can be left unread when they hang on one column only.
+SERIES_CODE = "series_code"
+
+
+def series_code(product: Column, stay: Column, measure: Column) -> Column:
+    return F.concat_ws("/", *[k.cast("string") for k in (product, stay, measure)])
 
 
 def cleaned(fact: DataFrame, settings: Settings) -> DataFrame:
@@ -122,10 +128,33 @@ class Decomposition:
             tables, self.store.stage(f"{self.label}/model/packed", lambda: packed.pack(tables), placed=True)
         )
 
+    def _model_rows(self, name: str) -> DataFrame:
+        """A factor table with the code of its series, bucketed by it."""
+
+        def build() -> DataFrame:
+            table = score.model_table(self.fitted, self.campaigns, name)
+            return table.withColumn(SERIES_CODE, series_code(*[F.col(k) for k in SERIES]))
+
+        return self.store.stage(f"{self.label}/model/{name}", build, buckets=[SERIES_CODE])
+
     def model_table(self, name: str) -> DataFrame:
-        return self.store.stage(
-            f"{self.label}/model/{name}", lambda: score.model_table(self.fitted, self.campaigns, name)
-        )
+        return self._model_rows(name).drop(SERIES_CODE)
+
+    def model_sample(self, name: str, product: int, stay: int, measure: int) -> DataFrame:
+        """The rows of one series, read from the one bucket that holds it."""
+        code = series_code(*[F.lit(k) for k in (product, stay, measure)])
+        rows = self._model_rows(name).filter(F.col(SERIES_CODE) == code)
+        return rows.drop(SERIES_CODE)
+
+    @property
+    def month_sums(self) -> DataFrame:
+        """Mergeable sums of straight lines through the training amounts, per series and month."""
+
+        def build() -> DataFrame:
+            training = self.divided.filter(~F.col("is_test"))
+            return lines.month_sums(training, SERIES, "amount")
+
+        return self.store.stage(f"{self.label}/month_sums", build, placed=True)
 
     @property
     def scored(self) -> DataFrame:
@@ -151,7 +180,14 @@ def data_label():
 def from_orders(
     spark: SparkSession, folder: str, product_split: int = 1, volume: str = orders.LINES
 ) -> Decomposition:
-    """The decomposition of the order tables in ``folder``."""
-    label = f"{folder.strip('/').replace('/', '_')}_{product_split}_{volume}"
-    inputs = orders.inputs(spark, folder, product_split, volume)
-    return Decomposition(inputs, ORDERS, store_for(spark), label, placed=True)
+    """The decomposition of the order tables in ``folder``.
+
+    The lines are read once per application: the sums per day are the first stored stage, and
+    span, calendar, campaigns and fact start from it.
+    """
+    store = store_for(spark)
+    raw = orders.sums_of(spark, folder, product_split)
+    place = f"{folder.strip('/').replace('/', '_')}_{product_split}"
+    sums = store.stage(f"{place}/sums_{fingerprint(raw)}", lambda: raw, placed=True)
+    inputs = orders.inputs(spark, folder, product_split, volume, sums)
+    return Decomposition(inputs, ORDERS, store, f"{place}_{volume}", placed=True)

@@ -34,14 +34,23 @@ def factor_check(parts: DataFrame, name: str) -> DataFrame:
     return rows.groupBy(*SERIES, *factor.levels).agg(*means)
 
 
-def lagged_weekday_check(parts: DataFrame, dim_stay: DataFrame) -> DataFrame:
-    """The weekday-after-campaign check by stay name, with the sign of the mean."""
-    checked = factor_check(parts, "EDMMajorLaggedDaysDOW").drop("edm_lagged_flag")
+def lagged_weekday_check(
+    parts: DataFrame, dim_stay: DataFrame, stays: tuple[int, ...] = ()
+) -> DataFrame:
+    """The weekday-after-campaign check by stay name, with the sign of the mean; of the given
+    stays only, where there are any."""
+    rows = parts.filter(F.col("stay_key").isin(*stays)) if stays else parts
+    checked = factor_check(rows, "EDMMajorLaggedDaysDOW").drop("edm_lagged_flag")
     return with_stay_name(checked, dim_stay).drop("stay_key").withColumn(
         "sign_before", F.signum("mean_before")
     )
 
 
+def running_parts(parts: DataFrame) -> DataFrame:
+    """What each factor leaves and the running prediction after it, per row."""
+    return parts.select("date", *SERIES, *[c for f in FACTORS for c in (f.residual, f.aggregate)])
+
+
 def volume_lines(parts: DataFrame, campaigns: DataFrame, name: str) -> DataFrame:
     """Straight lines through the campaign points of each panel."""
     points = volume_points(parts, campaigns, name)
@@ -128,8 +137,9 @@ def residual_heat(
 
 def stay_label_breaks(dim_stay: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """Every other stay name by rank, as used for axis labels."""
+    named = dim_stay.filter(~F.col("stay_name").isin(*without)) if without else dim_stay
     return (
-        dim_stay.filter((F.col("stay_rank") % 2 == 1) & ~F.col("stay_name").isin(*without))
+        named.filter(F.col("stay_rank") % 2 == 1)
         .select("stay_name")
         .distinct()
     )
@@ -261,10 +271,11 @@ def sales_histogram(scored: DataFrame, bins: int = 30) -> DataFrame:
 
 
 def _occurring(scored: DataFrame) -> DataFrame:
-    """The decomposition names of the long form; every row has each of them."""
-    return scored.select(F.lit(1)).limit(1).select(
-        F.explode(F.array(*[F.lit(n) for n in NAMES])).alias("decomposition_name")
-    )
+    """The decomposition names of the long form that have a value in any row: all values are
+    counted by part in one pass, and the one row of counts is turned."""
+    counts = scored.agg(*[F.count(n).alias(n) for n in NAMES])
+    found = counts.unpivot([], NAMES, "decomposition_name", "n_values")
+    return found.filter("n_values > 0").select("decomposition_name")
 
 
 def factor_listing(scored: DataFrame) -> DataFrame:

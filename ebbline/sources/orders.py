@@ -29,50 +29,55 @@ def _code(column: str, codes: dict[str, int]) -> Column:
     return chain
 
 
-def ship_days(lineitem: DataFrame) -> tuple[Column, Column]:
-    """First and last ship date as scalar subqueries."""
-    return (
-        lineitem.select(F.to_date(F.min("l_shipdate"))).scalar(),
-        lineitem.select(F.to_date(F.max("l_shipdate"))).scalar(),
-    )
-
-
-def daily_fact(lineitem: DataFrame, product_split: int = 1, volume: str = LINES) -> DataFrame:
-    """One row per day, product, stay and measure, with every day of the span.
+def day_sums(lineitem: DataFrame, product_split: int = 1) -> DataFrame:
+    """Lines, units and revenue per day, product and stay: the one pass over the raw lines.
 
-    The lines are summed per day before anything is placed by series, so a product
-    holding a large share of the lines costs one row per day and stay. Gaps are
-    filled inside a series by stretching each day up to the next one, without a
-    join to a list of days. ``product_split`` widens the product key by supplier; with
-    ``volume`` units, the amounts are units sold and the mean price of one.
+    Lines are summed before anything is placed by series, so a product holding a large share of
+    the lines costs one row per day and stay. ``product_split`` widens the product key by
+    supplier.
     """
-    counted = F.sum("quantity") if volume == UNITS else F.count(F.lit(1))
-    quantity = [F.col("l_quantity").alias("quantity")] if volume == UNITS else []
     product = _code("l_returnflag", PRODUCT_OF_FLAG)
     if product_split > 1:
         product = product + F.lit(len(PRODUCT_OF_FLAG)) * (
             F.col("l_suppkey") % product_split
         ).cast("int")
-    first_day, last_day = ship_days(lineitem)
-    per_day = (
+    units = F.col("l_quantity") if "l_quantity" in lineitem.columns else F.lit(1.0)
+    return (
         lineitem.select(
             F.to_date("l_shipdate").alias("date"),
             product.alias("product_key"),
             _code("l_linestatus", STAY_OF_STATUS).alias("stay_key"),
             F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
-            *quantity,
+            units.alias("units"),
         )
         .groupBy("date", *PLACEMENT)
         .agg(
-            counted.cast("double").alias("sold"),
+            F.count(F.lit(1)).cast("double").alias("lines"),
+            F.sum("units").cast("double").alias("units"),
             F.sum("price").cast("double").alias("revenue"),
         )
     )
+
+
+def ship_days(sums: DataFrame) -> tuple[Column, Column]:
+    """First and last day as scalar subqueries."""
+    return sums.select(F.min("date")).scalar(), sums.select(F.max("date")).scalar()
+
+
+def fact_of(sums: DataFrame, volume: str = LINES, placed: bool = False) -> DataFrame:
+    """One row per day, product, stay and measure, with every day of the span.
+
+    Gaps are filled inside a series by stretching each day up to the next one, without a
+    join to a list of days. ``placed`` says that the sums already lie by product and stay. With
+    ``volume`` units, the amounts are units sold and the mean price of one.
+    """
+    first_day, last_day = ship_days(sums)
     by_day = Window.partitionBy(*PLACEMENT).orderBy("date")
     start = F.when(F.lag("date").over(by_day).isNull(), first_day).otherwise(F.col("date"))
     stop = F.coalesce(F.date_sub(F.lead("date").over(by_day), 1), last_day)
+    here = sums.select("date", *PLACEMENT, F.col(volume).alias("sold"), "revenue")
     stretched = (
-        per_day.repartition(*PLACEMENT)
+        (here if placed else here.repartition(*PLACEMENT))
         .withColumns({"start": start, "stop": stop})
         .withColumn("day", F.explode(F.sequence("start", "stop")))
     )
@@ -92,20 +97,23 @@ def daily_fact(lineitem: DataFrame, product_split: int = 1, volume: str = LINES)
     ).select(*schema.FACT.fieldNames())
 
 
-def spine(lineitem: DataFrame) -> DataFrame:
-    days = lineitem.select(
-        F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b")
-    )
+def daily_fact(lineitem: DataFrame, product_split: int = 1, volume: str = LINES) -> DataFrame:
+    """The fact straight from the lines, without a stored stage between."""
+    return fact_of(day_sums(lineitem, product_split), volume)
+
+
+def spine(sums: DataFrame) -> DataFrame:
+    days = sums.select(F.min("date").alias("a"), F.max("date").alias("b"))
     return days.select(F.explode(F.sequence("a", "b")).alias("date"))
 
 
-def campaigns(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def campaigns(sums: DataFrame, orders: DataFrame) -> DataFrame:
     """Campaign days with their type and, where orders exist, their volume."""
     placed = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(
         F.count(F.lit(1)).alias("orders")
     )
     return (
-        spine(lineitem)
+        spine(sums)
         .filter(F.dayofyear("date") % 11 == 3)
         .join(placed, "date", "left")
         .select(
@@ -116,7 +124,7 @@ def campaigns(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def calendar(lineitem: DataFrame) -> DataFrame:
+def calendar(sums: DataFrame) -> DataFrame:
     """Factor levels of every day, one row per day of the span."""
     day = F.col("date")
     in_holiday = (F.dayofmonth(day) <= 14) & F.month(day).isin(1, 4, 7, 10)
@@ -136,7 +144,7 @@ def calendar(lineitem: DataFrame) -> DataFrame:
     last_sent = F.last(F.when(sent, day), ignorenulls=True).over(until_today)
     since = F.datediff(day, F.col("last_sent"))
     return (
-        spine(lineitem)
+        spine(sums)
         .select(
             "date",
             F.month(day).alias("month_no"),
@@ -158,14 +166,31 @@ def dim_stay(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM {STAYS}")
 
 
+def sums_of(spark: SparkSession, folder: str, product_split: int = 1) -> DataFrame:
+    return day_sums(spark.read.parquet(f"{folder}/lineitem.parquet"), product_split)
+
+
 def inputs(
-    spark: SparkSession, folder: str, product_split: int = 1, volume: str = LINES
+    spark: SparkSession,
+    folder: str,
+    product_split: int = 1,
+    volume: str = LINES,
+    sums: DataFrame | None = None,
 ) -> Inputs:
-    lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
+    """The inputs over the order tables; ``sums`` are the day sums where they are stored."""
+    placed = sums is not None
+    sums = sums if placed else sums_of(spark, folder, product_split)
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     return Inputs(
-        daily_fact=daily_fact(lineitem, product_split, volume),
-        calendar=calendar(lineitem),
-        campaigns=campaigns(lineitem, orders),
+        daily_fact=fact_of(sums, volume, placed),
+        calendar=calendar(sums),
+        campaigns=campaigns(sums, orders),
         dim_stay=dim_stay(spark),
     )
+
+
+def priority_stays(orders: DataFrame) -> DataFrame:
+    """A stay dimension of the order priorities that occur, ranked by name."""
+    names = orders.select(F.col("o_orderpriority").alias("stay_name")).filter("stay_name is not null").distinct()
+    rank = F.row_number().over(Window.orderBy("stay_name"))
+    return names.select(rank.alias("stay_key"), "stay_name", rank.alias("stay_rank"))

@@ -114,16 +114,23 @@ class StageStore:
         spark.sql(f"CREATE DATABASE {self.name} LOCATION '{self.folder}'")
 
     def stage(
-        self, name: str, build: Callable[[], DataFrame], placed: bool = False
+        self,
+        name: str,
+        build: Callable[[], DataFrame],
+        placed: bool = False,
+        buckets: list[str] | None = None,
     ) -> DataFrame:
+        """The stored stage of this name, built now if it is not there; ``placed`` buckets it by
+        product and stay, ``buckets`` by other columns."""
         with self._guard:
             lock = self._locks.setdefault(name, threading.Lock())
         with lock:
             if name not in self._tables:
                 table = f"{self.name}.t_{hashlib.sha256(name.encode()).hexdigest()[:24]}"
                 writer = build().write.mode("overwrite").format("parquet")
-                if placed:
-                    writer = writer.bucketBy(bucket_count(self.spark), *PLACEMENT)
+                by = PLACEMENT if placed else buckets
+                if by:
+                    writer = writer.bucketBy(bucket_count(self.spark), *by)
                 writer.saveAsTable(table)
                 self._tables[name] = table
         return self.spark.table(self._tables[name])

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ebbline.operators import factors, hierarchy, packed, score
 from ebbline.plans import accuracy as acc
-from ebbline.plans import registry, stages
+from ebbline.plans import registry, stages, studies
 from ebbline.settings import PLACEMENT
 from ebbline.sources import orders as order_tables
+from tests.conftest import SMALL
 
 
 def plan(df, mode: str = "simple") -> str:
@@ -27,11 +28,44 @@ def exchanges(text: str, kind: str = "hashpartitioning") -> list[str]:
     return re.findall(rf"Exchange {kind}\([^)]*\)", text)
 
 
-def test_trend_needs_one_placement_beyond_the_daily_sums(orders):
+def test_trend_needs_no_placement_beyond_that_of_the_daily_sums(orders):
     text = plan(stages.trended(orders.inputs.daily_fact, orders.settings, placed=True))
-    found = [re.sub(r"#\d+", "", e) for e in exchanges(text)]
-    assert len(found) == 2
-    assert sum("date" not in e for e in found) == 1
+    assert not exchanges(text)
+
+
+def test_lines_are_read_once(spark, orders):
+    """Whatever starts from the lines starts from the stored sums per day."""
+    inputs = orders.inputs
+    for frame in (inputs.daily_fact, inputs.calendar, inputs.campaigns, stages.cleaned(inputs.daily_fact, orders.settings)):
+        assert "lineitem" not in plan(frame)
+    raw = plan(order_tables.sums_of(spark, SMALL))
+    assert len(re.findall(r"FileScan parquet", raw)) == 1 and "l_extendedprice" in raw
+
+
+def test_grains_multiply_no_rows(orders):
+    text = plan(acc.accuracy_all_grains(orders.scored_in_place))
+    assert "Expand" not in text
+
+
+def test_a_series_of_a_model_is_one_bucket(spark, orders):
+    key = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    old = spark.conf.get(key)
+    try:
+        # the plan names the buckets only where it may not split them
+        spark.conf.set(key, "false")
+        text = plan(orders.model_sample("SeasonalMonth", 1, 1, 103), "formatted")
+    finally:
+        spark.conf.set(key, old)
+    assert re.search(r"SelectedBucketsCount: 1 out of \d\d?", text)
+    assert orders.model_sample("SeasonalMonth", 1, 1, 103).rdd.getNumPartitions() == 1
+    rows = orders.model_sample("SeasonalMonth", 1, 1, 103).collect()
+    whole = orders.model_table("SeasonalMonth").filter("product_key = 1 and stay_key = 1 and amount_type = 103")
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, whole.collect())) and len(rows) == 12
+
+
+def test_names_come_from_all_rows(orders):
+    text = plan(studies.hierarchy_table(orders.scored_in_place))
+    assert "Limit" not in text and "HashAggregate" in text
 
 
 def without_subqueries(text: str) -> str:
@@ -76,8 +110,8 @@ def test_no_python_and_no_nested_loops_in_any_table(spark, orders):
             assert bad not in text, (name, bad)
 
 
-def test_scan_reads_only_what_a_table_needs(orders):
-    text = plan(orders.inputs.daily_fact)
+def test_scan_reads_only_what_a_table_needs(spark, orders):
+    text = plan(order_tables.daily_fact(spark.read.parquet(f"{SMALL}/lineitem.parquet")))
     read = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert any("l_extendedprice" in r for r in read)
     assert not any("l_tax" in r or "l_orderkey" in r for r in read)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbline.functions.measures import clip_unit, strict_mean, week_of_year
-from ebbline.operators.hierarchy import MODEL_PARTS
+from ebbline.operators.hierarchy import MODEL_PARTS, NAMES
 from ebbline.plans import accuracy as acc
 from ebbline.plans import studies
 
@@ -110,3 +110,17 @@ def test_points_multiply_rows_of_days_with_two_campaigns(spark, orders):
     assert studies.volume_points(orders.parts, twice, "EDMMajorMonthRgr").count() == 2 * one > 0
 
 
+
+
+def test_a_part_without_any_value_does_not_occur(spark, orders):
+    held = orders.scored_in_place.withColumn("Predict_EDMMajorDOW", F.lit(None).cast("double"))
+    names = {r.decomposition_name for r in studies.hierarchy_table(held).collect()}
+    assert names == {*NAMES} - {"Predict_EDMMajorDOW"}
+    assert {r.decomposition_name for r in studies.factor_listing(held).collect()} == {*MODEL_PARTS} - {"Predict_EDMMajorDOW"}
+    assert studies.hierarchy_table(held.limit(0)).count() == 0
+
+
+def test_every_other_of_many_stay_names(spark):
+    dim = spark.createDataFrame([(i, f"s{i}", i) for i in range(1, 8)], "stay_key int, stay_name string, stay_rank int")
+    assert {r[0] for r in studies.stay_label_breaks(dim).collect()} == {"s1", "s3", "s5", "s7"}
+    assert {r[0] for r in studies.stay_label_breaks(dim, ("s3", "s4")).collect()} == {"s1", "s5", "s7"}
