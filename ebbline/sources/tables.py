@@ -127,10 +127,13 @@ class StageStore:
         with lock:
             if name not in self._tables:
                 table = f"{self.name}.t_{hashlib.sha256(name.encode()).hexdigest()[:24]}"
-                writer = build().write.mode("overwrite").format("parquet")
+                n = bucket_count(self.spark)
+                # work on placed rows is placed already; other buckets get one file each
+                frame = build().repartition(n, *buckets) if buckets else build()
+                writer = frame.write.mode("overwrite").format("parquet")
                 by = PLACEMENT if placed else buckets
                 if by:
-                    writer = writer.bucketBy(bucket_count(self.spark), *by)
+                    writer = writer.bucketBy(n, *by)
                 writer.saveAsTable(table)
                 self._tables[name] = table
         return self.spark.table(self._tables[name])
