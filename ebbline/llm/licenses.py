@@ -1,12 +1,19 @@
 """License scans: MinHash bands retrieve templates, exact shingle containment verifies them.
 
-Shingles are pairs of neighbouring words. Windows of WINDOW words start at every word, in texts
-and templates alike, so a stretch of WINDOW words that a text has in common with a template
-gives equal windows, and equal windows agree in every band: a template is retrieved for sure
-if it has one such stretch, and an edited window is retrieved with probability
-``1 - (1 - s^ROWS)^BANDS`` for a Jaccard similarity s. A template of m words, a share e of them
-edited at random, is missed with probability of about ``(1 - (1-e)^WINDOW)^(m/WINDOW)``: for 30
-words and a tenth edited, below 1 in 500,000. Everything is DataFrame functions.
+Shingles are pairs of neighbouring words. Windows of WINDOW words start at every STRIDE-th word
+of a text, and at every word of a template (every third of a template of over THIN words, which
+still meets one text window in twelve words). A window has BANDS keys of ROWS minimal hashes
+each, so a window of Jaccard similarity s meets its counterpart with probability
+``1 - (1 - s^ROWS)^BANDS``: 1 for an unchanged one, 0.52 with one word changed. A template of
+over SHORT words has 13 such windows at least, so even where every single one has a word
+changed it is missed with probability below 1 in 10,000.
+
+Templates of up to SHORT words have too few windows for that. They are retrieved without any
+chance: a text with ``part`` of 100 of a template's n shingles has one of any n - needed + 1 of
+them, so the longest of its shingles, that many, are keys as they are.
+
+Only texts with a retrieved template are taken apart, and only retrieved templates are verified.
+Everything is DataFrame functions; template keys, which are bounded, enter as constants.
 """
 
 from __future__ import annotations
@@ -18,13 +25,15 @@ from pyspark.sql import functions as F
 
 from ebbline.llm.common import let
 
-WINDOW, BANDS, ROWS = 3, 2, 2
+WINDOW, STRIDE, BANDS, ROWS = 8, 4, 2, 2
+# Templates of up to SHORT words have exact keys; of over THIN words, every third window is kept.
+SHORT, THIN, THINNED = 60, 300, 3
 # A template may be spread over a stretch of so many times its words.
 SPREAD = 2
-# The check SQL counts in cells of so many words either way; the scan does not.
-DRIFT = 8
 # The most words that all templates may have together: their tables are broadcast.
 MOST_WORDS = 100_000
+# What turns a shingle's hash into those that a band takes the least of.
+TURNS = [0x5BD1E9955BD1E995, 0x27D4EB2F165667C5, 0x165667B19E3779F9, 0x3C6EF372FE94F82B]
 
 # Texts of licenses and notices by name.
 TEMPLATES = {
@@ -110,51 +119,58 @@ def _pairs(w: Column) -> Column:
     )
 
 
-def _bands(pairs: Column) -> Column:
-    """Per window, in order, one key for each band of ROWS minimal hashes."""
+def _bands(pairs: Column, stride: int) -> Column:
+    """Per window, at every ``stride``-th word, one key for each band of ROWS minimal hashes."""
     width = WINDOW - 1
-    names = [f"h{j}" for j in range(BANDS * ROWS)]
 
     def keys(p: Column) -> Column:
-        def window(x: Column, i: Column) -> Column:
-            low = lambda n: F.least(x[n], *[F.get(p, i + d)[n] for d in range(1, width)])
-            return F.array(
-                *[F.xxhash64(F.lit(b), *[low(n) for n in names[b * ROWS : (b + 1) * ROWS]]) for b in range(BANDS)]
-            )
+        def window(i: Column) -> Column:
+            of = [F.get(p, i + d) for d in range(width)]
+            low = [F.least(*[x.bitwiseXOR(F.lit(turn)) for x in of]) for turn in TURNS[: BANDS * ROWS]]
+            return F.array(*[F.xxhash64(F.lit(b), *low[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
 
-        return F.flatten(F.transform(F.slice(p, 1, F.greatest(F.size(p) - width + 1, F.lit(0))), window))
+        last = F.size(p) - width
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)))
+        return F.flatten(F.transform(F.coalesce(starts, F.array().cast("array<int>")), window))
 
-    hashed = F.transform(pairs, lambda x: F.struct(*[F.xxhash64(x, F.lit(j)).alias(n) for j, n in enumerate(names)]))
-    return let(hashed, keys)
+    return let(pairs, keys)
 
 
-def _features(text: Column) -> Column:
-    """(n_pairs, keys): the pairs of a text, then the bands of its windows."""
-    return let(
-        let(_words(text), _pairs),
-        lambda p: F.struct(F.size(p).alias("n_pairs"), F.concat(p, _bands(p)).alias("keys")),
-    )
+class _Known:
+    """The templates' keys: pairs by template, and what retrieves a template."""
 
+    def __init__(self, spark: SparkSession, texts: dict[str, str], part: int) -> None:
+        if sum(len(t.split()) for t in texts.values()) > MOST_WORDS:
+            raise ValueError("the templates are too large to broadcast")
+        rows = spark.createDataFrame(list(texts.items()), "name string, text string")
+        words = _words(F.col("text"))
+        made = rows.select("name", words.alias("w"), let(words, _pairs).alias("p"), _bands(let(words, _pairs), 1).alias("b"))
+        pairs, keys = [], []
+        for r in made.collect():
+            place: dict[int, int] = {}
+            for i, p in enumerate(r.p):
+                place.setdefault(p, i)
+            pairs += [(r.name, len(place), len(r.p), p, i) for p, i in place.items()]
+            if len(r.w) <= SHORT:
+                needed = -(-part * len(place) // 100)
+                letters = {p: len(r.w[i]) + len(r.w[i + 1]) for p, i in place.items()}
+                longest = sorted(place, key=lambda p: (-letters[p], place[p]))
+                keys += [(r.name, p, True) for p in longest[: len(place) - max(needed, 1) + 1]]
+            else:
+                step = BANDS * (THINNED if len(r.w) > THIN else 1)
+                keys += [(r.name, k, False) for at in range(0, len(r.b), step) for k in set(r.b[at : at + BANDS])]
+        self.pairs = spark.createDataFrame(pairs, "name string, n_pairs int, length int, key bigint, place int")
+        self.keys = spark.createDataFrame(sorted(set(keys)), "name string, key bigint, short boolean")
+        self.short = sorted({k for _, k, short in keys if short})
+        self.banded = sorted({k for _, k, short in keys if not short})
 
-def _placed(df: DataFrame, own: str) -> DataFrame:
-    """One row per feature: own, key, band (whether of a window) and the word it starts at."""
-    rows = df.select(own, "f.n_pairs", F.posexplode("f.keys").alias("i", "key"))
-    band = F.col("i") >= F.col("n_pairs")
-    at = F.when(band, F.floor((F.col("i") - F.col("n_pairs")) / BANDS)).otherwise(F.col("i"))
-    return rows.select(own, "key", band.alias("band"), at.cast("int").alias("at"))
 
-
-def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """(name, n_pairs, length, key, band, place) of all templates; bounded by MOST_WORDS."""
-    if sum(len(t.split()) for t in texts.values()) > MOST_WORDS:
-        raise ValueError("the templates are too large to broadcast")
-    rows = spark.createDataFrame(list(texts.items()), "name string, text string")
-    made = rows.select("name", _features(F.col("text")).alias("f"))
-    sizes = made.select(F.col("name").alias("of"), F.col("f.n_pairs").alias("length"), F.size(F.array_distinct(F.slice("f.keys", 1, F.col("f.n_pairs")))).alias("n_pairs"))
-    return (
-        _placed(made, "name").join(F.broadcast(sizes), F.col("name") == F.col("of"))
-        .groupBy("name", "n_pairs", "length", "key", "band").agg(F.min("at").alias("place"))
-    )
+def _within(column: str, keys: list[int]) -> Column:
+    """The elements of an array that are among the keys, each once."""
+    if not keys:
+        return F.array().cast("array<bigint>")
+    listed = ", ".join(f"{k}L" for k in keys)
+    return F.expr(f"array_distinct(filter({column}, k -> k IN ({listed})))")
 
 
 def scan(
@@ -164,28 +180,47 @@ def scan(
     texts: dict[str, str] | None = None,
     part: int = 80,
 ) -> DataFrame:
-    """One row per document and template found: doc_id, template, n_found and n_shingles
-    (distinct shingles of the template, in the document and in all), first_word and past_word.
-
-    A template is found if one stretch of the document, up to SPREAD times as long as the
-    template, holds at least ``part`` of 100 of its distinct shingles, and the document one whole
-    window. Of several stretches the fullest, then the shortest and then the first counts.
-    Templates within a fuller match of another one are found as well. Null, empty and short texts
-    have none; rows that repeat an id count as one document; null ids are an id like any other;
-    other columns are not carried.
+    """One row per text and template found: doc_id, template, n_found and n_shingles
+    (distinct shingles of the template, in the text and in all), first_word and past_word.
+
+    A template is found if one stretch of the text, up to SPREAD times as long as the
+    template, holds at least ``part`` of 100 of its distinct shingles. Of several stretches the
+    fullest, then the shortest and then the first counts. Templates within a fuller match of
+    another one are found as well. Null, empty and short texts have none. Every row is a text of
+    its own, whether its id is null or repeated; other columns are not carried.
     """
-    known = templates(docs.sparkSession, TEMPLATES | whole_texts() if texts is None else texts)
-    made = docs.select(F.col(id_col).alias("doc_id"), _features(F.col(text_col)).alias("f"))
-    group = ["doc_id", "name", "n_pairs", "length"]
+    known = _Known(docs.sparkSession, TEMPLATES | whole_texts() if texts is None else texts, part)
+    made = (
+        docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("t"))
+        .select("doc_id", "row", let(_words(F.col("t")), _pairs).alias("p"))
+        .select("doc_id", "row", "p", _bands(F.col("p"), STRIDE).alias("b"))
+        .select("doc_id", "row", "p", _within("p", known.short).alias("s"), _within("b", known.banded).alias("b"))
+        .filter((F.size("s") > 0) | (F.size("b") > 0))
+    )
+    # what retrieves a template, then the places of all shingles
+    kinds = F.concat(
+        F.transform("s", lambda k: F.struct(k.alias("key"), F.lit(True).alias("short"), F.lit(None).cast("int").alias("at"))),
+        F.transform("b", lambda k: F.struct(k.alias("key"), F.lit(False).alias("short"), F.lit(None).cast("int").alias("at"))),
+        F.transform("p", lambda k, i: F.struct(k.alias("key"), F.lit(None).cast("boolean").alias("short"), i.alias("at"))),
+    )
+    looked = known.pairs.select("name", "key", F.lit(None).cast("boolean").alias("short"), "place").unionByName(
+        known.keys.select("name", "key", "short", F.lit(None).cast("int").alias("place"))
+    )
+    sizes = known.pairs.select("name", "n_pairs", "length").distinct()
     enough = lambda n: 100 * n >= part * F.col("n_pairs")
-    pair = F.when(~F.col("band"), F.struct("place", "at"))
-    found = (
-        _placed(made, "doc_id")
-        .join(F.broadcast(known), ["key", "band"])
-        .groupBy(*group)
-        .agg(F.bool_or("band").alias("retrieved"), F.collect_set(pair).alias("hits"))
-        .filter(F.col("retrieved") & enough(F.size(F.array_distinct("hits.place"))))
+    own = made.select("doc_id", "row", F.inline(kinds))
+    met = (F.col("own.key") == F.col("of.key")) & F.col("own.short").eqNullSafe(F.col("of.short"))
+    hit = F.when(F.col("place").isNotNull(), F.struct("place", "at"))
+    group = ["row", "doc_id", "name"]
+    retrieved = (
+        own.alias("own")
+        .join(F.broadcast(looked).alias("of"), met)
+        .groupBy("row", "doc_id", "name")
+        .agg(F.bool_or(F.col("own.short").isNotNull()).alias("retrieved"), F.collect_set(hit).alias("hits"))
+        .filter("retrieved")
     )
+    found = retrieved.join(F.broadcast(sizes), "name").filter(enough(F.size(F.array_distinct("hits.place"))))
+    group += ["n_pairs", "length"]
     same = Window.partitionBy(*group, "place").orderBy("at")
     # A pair is the first of its shingle for all stretches that start after the one before and
     # reach it; sums over these intervals count the distinct shingles of each stretch.

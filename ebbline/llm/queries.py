@@ -289,31 +289,34 @@ QUALIFY row_number() OVER s <= 3
 
 
 def _licenses_sql() -> str:
-    """Containment with one whole window of three words in place, which is what bands retrieve."""
-    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES.items())
-    step, drift = 2 * licenses.DRIFT, licenses.DRIFT
+    """The fullest stretch of every text for every template and whole license, without retrieval."""
+    every = licenses.TEMPLATES | licenses.whole_texts()
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in every.items())
     return rf"""
 WITH known(name, text) AS (VALUES {rows}),
-corpus AS (
-  SELECT doc_id, NULL AS name, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents
-  UNION ALL SELECT NULL, name, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') FROM known),
-pairs AS (
-  SELECT doc_id, name, pos, w[pos + 1] || ' ' || w[pos + 2] AS p
-  FROM (SELECT *, unnest(range(0, len(w) - 1)) AS pos FROM corpus)),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+templates AS (SELECT name, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM known),
 own AS (
-  SELECT name, p, min(pos) AS place, count(*) OVER (PARTITION BY name) AS n FROM pairs WHERE name IS NOT NULL GROUP BY name, p),
-hits AS (
-  SELECT d.doc_id, o.name, o.n, o.place, d.pos, d.pos - o.place AS lag
-  FROM pairs d JOIN own o USING (p) WHERE d.doc_id IS NOT NULL),
-cells AS (
-  SELECT *, unnest([floor(lag / {step}.0) * 2, floor((lag + {drift}) / {step}.0) * 2 + 1]) AS cell,
-    EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = x.doc_id AND h.name = x.name AND h.lag = x.lag AND h.pos = x.pos + 1) AS whole
-  FROM hits x),
-found AS (
-  SELECT doc_id, name, n, count(DISTINCT place) AS n_found, min(pos) AS first_word, max(pos) + 2 AS past_word
-  FROM cells GROUP BY doc_id, name, n, cell HAVING bool_or(whole) AND 100 * count(DISTINCT place) >= 80 * n)
-SELECT doc_id, name AS template, n_found, n AS n_shingles, first_word, past_word FROM found
-QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY n_found DESC, first_word, past_word) = 1
+  SELECT name, p, min(pos) AS place
+  FROM (SELECT name, pos, w[pos + 1] || ' ' || w[pos + 2] AS p FROM (SELECT *, unnest(range(0, len(w) - 1)) AS pos FROM templates))
+  GROUP BY name, p),
+sizes AS (SELECT name, count(*) AS n, any_value(len(w)) - 1 AS length FROM own JOIN templates USING (name) GROUP BY name),
+hits AS MATERIALIZED (
+  SELECT r, doc_id, name, place, pos
+  FROM (SELECT r, doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] AS p FROM (SELECT *, unnest(range(0, len(w) - 1)) AS pos FROM texts))
+  JOIN own USING (p)),
+likely AS (SELECT r, name FROM hits JOIN sizes USING (name) GROUP BY r, name, n HAVING 100 * count(DISTINCT place) >= 80 * n),
+near AS MATERIALIZED (SELECT h.*, n, length FROM hits h JOIN likely USING (r, name) JOIN sizes USING (name)),
+firsts AS (
+  SELECT a.r, a.doc_id, a.name, a.n, a.pos AS start, b.place, min(b.pos) AS pos
+  FROM near a JOIN near b ON a.r = b.r AND a.name = b.name AND b.pos BETWEEN a.pos AND a.pos + {licenses.SPREAD} * a.length
+  GROUP BY ALL),
+stretches AS (
+  SELECT r, doc_id, name, n, start, count(*) AS n_found, max(pos) + 2 AS past FROM firsts GROUP BY r, doc_id, name, n, start)
+SELECT doc_id, name AS template, n_found, n AS n_shingles, start AS first_word, past AS past_word
+FROM stretches WHERE 100 * n_found >= 80 * n
+QUALIFY row_number() OVER (PARTITION BY r, name ORDER BY n_found DESC, past - start, start) = 1
 """
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from ebbline.llm import licenses
 
 
@@ -18,25 +20,17 @@ def pairs(text):
 
 
 def brute(texts, part=80):
-    """The best containment near one diagonal, as (doc, template) -> n_found."""
+    """(n_found, first_word, past_word) by (doc, template), over all templates and whole texts."""
     out = {}
+    every = licenses.TEMPLATES | licenses.whole_texts()
+    own = {name: set(pairs(t)) for name, t in every.items()}
     for doc, text in texts.items():
-        have = {}
-        for i, p in enumerate(pairs(text)):
-            have.setdefault(p, []).append(i)
-        for name, template in licenses.TEMPLATES.items():
-            first = {}
-            for j, p in enumerate(pairs(template)):
-                first.setdefault(p, j)
-            cells = {}
-            for p, j in first.items():
-                for i in have.get(p, ()):
-                    lag, step = i - j, 2 * licenses.DRIFT
-                    for cell in (lag // step * 2, (lag + licenses.DRIFT) // step * 2 + 1):
-                        cells.setdefault(cell, set()).add(j)
-            best = max(map(len, cells.values()), default=0)
-            if best and 100 * best >= part * len(first):
-                out[(doc, name)] = best
+        have = set(pairs(text))
+        for name, template in every.items():
+            if 100 * len(have & own[name]) >= part * len(own[name]):
+                best = fullest(text, template)
+                if 100 * best[0] >= part * len(own[name]):
+                    out[(doc, name)] = best
     return out
 
 
@@ -61,7 +55,7 @@ def test_verbatim_and_edited_templates(spark):
     rows += [(some(200), None, 0), ("", None, 0), (None, None, 0), ("rights", None, 0)]
     texts = {i: r[0] for i, r in enumerate(rows)}
     got = found(spark, list(texts.items()))
-    assert {k: r.n_found for k, r in got.items()} == brute(texts)
+    assert {k: (r.n_found, r.first_word, r.past_word) for k, r in got.items()} == brute(texts)
     assert all((i, name) in got for i, (_, name, share) in enumerate(rows) if name and not share)
 
 
@@ -69,18 +63,71 @@ def test_places_and_defined_results(spark):
     text = "a b Released under the MIT License. c\nAll rights reserved."
     df = spark.createDataFrame([(1, text, "k"), (1, text, "k"), (None, text, "k")], "doc_id long, text string, key string")
     rows = sorted((r.doc_id or 0, r.template, r.first_word, r.past_word, r.n_found, r.n_shingles) for r in licenses.scan(df).collect())
-    both = [("all-rights-reserved", 8, 11, 2, 2), ("mit", 2, 7, 4, 4)]
-    assert rows == [(0, *b) for b in both] + [(1, *b) for b in both]
+    three = [("all-rights-reserved", 8, 11, 2, 2), ("mit", 2, 7, 4, 4), ("mit-under", 3, 7, 3, 3)]
+    assert rows == sorted([(0, *t) for t in three] + 2 * [(1, *t) for t in three])
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, texts={}).count() == 0
 
 
+def test_rows_of_one_id_are_not_pooled(spark):
+    """Halves of a notice in two rows give nothing, whether the id is missing or repeated."""
+    w = licenses.TEMPLATES["mit-grant"].split()
+    first, second = " ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])
+    df = spark.createDataFrame([(None, first), (None, second), (7, first), (7, second)], "doc_id long, text string")
+    assert licenses.scan(df).count() == 0
+    whole = spark.createDataFrame([(7, " ".join(w)), (7, "nothing")], "doc_id long, text string")
+    assert [(r.doc_id, r.template) for r in licenses.scan(whole).collect()] == [(7, "mit-grant")]
+
+
+def test_what_no_key_retrieved_is_not_verified(spark, monkeypatch):
+    texts = [(1, licenses.TEMPLATES["mit"]), (2, licenses.whole_texts()["isc-text"])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.template for r in licenses.scan(df).collect()} >= {"mit", "isc-text"}
+    monkeypatch.setattr(licenses, "_within", lambda column, keys: F.array().cast("array<bigint>"))
+    assert licenses.scan(df).count() == 0
+
+
+def test_short_templates_always_have_a_key(spark):
+    """Whatever a fifth of a short template's shingles are changed to, a key is left."""
+    known = licenses._Known(spark, licenses.TEMPLATES, 80)
+    sizes = {r.name: r.n_pairs for r in known.pairs.select("name", "n_pairs").distinct().collect()}
+    keys = {}
+    for r in known.keys.collect():
+        keys.setdefault(r.name, []).append(r.short)
+    for name, n in sizes.items():
+        if len(plain(licenses.TEMPLATES[name])) <= licenses.SHORT:
+            assert all(keys[name]) and len(keys[name]) > n - -(-80 * n // 100)
+        else:
+            assert not any(keys[name])
+
+
+def test_bands_meet_as_often_as_they_should(spark):
+    """Windows of half their shingles in common against 1 - (1 - s^ROWS)^BANDS."""
+    rng = random.Random(2)
+    n, met = 600, 0
+    words = lambda k: " ".join(f"w{rng.randrange(10**9)}" for _ in range(k))
+    rows, shares = [], []
+    for i in range(n):
+        base = words(licenses.WINDOW).split()
+        other = base[:]
+        other[3] = "changed"
+        rows.append((i, " ".join(base), " ".join(other)))
+        a, b = set(zip(base, base[1:])), set(zip(other, other[1:]))
+        shares.append(len(a & b) / len(a | b))
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    bands = lambda c: licenses._bands(licenses.let(licenses._words(F.col(c)), licenses._pairs), licenses.STRIDE)
+    met = df.select(F.arrays_overlap(bands("a"), bands("b")).alias("m")).filter("m").count()
+    s = shares[0]
+    want = 1 - (1 - s**licenses.ROWS) ** licenses.BANDS
+    assert set(shares) == {s} and abs(met / n - want) < 0.07
+
+
 def test_query_equals_plain_containment(spark):
     from ebbline.llm.queries import queries
     from tests.conftest import SMALL
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = queries()["op9_license_scan"](spark, SMALL).collect()
-    assert {(r.doc_id, r.template): r.n_found for r in rows} == brute(texts) and rows
+    assert {(r.doc_id, r.template): (r.n_found, r.first_word, r.past_word) for r in rows} == brute(texts) and rows
 
 
 def test_no_python_in_the_plan(spark):
