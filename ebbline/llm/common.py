@@ -29,18 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/corpus"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back: short lineage, and lost
-    executors lose nothing. Each call takes a folder of its own. Shuffle files of the stage go
-    once it is written."""
+def write(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Write a table; shuffle files of the job go once it is written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEAN_UP, before)
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write a stage to the shared folder and read it back: short lineage, and lost
+    executors lose nothing. Each call takes a folder of its own."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write(df, path, compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import shared_folder
+from ebbline.llm.common import shared_folder, stored, write
 from ebbline.llm.shingles import mixed
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -28,6 +28,10 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 _ROUNDS = 6
+# Shards of a task that writes them, in bytes of their records.
+TASK_BYTES = 32 << 20
+# Up to so many tasks that read documents, what their numbers start at (16 bytes each) is broadcast.
+MOST_TASKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -88,26 +92,35 @@ def encoding(ranks: dict[bytes, int]):
     return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sizes(texts: list[str | None], encode, length: int) -> Iterator[tuple[list[int], int]]:
-    """The ids of each text with END, and how many sequences they fill."""
-    for text in texts:
-        ids = encode(text or "")
-        ids.append(END)
-        yield ids, -(-len(ids) // length)
-
-
-def _counts(docs: DataFrame, shared, form: Layout) -> dict[int, int]:
-    """Sequences per partition of the documents: one number per task comes to the driver."""
+def sequences(docs: DataFrame, shared, form: Layout) -> DataFrame:
+    """part, place, doc_id, seq, n_tokens and ids (little-endian, not padded) of all sequences,
+    numbered within the task that read their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = encoding(shared.value).encode_ordinary, 0
+        encode = encoding(shared.value).encode_ordinary
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                total += sum(n for _, n in _sizes([batch.column(0)[row].as_py()], encode, form.length))
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"part": [part], "n": [total]})
+            for low in range(0, batch.num_rows, 64):
+                piece = batch.slice(low, 64)
+                docs_of, seqs, sizes, data = [], [], [], []
+                for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    ids = encode(text or "")
+                    ids.append(END)
+                    n = -(-len(ids) // form.length)
+                    raw = np.array(ids, np.uint16).tobytes()
+                    docs_of += [doc] * n
+                    seqs += range(n)
+                    sizes += [form.length] * (n - 1) + [len(ids) - (n - 1) * form.length]
+                    data += [raw[i * form.stride : (i + 1) * form.stride] for i in range(n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(seqs), pa.int64()), pa.array(np.arange(at, at + len(seqs))),
+                     pa.array(docs_of, pa.int64()), pa.array(seqs, pa.int32()), pa.array(sizes, pa.int32()),
+                     pa.array(data, pa.binary())],
+                    ["part", "place", "doc_id", "seq", "n_tokens", "data"],
+                )
+                at += len(seqs)
 
-    return {r.part: r.n for r in docs.select("text").mapInArrow(run, "part bigint, n bigint").collect()}
+    return docs.mapInArrow(run, "part bigint, place bigint, doc_id bigint, seq int, n_tokens int, data binary")
 
 
 def write_shards(
@@ -123,46 +136,28 @@ def write_shards(
     One row per shard: shard, first_slot, n_sequences, stride, ``data`` (little-endian ids of two
     bytes at fixed strides) and by sequence doc_ids, seqs and n_tokens. Null and empty texts are
     the end id alone. Rows may repeat and ids be null; other columns are not carried; an empty
-    table gives no shard. Numbers follow the order in which the table is read, so ``docs``
-    should be a stored table; a partition that changes between count and write ends the job.
+    table gives no shard. Texts are read and tokenised once; numbers follow the order of reading.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(ranks)
-    counts = _counts(plain.select("doc_id", "text"), shared, form)
-    parts = sorted(counts)
-    bases = dict(zip(parts, np.concatenate([[0], np.cumsum([counts[p] for p in parts])]).tolist()))
-    total = sum(counts.values())
+    cut = stored(sequences(plain, spark.sparkContext.broadcast(ranks), form), "sequences", "zstd")
+    # one row per task that read the documents
+    held = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    tasks, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = -(-total // form.size)
-    width = form.length
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(shared.value).encode_ordinary
         order = Permutation(total, form.key)
-        part = TaskContext.get().partitionId()
-        at = bases[part]
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                piece = batch.slice(low, 64)
-                docs_of, seqs, sizes, data = [], [], [], []
-                for doc, (ids, n) in zip(
-                    piece.column(0).to_pylist(), _sizes(piece.column(1).to_pylist(), encode, width)
-                ):
-                    padded = np.full(n * width, END, np.uint16)
-                    padded[: len(ids)] = ids
-                    docs_of += [doc] * n
-                    seqs += range(n)
-                    sizes += [width] * (n - 1) + [len(ids) - (n - 1) * width]
-                    data += [padded[i * width : (i + 1) * width].tobytes() for i in range(n)]
-                slots = order.slots(np.arange(at, at + len(seqs)))
-                at += len(seqs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), pa.array(slots // form.size), pa.array(docs_of, pa.int64()),
-                     pa.array(seqs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())],
-                    ["slot", "shard", "doc_id", "seq", "n_tokens", "data"],
-                )
-        if at != bases[part] + counts[part]:
-            raise RuntimeError("the documents changed between counting and writing")
+            slots = order.slots(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots), pa.array(slots // form.size), *batch.columns[1:]],
+                ["slot", "shard", "doc_id", "seq", "n_tokens", "data"],
+            )
+
+    pad = np.full(form.length, END, np.uint16).tobytes()
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -173,9 +168,10 @@ def write_shards(
             if (np.diff(slots) != 1).any() or slots[0] % form.size:
                 raise RuntimeError("a shard has a gap")
             lists = [whole.column(i).to_pylist() for i in (2, 3, 4)]
+            records = b"".join(d + pad[len(d) :] for d in whole.column(5).to_pylist())
             return pa.RecordBatch.from_arrays(
                 [whole.column(1).slice(0, 1), whole.column(0).slice(0, 1), pa.array([len(slots)], pa.int32()),
-                 pa.array([form.stride], pa.int32()), pa.array([b"".join(whole.column(5).to_pylist())], pa.binary()),
+                 pa.array([form.stride], pa.int32()), pa.array([records], pa.binary()),
                  pa.array([lists[0]], pa.list_(pa.int64())), pa.array([lists[1]], pa.list_(pa.int32())),
                  pa.array([lists[2]], pa.list_(pa.int32()))],
                 ["shard", "first_slot", "n_sequences", "stride", "data", "doc_ids", "seqs", "n_tokens"],
@@ -194,20 +190,21 @@ def write_shards(
             yield row(held)
 
     target = path or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    width_out = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    per_task = -(-max(1, shards) // width_out)
-    (
-        plain.mapInArrow(number, "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, data binary")
-        .repartitionById(width_out, F.floor(F.col("shard") / per_task).cast("int"))
+    per_task = max(1, TASK_BYTES // (form.size * form.stride))
+    numbered = cut.join(F.broadcast(bases) if tasks <= MOST_TASKS else bases, "part").select(
+        (F.col("base") + F.col("place")).alias("number"), "doc_id", "seq", "n_tokens", "data"
+    )
+    shown = (
+        numbered.mapInArrow(number, "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, data binary")
+        .repartitionById(max(1, -(-shards // per_task)), F.floor(F.col("shard") / per_task).cast("int"))
         .sortWithinPartitions("slot")
         .mapInArrow(
             bound,
             "shard bigint, first_slot bigint, n_sequences int, stride int, data binary, "
             "doc_ids array<bigint>, seqs array<int>, n_tokens array<int>",
         )
-        .write.mode("overwrite")
-        .parquet(target)
     )
+    write(shown, target, "zstd")
     return target
 
 

@@ -71,6 +71,31 @@ def test_defined_results(spark, ranks):
     assert ts.read_slots(spark, empty).count() == 0
 
 
+def test_query_equals_numbering_by_hand(spark, ranks):
+    """Every column of the query from the texts alone: cut, numbered as read, permuted, hashed."""
+    import hashlib
+
+    from ebbline.llm.queries import queries
+    from tests.conftest import SMALL
+
+    form, encoder = Layout(), ts.encoding(ranks)
+    records = []
+    # one file is read by tasks in the order of its rows
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect():
+        ids = [*encoder.encode_ordinary(r.text or ""), ts.END]
+        for seq, low in enumerate(range(0, len(ids), form.length)):
+            part = ids[low : low + form.length]
+            padded = part + [ts.END] * (form.length - len(part))
+            records.append((r.doc_id, seq, len(part), hashlib.sha256(np.array(padded, "<u2").tobytes()).hexdigest()))
+    slots = Permutation(len(records), form.key).slots(np.arange(len(records))).tolist()
+    want = sorted(
+        (slot, slot // form.size, slot % form.size * form.stride, *record) for slot, record in zip(slots, records)
+    )
+    columns = ["slot", "shard", "place", "doc_id", "seq", "n_tokens", "record_sha256"]
+    got = queries()["op7_token_shards"](spark, SMALL).select(*columns).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_query_holds_every_document(spark):
     from ebbline.llm.queries import queries
     from tests.conftest import SMALL
