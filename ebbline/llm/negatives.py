@@ -89,14 +89,12 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _curve_axes(rows: DataFrame) -> list[tuple[int, float, float]]:
+def _curve_axes(rows: DataFrame, n: int) -> list[tuple[int, float, float]]:
     """(dimension, low, high) of the most varied dimensions; one row per dimension is gathered."""
     sums = rows.select("parts").mapInArrow(_sums, "d int, s double, ss double, low double, high double")
     of = sums.groupBy("d").agg(F.sum("s"), F.sum("ss"), F.min("low"), F.max("high")).toDF("d", "s", "ss", "low", "high")
-    counted = rows.agg(F.count(F.lit(1)).alias("n"))
-    spread = F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n"))
-    axes = of.join(F.broadcast(counted)).select("d", "low", "high", spread.alias("spread"))
-    top = axes.orderBy(F.desc("spread"), "d").limit(CURVE_DIMS).collect()
+    spread = F.col("ss") - F.col("s") * F.col("s") / F.lit(float(max(n, 1)))
+    top = of.select("d", "low", "high", spread.alias("spread")).orderBy(F.desc("spread"), "d").limit(CURVE_DIMS).collect()
     return [(a["d"], a["low"], a["high"]) for a in top]
 
 
@@ -145,13 +143,13 @@ _ARROW_BLOCK = pa.schema(
 )
 
 
-def curve_blocks(rows: DataFrame, dims: int) -> DataFrame:
+def curve_blocks(rows: DataFrame, dims: int, n: int) -> DataFrame:
     """Blocks of neighbours on the curve, with their zone maps, as a table on disk.
 
     Equal vectors are told apart by id, so a vector that fills a third of the rows still spreads
     over many ranges.
     """
-    keyed = rows.mapInArrow(_with_key(_curve_axes(rows)), f"{ROWS}, key bigint")
+    keyed = rows.mapInArrow(_with_key(_curve_axes(rows, n)), f"{ROWS}, key bigint")
     placed = keyed.repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id").drop("key")
     size = max(16, BLOCK_VALUES // max(dims, 1))
     packed = placed.mapInArrow(_pack(size), BLOCK)
@@ -400,8 +398,10 @@ def mine(
         label = F.when(F.col(id_col) % relabel_every == 0, (label + 1) % classes).otherwise(label)
     known = embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), label.alias("own_label"))
     rows = usable(known, "id", "vector", label="own_label").filter(F.col("label").isNotNull()).select("vec_id", "label", "parts")
-    dims = rows.agg(F.max(F.size("parts"))).first()[0] or 0
-    blocks = curve_blocks(rows, dims)
+    # the components are turned into integers once
+    rows = stored(rows, "negatives-rows", "zstd")
+    dims, n = rows.agg(F.coalesce(F.max(F.size("parts")), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = curve_blocks(rows, dims, n)
     anchors = stored(blocks.select("block", "ids", "labels", "values").mapInArrow(_anchors_of(every), ANCHOR), "negatives-anchors")
     groups = max(1, math.ceil(anchors.count() * max(dims, 1) / GROUP_VALUES))
     anchors = anchors.withColumn("g", _bucket("a_block", groups))
