@@ -290,12 +290,14 @@ def repeated(
     """
     texts = _texts(docs, id_col, text_col)
     depth = form.depth
-    shared = stored(_shared_digits(texts, form), "digits")
+    shared = stored(_shared_digits(texts, form), "digits", "zstd")
     classes = texts.groupBy("t1", "t2").agg(F.min("doc").alias("first"))
     firsts = texts.join(
         classes.join(shared, "t1").withColumnsRenamed({"t1": "k1", "t2": "k2"}),
         F.expr("t1 = k1 and t2 = k2 and doc = first"),
     )
+    # written, so that the moved texts are gone before their runs move
+    firsts = stored(firsts, "firsts", "zstd")
     runs_of = _contexts(firsts.filter(F.size("plain") > 0), form, hot=False)
     spans = stored(
         runs_of.repartition("digit")
