@@ -339,7 +339,7 @@ def _more_tables() -> dict[str, str]:
     names = [n for n, _, _ in RATIO_LEVELS] + [n for n, _ in VOLUME_LEVELS]
     for i, name in enumerate(names, start=1):
         total += f" + Predict_{name}"
-        running += [_r(f"r{i}", 4, f"Residual_{name}"), _r(total, 4, f"Agg_Predict_{name}")]
+        running += [_r(f"r{i}", 2, f"Residual_{name}"), _r(total, 2, f"Agg_Predict_{name}")]
     named = _factor_tables()["check_lag_days_dow_named"]
     six = ["MAE", "MBE", "RMSE", "MAEPerc", "MBEPerc", "RMSEPerc"]
     one = _acc(K, "product_key, stay_name", "a.data = 'Train' AND product_key = 2 AND (stay_name IS NULL OR stay_name NOT IN ('short'))")

@@ -145,7 +145,6 @@ def tables() -> dict[str, Table]:
         "trend_lines": lambda d: studies.trend_lines(d.main),
         "lines_window": _window_lines,
         "lines_monthly": lambda d: lines.monthly_mean_lines(d.month_sums, SERIES, *MONTHLY),
-        "running_parts": lambda d: studies.running_parts(d.parts),
         "model_sample": lambda d: d.model_sample("SeasonalMonth", 1, 1, 103),
         "acc_one_product": lambda d: acc.accuracy_of_product(d.scored_in_place, d.dim_stay, 2, ("short",)),
         "score_wide": lambda d: d.scored,
@@ -237,6 +236,10 @@ def _query(table: Table) -> Query:
 
 def queries() -> dict[str, Query]:
     more = {
+        # running sums of large prices: shown to cents, as wide as their rounding errors allow
+        "running_parts": lambda spark, folder: present(
+            studies.running_parts(stages.from_orders(spark, folder).parts), {}, 2
+        ),
         "hash_split_fine": lambda spark, folder: present(
             _split_by_series(stages.from_orders(spark, folder, FINE)), _FINE
         ),
