@@ -60,9 +60,15 @@ def order_statistics(
     """
     whole = isinstance(df.schema[value].dataType, T.IntegralType)
     code = F.col(value).cast("bigint") if whole else sortable(F.col(value))
-    rows = df.select(F.col(group).alias("g"), code.alias("code"))
-    back = (lambda c: c) if whole else unsortable
-    shift = bits - DIGIT
+    # the codes are worked out once; lost ones are worked out again
+    rows = df.select(F.col(group).alias("g"), code.alias("code")).persist()
+    try:
+        return _select(rows, wanted, bits - DIGIT, (lambda c: c) if whole else unsortable)
+    finally:
+        rows.unpersist()
+
+
+def _select(rows: DataFrame, wanted: Ranks | list[Wanted], shift: int, back: Callable) -> dict[Wanted, float | int]:
     counts: dict[tuple, list] = {}
     for r in _counted(rows.withColumn("prefix", F.lit(0)), shift).collect():
         counts.setdefault((r.g, 0), []).append((r.digit, r.n, r.low, r.high))
