@@ -113,27 +113,35 @@ def _profiles(docs: DataFrame, like: Likeness) -> DataFrame:
     )
 
 
-def _opened(sets: DataFrame, like: Likeness) -> DataFrame:
-    """(id, own, group): the group of each set and, with ``own`` false, every group of a larger
-    key that it has to visit. Sets that no other one can link with do not appear."""
-    tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
-    several = (
-        tokens.groupBy("token")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("sets"))
-        .filter("low < high")
-        .select("token", "sets")
+def _placed(sets: DataFrame, like: Likeness) -> DataFrame:
+    """(id, n, token, group): the tokens that sets share, each with the group of its set. Sets
+    that no other one can link with do not appear.
+
+    Tokens move once by themselves and once by their set. Those that the sample knows as
+    frequent are at most ``frequent`` and may be hot, so they are counted by partial sums; the
+    others are rare enough for a window.
+    """
+    rare = F.filter("prefix", lambda t: t < int(_FREQUENT))
+    late = F.filter("prefix", lambda t: t >= int(_FREQUENT))
+    few = sets.select("id", "n", F.explode(rare).alias("token")).withColumn(
+        "sets", F.count(F.lit(1)).over(Window.partitionBy("token"))
     )
-    kept = stored(tokens.join(several, "token"), "tokens")
-    groups = (
-        kept.groupBy("id")
-        .agg(
-            F.max(F.struct("sets", "token"))["token"].alias("group"),
-            (F.count(F.lit(1)) >= F.min(like.needed(F.col("n")))).alias("enough"),
-        )
+    many = sets.select("id", "n", F.explode(late).alias("token"))
+    counts = many.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    kept = few.unionByName(many.join(F.broadcast(counts), "token")).filter("sets > 1")
+    own = Window.partitionBy("id")
+    return (
+        kept.withColumn("group", F.max(F.struct("sets", "token")).over(own)["token"])
+        .withColumn("enough", F.count(F.lit(1)).over(own) >= like.needed(F.col("n")))
         .filter("enough")
-        .drop("enough")
+        .select("id", "n", "token", "group")
     )
-    placed = stored(kept.drop("sets").join(groups, "id"), "placed")
+
+
+def _opened(sets: DataFrame, like: Likeness) -> DataFrame:
+    """(id, own, group): the group of each set and, with ``own`` false, every group of a larger
+    key that it has to visit."""
+    placed = stored(_placed(sets, like), "placed")
     matrix = placed.groupBy("token", F.col("group").alias("other")).agg(
         F.min("n").alias("low"), F.max("n").alias("high")
     )
