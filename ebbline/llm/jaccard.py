@@ -23,6 +23,8 @@ from ebbline.llm.links import components
 from ebbline.llm.shingles import shingle_set
 
 _FREQUENT = np.uint64(1 << 62)
+# Cells of a group's matrix, and sets compared with it at a time.
+_CELLS, _TURN = 1 << 24, 256
 
 
 @dataclass(frozen=True)
@@ -180,155 +182,209 @@ def _in_blocks(opened: DataFrame, like: Likeness) -> DataFrame:
 
 
 class Group:
-    """The sets of one group and the postings of its token union."""
+    """The sets of one group and the postings of its token union.
+
+    Tokens that many members hold are columns of a matrix, so their overlaps are products; the
+    others are counted from postings. ``_CELLS`` bounds the matrix and moves work, not results.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.active = np.arange(len(sets))
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
-        self._index(flat[order], owner[order])
-
-    def _index(self, flat: np.ndarray, owner: np.ndarray) -> None:
-        self.flat, self.owner = flat, owner
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)])
+        flat, self.owner = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         self.union = flat[first]
         self.bounds = np.concatenate([first, [len(flat)]])
-
-    def keep(self, alive: np.ndarray) -> None:
-        inside = alive[self.owner]
-        self._index(self.flat[inside], self.owner[inside])
-
-    def linked(self, own: np.ndarray, like: Likeness) -> np.ndarray:
-        """Members that a set links with; none without counting if the union bound fails."""
-        if not len(self.union):
-            return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
-        at = at[self.union[at] == own]
-        if like.whole * len(at) < like.part * len(own):
-            return np.empty(0, np.int64)
-        low, high = self.bounds[at], self.bounds[at + 1]
-        size = high - low
-        place = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        common = np.bincount(self.owner[place], minlength=len(self.sizes))
-        return np.flatnonzero(like.links(common, self.sizes, len(own)) & (common > 0))
-
-
-def _tree(sets: list[np.ndarray], like: Likeness) -> tuple[list[tuple[int, int]], np.ndarray, Group]:
-    """Links that span every component of the sets, and each set's component. A set that is
-    reached leaves the postings, so a group of copies is not compared pair by pair."""
-    group, whole = Group(sets), Group(sets)
-    alive, label, found = np.ones(len(sets), bool), np.full(len(sets), -1), []
-    live = len(sets)
-    for seed in range(len(sets)):
-        if label[seed] >= 0:
-            continue
-        label[seed], alive[seed], queue = seed, False, [seed]
-        while queue:
-            x = queue.pop()
-            near = group.linked(sets[x], like)
-            near = near[alive[near]]
-            label[near], alive[near] = seed, False
-            found += [(x, int(y)) for y in near]
-            queue += near.tolist()
-            left = int(alive.sum()) if len(near) else live
-            if left * 2 < live:
-                group.keep(alive)
-                live = left
-    return found, label, whole
+        held = np.diff(self.bounds)
+        heavy = np.flatnonzero(held >= max(32, len(sets) // 16))
+        heavy = heavy[np.argsort(-held[heavy], kind="stable")][: max(1, _CELLS // len(sets))]
+        self.column = np.full(len(self.union), -1)
+        self.column[heavy] = np.arange(len(heavy))
+        self.matrix = np.zeros((len(heavy), len(sets)), np.float32)
+        for c, t in enumerate(heavy):
+            self.matrix[c, self.owner[self.bounds[t] : self.bounds[t + 1]]] = 1
+
+    def linked(self, sets: list[np.ndarray], like: Likeness) -> Iterator[np.ndarray]:
+        """Members that each of some sets links with; none without counting if its overlap with
+        the union fails."""
+        known = []
+        for own in sets:
+            at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+            at = at[self.union[at] == own]
+            known.append(at if like.whole * len(at) >= like.part * len(own) else None)
+        probe = np.zeros((len(sets), len(self.matrix)), np.float32)
+        for i, at in enumerate(known):
+            if at is not None:
+                probe[i, self.column[at][self.column[at] >= 0]] = 1
+        heavy = (probe @ self.matrix).astype(np.int64)
+        for own, at, common in zip(sets, known, heavy):
+            if at is None:
+                yield np.empty(0, np.int64)
+                continue
+            at = at[self.column[at] < 0]
+            low, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            place = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            common = common + np.bincount(self.owner[place], minlength=len(self.sizes))
+            yield np.flatnonzero(like.links(common, self.sizes, len(own)) & (common > 0))
+
+
+class Block:
+    """The members of a block, and how many documents each of them links with."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]], like: Likeness):
+        self.like = like
+        self.ids = np.array([i for i, _, _ in rows], np.int64)
+        self.copies = np.array([n for _, n, _ in rows], np.int64)
+        self.counts = np.zeros(len(rows), np.int64)
+        self.label = np.arange(len(rows))
+        sets = [s for _, _, s in rows]
+        self.group = Group(sets)
+        self.tree = []
+        for low in range(0, len(sets), _TURN):
+            for x, near in enumerate(self.group.linked(sets[low : low + _TURN], like), low):
+                self.counts[x] = self.copies[near[self.ids[near] != self.ids[x]]].sum()
+                labels, first = np.unique(self.label[near], return_index=True)
+                if len(labels) > 1:
+                    self.tree += [(int(self.ids[x]), int(self.ids[y])) for y in near[first]]
+                    self.label[np.isin(self.label, labels)] = labels[0]
+
+    def visit(self, rows: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int | None, int]]:
+        """Links (a, b, 0) that join visitors to components, and counts (a, null, documents)."""
+        for (doc, copies, _), near in zip(rows, self.group.linked([s for _, _, s in rows], self.like)):
+            near = near[self.ids[near] != doc]
+            if len(near):
+                self.counts[near] += copies
+                _, first = np.unique(self.label[near], return_index=True)
+                yield from ((doc, int(self.ids[y]), 0) for y in near[first])
+                yield doc, None, int(self.copies[near].sum())
+
+    def settled(self) -> Iterator[tuple[int, int | None, int]]:
+        yield from ((a, b, 0) for a, b in self.tree)
+        yield from ((int(i), None, int(n)) for i, n in zip(self.ids, self.counts) if n)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Links within blocks whose rows come together, members first."""
-    key, ids, sets, state, out = None, [], [], None, []
-
-    def settle():
-        nonlocal state
-        if state is None and sets:
-            tree, label, group = _tree(sets, like)
-            out.extend((ids[x], ids[y]) for x, y in tree)
-            state = (label, group)
+    """Links and numbers of links within blocks whose rows come together, members first."""
+    key, last, block, rows, same, out = None, None, None, [], [], []
+
+    def settle(members: bool):
+        nonlocal block, rows
+        if members and rows:
+            block = Block(rows, like)
+        elif block is not None and rows:
+            out.extend(block.visit(rows))
+        rows = []
+
+    def leave():
+        nonlocal block
+        settle(block is None and members)
+        if block is not None:
+            out.extend(block.settled())
+        block = None
 
     def flush() -> pa.RecordBatch:
         made = pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"]
+            [pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["a", "b", "links"]
         )
         out.clear()
         return made
 
+    members = True
     for batch in batches:
-        columns = [c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2), batch.column(3))]
-        for group, block, own, doc, data in zip(*columns, batch.column(4)):
-            if (group, block) != key:
-                settle()
-                key, ids, sets, state = (group, block), [], [], None
+        columns = [batch.column(i).to_pylist() for i in range(5)]
+        for group, part, own, doc, copies, data in zip(*columns, batch.column(5)):
+            if (group, part) != key:
+                leave()
+                key, last, members = (group, part), None, True
+            if members and not own:
+                settle(True)
+                last, members = None, False
             tokens = np.frombuffer(data.as_buffer(), np.uint64)
-            if own:
-                ids.append(doc)
-                sets.append(tokens)
-                continue
-            settle()
-            if state is None:
+            # Rows that repeat an id and its text count once.
+            if doc != last:
+                same, last = [], doc
+            if any(np.array_equal(s, tokens) for s in same):
                 continue
-            near = state[1].linked(tokens, like)
-            _, first = np.unique(state[0][near], return_index=True)
-            out.extend((doc, ids[y]) for y in near[first])
+            same.append(tokens)
+            rows.append((doc, copies, tokens))
+            if not members and len(rows) >= _TURN:
+                settle(False)
         yield flush()
-    settle()
+    leave()
     yield flush()
 
 
-def _links(docs: DataFrame, blocks: DataFrame, like: Likeness) -> DataFrame:
-    """Compare the sets of the documents in every block that they belong to or visit."""
-    wanted = blocks.groupBy("id").agg(F.collect_list(F.struct("group", "block", "own")).alias("places"))
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "places", "text")
+def _links(docs: DataFrame, blocks: DataFrame, copies: DataFrame, like: Likeness) -> DataFrame:
+    """Compare the sets of the documents in every block that they belong to or visit: links
+    (a, b, 0) that span components, and counts (a, null, links)."""
+    wanted = blocks.join(copies, "id").groupBy("id", "copies").agg(F.collect_list(F.struct("group", "block", "own")).alias("places"))
+    texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "copies", "places", "text")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for doc, places, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, copies, places, text in zip(*(c.to_pylist() for c in batch.columns)):
             data = shingle_set(text, like.k).tobytes()
-            yield pa.RecordBatch.from_pylist([{**p, "doc": doc, "data": data} for p in places], form)
+            yield pa.RecordBatch.from_pylist([{**p, "doc": doc, "copies": copies, "data": data} for p in places], form)
 
     form = pa.schema(
-        [("group", pa.int64()), ("block", pa.int64()), ("own", pa.bool_()), ("doc", pa.int64()), ("data", pa.binary())]
+        [("group", pa.int64()), ("block", pa.int64()), ("own", pa.bool_()), ("doc", pa.int64()), ("copies", pa.int64()), ("data", pa.binary())]
     )
     sets = texts.mapInArrow(
-        by_slices(work), "group bigint, block bigint, own boolean, doc bigint, data binary"
+        by_slices(work), "group bigint, block bigint, own boolean, doc bigint, copies bigint, data binary"
     )
     return (
         sets.repartition("group", "block")
         .sortWithinPartitions("group", "block", F.desc("own"), "doc")
-        .mapInArrow(lambda batches: _compare(batches, like), "a bigint, b bigint")
+        .mapInArrow(lambda batches: _compare(batches, like), "a bigint, b bigint, links bigint")
     )
 
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = Likeness()
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id reached by links).
+    """One row per input row: doc_id, n_shingles, component_id (smallest id reached by links),
+    n_links (other documents that it links with, copies of its set included).
 
     Null, empty and blank texts have no shingles and link with nothing; their component is
-    their own id. Rows of one id count as one document for links. Rows with a null id keep a
-    null component and link with nothing. Other columns are not carried; an empty table gives
-    an empty one.
+    their own id. Rows of one id count as one document for links; where an id has several
+    texts, n_links adds up what its texts link with. Rows with a null id keep a null component
+    and link with nothing. Other columns are not carried; an empty table gives an empty one.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = stored(_profiles(plain, like), "profiles")
-    real = profiles.filter("doc_id is not null and n_shingles > 0")
-    first = real.groupBy("set_id").agg(F.min("doc_id").alias("id"))
+    is_real = F.expr("doc_id is not null and n_shingles > 0")
+    real = profiles.filter(is_real)
+    first = (
+        real.select("set_id", "doc_id").distinct()
+        .groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    )
     sets = (
         real.join(first.withColumnRenamed("set_id", "key"), F.expr("doc_id = id and set_id = key"))
         .select("id", F.col("n_shingles").alias("n"), "prefix")
     )
     blocks = _in_blocks(_opened(sets, like), like)
-    found = stored(_links(plain.filter("doc_id is not null"), blocks, like), "pairs")
-    same = real.select("set_id", "doc_id").join(first, "set_id").filter("doc_id <> id")
-    repeated = same.select("doc_id", "id").distinct()
-    roots = components(found.union(repeated.toDF("a", "b")))
+    copies = first.groupBy("id").agg(F.max("copies").alias("copies"))
+    found = stored(_links(plain.filter("doc_id is not null"), blocks, copies, like), "pairs")
+    known = stored(
+        real.select("doc_id", "n_shingles", "set_id").join(first, "set_id").drop("set_id").unionByName(
+            profiles.filter(~is_real).select("doc_id", "n_shingles"), allowMissingColumns=True
+        ),
+        "known",
+    )
+    repeated = known.filter("doc_id <> id").select("doc_id", "id").distinct()
+    roots = components(found.select("a", "b").union(repeated.toDF("a", "b")))
+    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     return (
-        profiles.select("doc_id", "n_shingles")
-        .join(roots, profiles["doc_id"] == roots["id"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+        known.join(counts, "id", "left")
+        .drop("id")
+        .join(roots, F.col("doc_id") == roots["id"], "left")
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.coalesce("root", "doc_id").alias("component_id"),
+            (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
+        )
     )
 
 

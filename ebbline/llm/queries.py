@@ -206,8 +206,12 @@ reach AS (
   SELECT doc_id, doc_id AS root FROM documents
   UNION
   SELECT l.b, r.root FROM reach r JOIN (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) l ON l.a = r.doc_id)
-SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
-FROM reach r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id,
+  coalesce(any_value(k), 0) AS n_links
+FROM reach r LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS k FROM (SELECT a AS doc_id FROM near UNION ALL SELECT b FROM near) GROUP BY doc_id)
+  USING (doc_id)
+GROUP BY r.doc_id
 """
 
 

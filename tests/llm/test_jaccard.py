@@ -24,7 +24,8 @@ def plain_set(text, k):
 
 
 def brute(texts, like):
-    """Component by id, from all pairs."""
+    """Size of the set, component and number of links by id, from all pairs."""
+    links = dict.fromkeys(texts, 0)
     sets = {d: plain_set(t, like.k) for d, t in texts.items()}
     root = {d: d for d in texts}
 
@@ -38,9 +39,10 @@ def brute(texts, like):
         for b in ids[:i]:
             common = len(sets[a] & sets[b])
             if sets[a] and like.whole * common >= like.part * len(sets[a] | sets[b]):
+                links[a], links[b] = links[a] + 1, links[b] + 1
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    return {d: (len(sets[d]), find(d)) for d in texts}
+    return {d: (len(sets[d]), find(d), links[d]) for d in texts}
 
 
 def near_copies(rng, n_groups, copies):
@@ -65,10 +67,21 @@ def test_components_equal_all_pairs(spark, like):
     texts = near_copies(rng, 50, 14) + ["", None, "\t ", "a", "A", "a b", "passage " * 30]
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, like=like).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.classes(docs, like=like).collect()}
     assert got == brute(dict(enumerate(texts)), like)
 
 
+def test_frequent_tokens_of_a_group_are_counted_like_others():
+    rng, like = random.Random(4), Likeness(part=60)
+    base = rng.sample(range(1 << 40), 150)
+    sets = [np.sort(np.array(rng.sample(base, 110) + rng.sample(range(1 << 40), 20), np.uint64)) for _ in range(90)]
+    group = jaccard.Group(sets)
+    assert len(group.matrix) > 50
+    for own, near in zip(sets, group.linked(sets, like)):
+        want = [i for i, s in enumerate(sets) if 100 * len(c := set(own) & set(s)) >= 60 * (260 - len(c))]
+        assert near.tolist() == want
+
+
 def test_word_hashes_do_not_depend_on_place_or_blocks():
     block = shingles._BLOCK
     for before in (0, 1, block - 3, block - 1, block, 2 * block - 4):
@@ -108,8 +121,8 @@ def test_defined_results(spark):
         [(5, text, "a"), (5, text, "b"), (9, text.upper(), "c"), (None, text, "d"), (None, None, "e"), (3, None, "f"), (2, "", "g"), (8, "other words here now", None)],
         "doc_id long, text string, id string",
     )
-    rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect() if r.doc_id)
-    assert rows == [(2, 0, 2), (3, 0, 3), (5, 7, 5), (5, 7, 5), (8, 1, 8), (9, 7, 5)]
+    rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.n_links) for r in jaccard.classes(docs).collect() if r.doc_id)
+    assert rows == [(2, 0, 2, 0), (3, 0, 3, 0), (5, 7, 5, 1), (5, 7, 5, 1), (8, 1, 8, 0), (9, 7, 5, 1)]
     assert [r.component_id for r in jaccard.classes(docs).filter("doc_id is null").collect()] == [None, None]
     kept = jaccard.one_per_class(docs)
     assert kept.columns == docs.columns
@@ -122,5 +135,5 @@ def test_query_equals_all_pairs(spark):
     from tests.conftest import SMALL
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries()["op4_ngram_jaccard"](spark, SMALL).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in queries()["op4_ngram_jaccard"](spark, SMALL).collect()}
     assert got == brute(texts, Likeness())
