@@ -320,7 +320,8 @@ def _links(docs: DataFrame, blocks: DataFrame, copies: DataFrame, like: Likeness
     """Compare the sets of the documents in every block that they belong to or visit: links
     (a, b, 0) that span components, and counts (a, null, links)."""
     wanted = blocks.join(copies, "id").groupBy("id", "copies").agg(F.collect_list(F.struct("group", "block", "own")).alias("places"))
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "copies", "places", "text")
+    # The places grow with the documents, so texts move to them at every size.
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"]).select("doc_id", "copies", "places", "text")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for doc, copies, places, text in zip(*(c.to_pylist() for c in batch.columns)):
