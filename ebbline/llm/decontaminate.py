@@ -10,6 +10,7 @@ other than letters and digits as one blank.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -121,31 +122,53 @@ class Matcher:
                 yield from self._within(n, text, low, high)
 
     def _within(self, n: int, text: str, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+        """One pass over a stretch gives the distance at every end; the nearest ends are taken
+        first and those that overlap them left out. Gaps that lost an end to this and could hold
+        a passage are passed over again, so a stretch of repeated items is read once."""
         item, errors = self.items[n][1], self.errors[n]
         ahead = self.ahead.setdefault(n, Pattern(item))
         back = self.back.setdefault(n, Pattern(item[::-1]))
-        left = [(low, high)]
-        while left:
-            low, high = left.pop()
+        todo = [(low, high)]
+        while todo:
+            low, high = todo.pop()
             if high - low < len(item) - errors:
                 continue
-            best, end = min(
-                ((d, low + i + 1) for i, d in enumerate(ahead.distances(text[low:high], False))),
-                default=(errors + 1, 0),
-            )
-            if best > errors:
-                continue
-            behind = text[max(low, end - len(item) - errors) : end][::-1]
-            size = next(i + 1 for i, d in enumerate(back.distances(behind, True)) if d == best)
-            yield n, end - size, end, best
-            left += [(end, high), (low, end - size)]
-
-
-def _in_text(text: str, plain: str, start: int, end: int) -> tuple[int, int]:
-    """Code points of the original words that a normalised stretch touches."""
-    first, last = plain.count(" ", 0, start + 1), plain.count(" ", 0, end - 1)
-    bounds = [m.span() for m in _WORD.finditer(text)]
-    return bounds[first][0], bounds[last][1]
+            ends = [
+                (d, low + i + 1) for i, d in enumerate(ahead.distances(text[low:high], False)) if d <= errors
+            ]
+            starts, pasts, lost = [], [], []
+            for distance, end in sorted(ends):
+                at = bisect_left(pasts, end)
+                before = pasts[at - 1] if at else low
+                inside = at < len(starts) and starts[at] < end
+                if inside or end - len(item) + distance < before:
+                    lost.append(end)
+                    continue
+                behind = text[max(low, end - len(item) - distance) : end][::-1]
+                start = end - next(i + 1 for i, d in enumerate(back.distances(behind, True)) if d == distance)
+                if start < before:
+                    lost.append(end)
+                    continue
+                starts.insert(at, start)
+                pasts.insert(at, end)
+                yield n, start, end, distance
+            lost.sort()
+            for a, b in zip([low, *pasts], [*starts, high]):
+                at = bisect_left(lost, a + len(item) - errors)
+                if at < len(lost) and lost[at] <= b:
+                    todo.append((a, b))
+
+
+class Places:
+    """Code points of the original words that stretches of a normalised text touch."""
+
+    def __init__(self, text: str, plain: str):
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.blanks = [m.start() for m in re.finditer(" ", plain)]
+
+    def __call__(self, start: int, end: int) -> tuple[int, int]:
+        first, last = bisect_left(self.blanks, start + 1), bisect_left(self.blanks, end - 1)
+        return self.words[first][0], self.words[last][1]
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[Item]]:
@@ -199,8 +222,10 @@ def leaks(
                 rows = []
                 for key, text in zip(*(c.to_pylist() for c in batch.columns)):
                     short = normal(text)
+                    places = None
                     for n, start, end, distance in matcher.matches(short):
-                        first, past = _in_text(text, short, start, end)
+                        places = places or Places(text, short)
+                        first, past = places(start, end)
                         rows.append((key, matcher.items[n][0], first, past, distance, matcher.errors[n]))
                 names = ["doc_id", "item_id", "start", "past", "distance", "budget"]
                 return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from ebbline.llm import decontaminate as dc
 
@@ -37,12 +38,49 @@ def test_every_passage_within_budget_is_found():
         assert best == (want if want <= matcher.errors[0] else None), (item, text)
 
 
+def test_passages_do_not_overlap_and_lie_at_their_distance():
+    rng = random.Random(8)
+    for _ in range(200):
+        item = "".join(rng.choice("ab ") for _ in range(rng.randrange(16, 60))).strip() or "a"
+        text = "".join(edited(rng, item, rng.randrange(0, 5)) + rng.choice(["", "b", item[:9]]) for _ in range(4))
+        found = sorted(m[1:] for m in dc.Matcher([(1, item)]).matches(text))
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        for start, end, distance in found:
+            assert distance == whole(item, text[start:end]) <= len(item) // 16
+        # What lies between them holds no further passage.
+        gaps = zip([0, *(f[1] for f in found)], [*(f[0] for f in found), len(text)])
+        assert all(brute(item, text[a:b]) > len(item) // 16 for a, b in gaps), (item, text, found)
+
+
+def whole(item, text):
+    row = list(range(len(text) + 1))
+    for i, a in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_an_item_repeated_all_over_a_long_text_takes_linear_time():
+    item = "the quick brown fox jumps over the lazy dog"
+    matcher, seconds = dc.Matcher([(1, item)]), []
+    for n in (2_000, 20_000):
+        text = " ".join([item] * n)
+        began = time.process_time()
+        found = list(matcher.matches(text))
+        places = dc.Places(text, text)
+        spans = [places(start, end) for _, start, end, _ in found]
+        seconds.append(time.process_time() - began)
+        assert sorted(spans) == [(i * 44, i * 44 + 43) for i in range(n)]
+    assert seconds[1] < 30 * seconds[0] + 1
+
+
 def test_spans_point_at_the_passage():
     item = dc.normal("The quick brown fox, jumps over the lazy dog")
     text = "İ! été -- THE quick brown fox jumps; over the lazi dog... end. the quick brown fox jumps over the lazy dog"
     matcher = dc.Matcher([(7, item)])
     plain = dc.normal(text)
-    found = sorted(dc._in_text(text, plain, s, e) for _, s, e, _ in matcher.matches(plain))
+    found = sorted(dc.Places(text, plain)(s, e) for _, s, e, _ in matcher.matches(plain))
     assert [text[s:e] for s, e in found] == [
         "THE quick brown fox jumps; over the lazi dog", "the quick brown fox jumps over the lazy dog",
     ]
