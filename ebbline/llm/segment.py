@@ -27,6 +27,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed value: the mark that stands for a blank.
 MARK = "▁"
 
+# Characters or steps of a run without blanks from which on it is followed one by one.
+_LONG_RUN = 512
+
 _STEP = np.uint64(0xD1342543DE82EF95)
 _ADD = np.uint64(0x2545F4914F6CDD1D)
 
@@ -191,7 +194,12 @@ class Lattice:
         self.cumulative = np.empty(len(nodes))
         after = np.where(self.done, len(left), self.next)
         sizes = count[by_left]
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        # The far nodes of the one longest word come alone: a long run without blanks is followed
+        # node by node, and its edges are scaled together.
+        alone = int(np.searchsorted(-np.diff(cuts), -1))
+        if len(cuts) - 1 - alone < _LONG_RUN:
+            alone = len(cuts) - 1
+        for i, (a, b) in enumerate(zip(cuts[:alone], cuts[1 : alone + 1])):
             x, y = edge_cuts[i], edge_cuts[i + 1]
             own, size = low[a:b] - x, sizes[a:b]
             v = weights[x:y] + bound[after[x:y]]
@@ -208,6 +216,27 @@ class Lattice:
             run -= np.repeat(run[own] - e[own], size)
             run[own + size - 1] = np.inf
             self.cumulative[x:y] = run
+        if alone < len(cuts) - 1:
+            self._follow(by_left[cuts[alone] :], edge_cuts[alone], weights, after, bound)
+
+    def _follow(self, order: np.ndarray, x: int, weights: np.ndarray, after: np.ndarray, bound: np.ndarray) -> None:
+        """What the slices compute, for nodes that come one at a time with edges from ``x`` on."""
+        known, exp, log = bound.tolist(), math.exp, math.log
+        far, cost = after[x:].tolist(), weights[x:].tolist()
+        sizes, high = self.count[order], 0
+        for node, size in zip(order.tolist(), sizes.tolist()):
+            low, high = high, high + size
+            v = [c + known[t] for c, t in zip(cost[low:high], far[low:high])]
+            top = max(v)
+            known[node] = top + log(sum([exp(a - top) for a in v]))
+        bound[:] = known
+        v = np.minimum(weights[x:] + bound[after[x:]] - np.repeat(bound[order], sizes), 0.0)
+        e = np.exp(v)
+        own = np.cumsum(sizes) - sizes
+        run = np.cumsum(e)
+        run -= np.repeat(run[own] - e[own], sizes)
+        run[own + sizes - 1] = np.inf
+        self.p[x:], self.log_p[x:], self.cumulative[x:] = e, v, run
 
     def pick(self, nodes: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         e = self.first[nodes]
@@ -218,6 +247,14 @@ class Lattice:
         return e
 
 
+def _uniforms_of_steps(keys: np.ndarray, sample: int, word: np.ndarray, step: int, n: int) -> np.ndarray:
+    """``uniforms`` of one key and word for ``n`` steps from ``step`` on."""
+    turns = np.arange(step, step + n, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = keys[:1] + word[:1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = mixed(x ^ (turns + np.uint64(sample * 0x632BE59BD9B4E019 % (1 << 64))))
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
 def uniforms(keys: np.ndarray, sample: int, word: np.ndarray, step: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row key, the sample, the word and the step."""
     x = keys + word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -230,20 +267,43 @@ def _walk(lattice: Lattice, nodes, keys, word, sample: int) -> tuple[np.ndarray,
     in order of the words, and how many each word took."""
     n = len(nodes)
     active, counts, steps, step = np.arange(n), np.zeros(n, np.int64), [], 0
-    while len(active):
+    while len(active) > 1 or len(active) and step < _LONG_RUN:
         e = lattice.pick(nodes, uniforms(keys, sample, word, step))
         steps.append((active, e))
         counts[active] += 1
         on = ~lattice.done[e]
         active, nodes, keys, word = active[on], lattice.next[e[on]], keys[on], word[on]
         step += 1
+    tail: list[int] = []
+    if len(active):
+        tail = _walk_alone(lattice, int(nodes[0]), keys, word, sample, step)
+        counts[active] += len(tail)
     offset = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int64)
     for i, (who, e) in enumerate(steps):
         out[offset[who] + i] = e
+    if tail:
+        begin = int(offset[active[0]]) + step
+        out[begin : begin + len(tail)] = tail
     return out, counts
 
 
+def _walk_alone(lattice: Lattice, node: int, keys, word, sample: int, step: int) -> list[int]:
+    """The rest of a walk that only one word is left of, with the numbers of its steps."""
+    out: list[int] = []
+    first, cumulative, following, done = lattice.first, lattice.cumulative, lattice.next, lattice.done
+    while True:
+        for u in _uniforms_of_steps(keys, sample, word, step, _LONG_RUN).tolist():
+            e = int(first[node])
+            while u >= cumulative[e]:
+                e += 1
+            out.append(e)
+            if done[e]:
+                return out
+            node = int(following[e])
+        step += _LONG_RUN
+
+
 class Path:
     """One sampled segmentation and, per decision on it, the perturbed bound of all that leaves
     it there. At decision ``turn`` the edges ``barred`` belong to earlier samples."""

@@ -130,3 +130,31 @@ def test_runs_of_blanks_are_drawn(pieces, lattices):
         assert {tuple(ids.tolist()): pytest.approx(math.exp(lp), rel=1e-6) for ids, lp, _ in drawn} == want
         assert text == " " or any(runs & set(ids) for ids in want)
     assert "".join(lattices.units.findall("   a  b(    c")) == "   a  b(    c"
+
+
+def test_steps_of_a_lone_word_draw_the_numbers_of_all_words():
+    keys, word = np.array([77], np.uint64), np.array([5])
+    many = segment._uniforms_of_steps(keys, 3, word, 40, 9)
+    assert many.tolist() == [float(segment.uniforms(keys, 3, word, 40 + i)[0]) for i in range(9)]
+
+
+def test_long_runs_without_blanks_take_linear_time(monkeypatch):
+    import random
+    import string
+    import time
+
+    pieces = segment.Pieces.load()
+    lattices, decode, rng = segment.Lattices(pieces), segment.Decoder(pieces), random.Random(2)
+    keys = segment.row_keys([9])
+    long = "".join(rng.choices(string.ascii_letters + string.digits, k=3000))
+    followed = segment.samples(lattices, keys, [f"{long} and words"], 3)[0]
+    with monkeypatch.context() as m:
+        m.setattr(segment, "_LONG_RUN", 1 << 40)
+        sliced = segment.samples(lattices, keys, [f"{long} and words"], 3)[0]
+    assert [s[0].tolist() for s in followed] == [s[0].tolist() for s in sliced]
+    assert np.allclose([s[1:] for s in followed], [s[1:] for s in sliced])
+    for run in ("".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1_000_000)), "a" * 1_000_000):
+        began = time.process_time()
+        drawn = segment.samples(lattices, keys, [run], 2)[0]
+        assert time.process_time() - began < 30
+        assert all(decode(s[0].tolist()) == run for s in drawn) and len(drawn) == 2
