@@ -115,6 +115,9 @@ class Lattices:
         texts = [pieces.texts[i] for i in ids]
         weights = np.array([pieces.weights[i] for i in ids.tolist()])
         sizes = np.array([len(t) for t in texts])
+        # So many characters from the end of a word, products of probabilities stay far from underflow.
+        heaviest = max(4 * abs(pieces.byte_weight), float(np.abs(weights).max(initial=0.0)), 1e-9)
+        self.plain = int(min(600 / heaviest, 64))
         self.levels = []
         h = np.zeros(len(ids), np.uint64)
         for n in range(int(sizes.max())):
@@ -161,7 +164,7 @@ class Lattices:
             at, h = at[more], h[more]
             if not len(at):
                 break
-        return Lattice(ends - sizes, left, count, *map(np.concatenate, zip(*parts)))
+        return Lattice(ends - sizes, left, count, *map(np.concatenate, zip(*parts)), self.plain)
 
 
 class Lattice:
@@ -170,9 +173,10 @@ class Lattice:
     A node is a character; nodes of a word run up to its end.
     """
 
-    def __init__(self, first_node, left, count, nodes, place, lengths, ids, weights):
+    def __init__(self, first_node, left, count, nodes, place, lengths, ids, weights, plain=0):
         """Edges lie in order of how far their nodes are from the ends of words, so bounds are
-        summed over slices; those of one node lie together, the longest first."""
+        summed over slices; those of one node lie together, the longest first. Up to ``plain``
+        characters from the end probabilities are summed as they are, beyond as logarithms."""
         self.first_node = first_node
         far = left.astype(np.int16) if left.max() < 1 << 15 else left
         by_left = np.argsort(far, kind="stable")
@@ -199,8 +203,10 @@ class Lattice:
         alone = int(np.searchsorted(-np.diff(cuts), -1))
         if len(cuts) - 1 - alone < _LONG_RUN:
             alone = len(cuts) - 1
-        for i, (a, b) in enumerate(zip(cuts[:alone], cuts[1 : alone + 1])):
-            x, y = edge_cuts[i], edge_cuts[i + 1]
+        near = min(alone, int(np.searchsorted(left[by_left[cuts[:-1]]], plain, side="right")))
+        self._sum_near(by_left, low, sizes, cuts[: near + 1], edge_cuts[: near + 1], weights, after, bound)
+        for i in range(near, alone):
+            a, b, x, y = cuts[i], cuts[i + 1], edge_cuts[i], edge_cuts[i + 1]
             own, size = low[a:b] - x, sizes[a:b]
             v = weights[x:y] + bound[after[x:y]]
             top = np.maximum.reduceat(v, own)
@@ -219,6 +225,24 @@ class Lattice:
         if alone < len(cuts) - 1:
             self._follow(by_left[cuts[alone] :], edge_cuts[alone], weights, after, bound)
 
+    def _sum_near(self, by_left, low, sizes, cuts, edge_cuts, weights, after, bound) -> None:
+        """What the slices compute, for the nodes near the ends of words and without logarithms."""
+        nodes, edges = cuts[-1], edge_cuts[-1]
+        cost, mass = np.exp(weights[:edges]), np.ones(len(bound))
+        for a, b, x, y in zip(cuts, cuts[1:], edge_cuts, edge_cuts[1:]):
+            own, size = low[a:b] - x, sizes[a:b]
+            e = cost[x:y] * mass[after[x:y]]
+            sums = np.add.reduceat(e, own)
+            mass[by_left[a:b]] = sums
+            e /= np.repeat(sums, size)
+            self.p[x:y] = e
+            run = np.cumsum(e)
+            run -= np.repeat(run[own] - e[own], size)
+            run[own + size - 1] = np.inf
+            self.cumulative[x:y] = run
+        self.log_p[:edges] = np.minimum(np.log(self.p[:edges]), 0.0)
+        bound[by_left[:nodes]] = np.log(mass[by_left[:nodes]])
+
     def _follow(self, order: np.ndarray, x: int, weights: np.ndarray, after: np.ndarray, bound: np.ndarray) -> None:
         """What the slices compute, for nodes that come one at a time with edges from ``x`` on."""
         known, exp, log = bound.tolist(), math.exp, math.log
@@ -308,18 +332,13 @@ class Path:
     """One sampled segmentation and, per decision on it, the perturbed bound of all that leaves
     it there. At decision ``turn`` the edges ``barred`` belong to earlier samples."""
 
-    def __init__(self, lattice, edges, words, value, noise, turn=0, barred=()):
+    def __init__(self, lattice, edges, words, value, ratio, turn=0, barred=()):
+        """``ratio`` is the logarithm of what leaves the path at each decision from ``turn`` on, over its noise."""
         self.edges, self.words, self.value, self.turn, self.barred = edges, words, value, turn, barred
         log_p = lattice.log_p[edges]
         run = np.cumsum(log_p)
         self.log_p = float(run[-1]) if len(run) else 0.0
-        # Noise before it is bounded by the value of the sample; bounding keeps its order.
-        left = -np.expm1(log_p[turn:])
-        if barred and len(left):
-            left[0] -= lattice.p[list(barred)].sum()
-        left[left < 1e-12] = 0.0
-        with np.errstate(divide="ignore"):
-            self.free = (run - log_p)[turn:] + np.log(left / -np.log(noise))
+        self.free = (run - log_p)[turn:] + ratio
         self._best()
 
     def _best(self) -> None:
@@ -361,22 +380,40 @@ def samples(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> l
     lattice = lattices.build(list(known))
     doc = np.repeat(np.arange(len(texts)), sizes)
     word = np.arange(len(seen)) - starts[doc]
-    gumbel = lambda key, j: -math.log(-math.log(float(uniforms(key, j, np.array([-1]), 0)[0])))
 
-    def add(d: int, edges, words, value, j, turn=0, barred=()):
-        place = np.arange(turn, len(edges))
-        noise = uniforms(keys[d : d + 1], -1 - j, place, 0)
-        found[d].append(Path(lattice, edges, words, value, noise, turn, barred))
+    def add(tails: list[tuple], flat: np.ndarray, j: int):
+        """Paths of (text, words, value, decision, edges barred there, edges before it, number of
+        edges from it on) and the latter edges of all of them."""
+        sizes = np.array([t[6] for t in tails])
+        ends = np.cumsum(sizes)
+        first = ends - sizes
+        turns = np.array([t[3] for t in tails])
+        place = np.arange(len(flat)) + np.repeat(turns - first, sizes)
+        noise = uniforms(np.repeat(keys[[t[0] for t in tails]], sizes), -1 - j, place, 0)
+        # Noise before a decision is bounded by the value of the sample; bounding keeps its order.
+        left = -np.expm1(lattice.log_p[flat])
+        for low, t in zip(first.tolist(), tails):
+            if t[4]:
+                left[low] -= lattice.p[list(t[4])].sum()
+        left[left < 1e-12] = 0.0
+        with np.errstate(divide="ignore"):
+            ratio = np.log(left / -np.log(noise))
+        for low, high, (d, words, value, turn, barred, before, _) in zip(first.tolist(), ends.tolist(), tails):
+            edges = flat[low:high] if before is None else np.concatenate([before, flat[low:high]])
+            found[d].append(Path(lattice, edges, words, value, ratio[low:high], turn, barred))
 
     nodes = lattice.first_node[seen]
     edges, counts = _walk(lattice, nodes, keys[doc], word, 0)
     cuts = np.concatenate([[0], np.cumsum(counts)])
     of_word = np.repeat(word, counts)
-    for d in range(len(texts)):
-        low, high = cuts[starts[d]], cuts[starts[d] + sizes[d]]
-        add(d, edges[low:high], of_word[low:high], gumbel(keys[d : d + 1], 0), 0)
+    tails = []
+    for d, u in enumerate(uniforms(keys, 0, np.array([-1]), 0).tolist()):
+        low, high = int(cuts[starts[d]]), int(cuts[starts[d] + sizes[d]])
+        tails.append((d, of_word[low:high], -math.log(-math.log(u)), 0, (), None, high - low))
+    add(tails, edges, 0)
     for j in range(1, k):
         turns, more = [], []
+        draws = uniforms(keys, j, np.array([-2]), 0)
         for d in range(len(texts)):
             parent = max(found[d], key=lambda p: p.best)
             if parent.best == -math.inf:
@@ -385,11 +422,12 @@ def samples(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> l
             barred = (int(parent.edges[at]), *(parent.barred if at == parent.turn else ()))
             e0 = parent.edges[at]
             node = lattice.node[e0]
-            choice = np.arange(lattice.first[node], lattice.first[node] + lattice.count[node])
-            p = np.where(np.isin(choice, barred), 0.0, lattice.p[choice])
+            low = int(lattice.first[node])
+            p = lattice.p[low : low + int(lattice.count[node])].copy()
+            p[[b - low for b in barred]] = 0.0
             run = np.cumsum(p)
-            r = float(uniforms(keys[d : d + 1], j, np.array([-2]), 0)[0]) * run[-1]
-            e = int(choice[min(np.searchsorted(run, r, side="right"), np.flatnonzero(p)[-1])])
+            r = float(draws[d]) * run[-1]
+            e = low + int(min(np.searchsorted(run, r, side="right"), np.flatnonzero(p)[-1]))
             here = int(parent.words[at])
             first = starts[d] + here + 1
             rest = np.arange(first, starts[d] + sizes[d])
@@ -406,15 +444,14 @@ def samples(lattices: Lattices, keys: np.ndarray, texts: list[str], k: int) -> l
         edges, counts = _walk(lattice, begin, key, numbers, j)
         cuts = np.concatenate([[0], np.cumsum(counts)])
         of_word, low = np.repeat(numbers, counts), 0
+        tails, flat = [], []
         for d, parent, at, e, here, value, barred, n in turns:
-            a, b = cuts[low], cuts[low + n]
+            a, b = int(cuts[low]), int(cuts[low + n])
             low += n
-            add(
-                d,
-                np.concatenate([parent.edges[:at], [e], edges[a:b]]),
-                np.concatenate([parent.words[:at], [here], of_word[a:b]]),
-                value, j, at, barred,
-            )
+            flat += [[e], edges[a:b]]
+            words = np.concatenate([parent.words[:at], [here], of_word[a:b]])
+            tails.append((d, words, value, at, barred, parent.edges[:at], b - a + 1))
+        add(tails, np.concatenate(flat), j)
     out = []
     for paths in found:
         left_out = max(p.best for p in paths)
@@ -491,6 +528,9 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = shared.value
+        # Freeing one large block lets the C library keep freed memory for the next array; otherwise
+        # every array of a batch is mapped, cleared and unmapped anew.
+        np.empty(31 << 20, np.uint8)
         for batch in batches:
             for low, high in _cut(batch.column(1), batch_bytes):
                 part = batch.column(0).slice(low, high - low)
