@@ -164,7 +164,9 @@ class Lattices:
             at, h = at[more], h[more]
             if not len(at):
                 break
-        return Lattice(ends - sizes, left, count, *map(np.concatenate, zip(*parts)), self.plain)
+        edges = [np.concatenate(p) for p in zip(*parts)]
+        parts.clear()
+        return Lattice(ends - sizes, left, count, *edges, self.plain)
 
 
 class Lattice:
